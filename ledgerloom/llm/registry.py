@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from . import sql
 from .exact_dedup import op2_exact_dedup
+from .jaccard import op5_ngram_jaccard_join
 from .langid import op8_language_id
 from .mixing import op4_source_mixing
 from .packing import op10_packing
 from .reshard import op7_resharding
+from .substring import op1_substring_dedup
 from .toxicity import op9_toxicity
 
 
 def queries():
     import corpus_pipeline
 
-    own = [op2_exact_dedup, op4_source_mixing, op7_resharding, op8_language_id, op9_toxicity, op10_packing]
+    own = [op1_substring_dedup, op2_exact_dedup, op4_source_mixing, op5_ngram_jaccard_join, op7_resharding, op8_language_id, op9_toxicity, op10_packing]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
