@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import sql
 from .exact_dedup import op2_exact_dedup
+from .html_render import op3_html_rendering
 from .jaccard import op5_ngram_jaccard_join
 from .langid import op8_language_id
 from .mixing import op4_source_mixing
@@ -11,12 +12,13 @@ from .packing import op10_packing
 from .reshard import op7_resharding
 from .substring import op1_substring_dedup
 from .toxicity import op9_toxicity
+from .vectors import op6_embedding_near_dedup
 
 
 def queries():
     import corpus_pipeline
 
-    own = [op1_substring_dedup, op2_exact_dedup, op4_source_mixing, op5_ngram_jaccard_join, op7_resharding, op8_language_id, op9_toxicity, op10_packing]
+    own = [op1_substring_dedup, op2_exact_dedup, op3_html_rendering, op4_source_mixing, op5_ngram_jaccard_join, op6_embedding_near_dedup, op7_resharding, op8_language_id, op9_toxicity, op10_packing]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
