@@ -53,5 +53,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Rows are matched by id and digest, so a row that repeats an id with another
+    text is judged for itself; rows that repeat both stay or go together.
+    """
+    out = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    gone = written(out, "copies")
+    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_anti")
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup(read(spark, sf_dir, "documents"))

@@ -128,9 +128,9 @@ def _sizes(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for first, texts in byte_batches(batch):
                 sets = shingle_sets(texts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "node"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), batch.column(2).slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "mark", "n_shingles", "node"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.mapInArrow(run, "doc_id long, mark long, n_shingles long, node long")
 
 
 _BLOCKS = "bucket int, node binary, need binary, total binary, band binary, keys binary, owner binary"
@@ -310,7 +310,7 @@ def _blockwise(members: DataFrame) -> DataFrame:
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each input row: doc_id, n_shingles, component_id.
+    """One row for each input row: doc_id, mark (hash of the text), n_shingles, component_id.
 
     Two rows link when their sets of 5-word shingles have a Jaccard similarity of
     0.8 or more; a component is named by its smallest doc_id. Null and empty texts
@@ -320,7 +320,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     apart by 64-bit hashes. An empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sizes = written(_sizes(docs), "set-sizes")
+    sizes = written(_sizes(docs.withColumn("mark", F.xxhash64("text"))), "set-sizes")
     total = sizes.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(64, total * 2 // 5 // BUCKET)
     classes = written(sizes.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "set-classes")
@@ -354,7 +354,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = written(named, "set-named")
     least = written(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "group-names")
     name = written(named.join(least, "component").select("node", "component_id"), "node-names")
-    return sizes.join(name, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return sizes.join(name, "node", "left").select("doc_id", "mark", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def _of_node(texts: DataFrame) -> DataFrame:
@@ -372,5 +372,15 @@ def _of_node(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, text string")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their component, with all their columns.
+
+    Rows without shingles stay, and so do rows with a null id.
+    """
+    out = jaccard_groups(docs, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    gone = written(out, "near-copies")
+    return docs.join(gone, (F.col(id_col) == F.col("_id")) & (F.xxhash64(text_col) == F.col("_mark")), "left_anti")
+
+
 def op5_ngram_jaccard_join(spark, sf_dir):
-    return jaccard_groups(read(spark, sf_dir, "documents"))
+    return jaccard_groups(read(spark, sf_dir, "documents")).drop("mark")

@@ -162,6 +162,30 @@ def identify(docs: DataFrame, model: Model, *keep: str, id_col: str = "doc_id",
     return shape.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is accepted, with all their columns.
+
+    Rows without a letter, and rows farther from every centroid than the model's
+    margin allows, go. Columns of any name and type pass through unread.
+    """
+    k = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            array = batch.column(k).cast(pa.binary())
+            keep = np.zeros(len(batch), bool)
+            one = pa.RecordBatch.from_arrays([array], ["text"])
+            for first, texts in byte_batches(one, most=1 << 20):
+                got = [gram_counts(t.decode("utf-8", "replace")) if t else None for t in texts]
+                rows = [i for i, c in enumerate(got) if c is not None]
+                for a in range(0, len(rows), 256):
+                    part = rows[a : a + 256]
+                    keep[[first + i for i in part]] = ~model.predict(np.stack([got[i] for i in part]))[2]
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(col: Column | str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; null ids are in fold 0."""
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % parts, F.lit(0))

@@ -75,8 +75,8 @@ def _bucket(shift: int) -> Column:
     return F.shiftright("_hash", shift)
 
 
-def mix(docs: DataFrame, memberships: str = "sources", weights=WEIGHTS, repeats: int = REPEATS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", size: Column | None = None) -> tuple[DataFrame, dict, dict]:
-    """Plan a mix: (rows, source sizes, targets).
+def mix(docs: DataFrame, memberships: str = "sources", weights=WEIGHTS, repeats: int = REPEATS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", size: Column | None = None) -> tuple[DataFrame, DataFrame, dict, dict]:
+    """Plan a mix: (rows, plan, source sizes, targets).
 
     ``memberships`` is an array column of source names (null is a source of its
     own; an empty array is never taken). The rows are doc_id, size, pattern and
@@ -85,11 +85,8 @@ def mix(docs: DataFrame, memberships: str = "sources", weights=WEIGHTS, repeats:
     must fit on the driver; documents never go there. Rows with one id share a
     hash and are taken together. An empty table gives an empty result.
     """
-    words = size if size is not None else F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    none = F.lit("\x00")
-    pattern = F.array_join(F.array_sort(F.array_distinct(F.transform(F.col(memberships), lambda s: F.coalesce(F.concat(F.lit("+"), s), none)))), "\x01")
-    spread = F.shiftright(doc_hash(F.col(id_col), seed=seed), 4).bitwiseAND(F.lit((1 << 60) - 1))
-    rows = written(docs.select(F.col(id_col).alias("doc_id"), words.alias("size"), F.coalesce(pattern, none).alias("pattern"), spread.alias("_hash")), "mix-rows")
+    words, pattern, spread = _size(text_col) if size is None else size, _pattern(F.col(memberships)), _spread(F.col(id_col), seed)
+    rows = written(docs.select(F.col(id_col).alias("doc_id"), words.alias("size"), pattern.alias("pattern"), spread.alias("_hash")), "mix-rows")
     totals = {r[0]: r[1] for r in rows.groupBy("pattern").agg(F.sum("size")).collect()}
     members = {p: tuple(None if s == "\x00" else s[1:] for s in p.split("\x01")) if p else () for p in totals}
     sizes: dict = {}
@@ -107,8 +104,38 @@ def mix(docs: DataFrame, memberships: str = "sources", weights=WEIGHTS, repeats:
     spark = docs.sparkSession
     plan = spark.createDataFrame([(p, base[p], cuts.get(p, -1)) for p in sorted(totals)] or [("", 0, -1)], "pattern string, _base int, _cut long")
     # One row for each pattern, as many as have just been collected.
-    chosen = rows.join(F.broadcast(plan), "pattern").select("doc_id", "size", "pattern", (F.when(F.col("size") > 0, F.col("_base") + (F.col("_hash") <= F.col("_cut")).cast("int")).otherwise(0)).alias("copies"))
-    return chosen, sizes, targets
+    chosen = rows.join(F.broadcast(plan), "pattern").select("doc_id", "size", "pattern", _copies(F.col("size"), F.col("_hash")).alias("copies"))
+    return chosen, plan, sizes, targets
+
+
+def _copies(size: Column, spread: Column) -> Column:
+    return F.when(size > 0, F.col("_base") + (spread <= F.col("_cut")).cast("int")).otherwise(0)
+
+
+def _size(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def _pattern(members: Column) -> Column:
+    none = F.lit("\x00")
+    return F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform(members, lambda s: F.coalesce(F.concat(F.lit("+"), s), none)))), "\x01"), none)
+
+
+def _spread(id_col: Column, seed: int) -> Column:
+    return F.shiftright(doc_hash(id_col, seed=seed), 4).bitwiseAND(F.lit((1 << 60) - 1))
+
+
+def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, all columns kept.
+
+    Rows without words, or with an id outside the seeded choice, are not taken.
+    """
+    _, plan, _, _ = mix(docs.select("doc_id", "text", F.array("source").alias("sources")), seed=seed)
+    pattern = _pattern(F.array("source"))
+    inner = [F.col(c) for c in docs.columns]
+    wide = docs.select(F.struct(*inner).alias("_row"), pattern.alias("pattern"), _size("text").alias("_size"), _spread(F.col("doc_id"), seed).alias("_hash"))
+    taken = wide.join(F.broadcast(plan), "pattern").select("_row", _copies(F.col("_size"), F.col("_hash")).alias("_n")).where("_n > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")
 
 
 def _cuts(rows: DataFrame, want: dict[str, int]) -> dict[str, int]:
@@ -151,7 +178,7 @@ def _cuts(rows: DataFrame, want: dict[str, int]) -> dict[str, int]:
 def source_mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """Mix of a table with one ``source`` column: doc_id, size, source, source_size, target, taken, copies."""
     spark = docs.sparkSession
-    rows, sizes, targets = mix(docs.select("doc_id", "text", F.array("source").alias("sources")), seed=seed)
+    rows, _, sizes, targets = mix(docs.select("doc_id", "text", F.array("source").alias("sources")), seed=seed)
     stats = spark.createDataFrame([(("\x00" if s is None else "+" + s), s, sizes[s], targets[s]) for s in sizes] or [("", None, 0, 0.0)], "pattern string, source string, source_size long, target double")
     return rows.join(F.broadcast(stats), "pattern").select("doc_id", "size", "source", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
