@@ -12,7 +12,6 @@ fixed order and take the places that the patterns gave to their length.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 
 import pyarrow as pa
@@ -26,7 +25,6 @@ END = 1
 SEED = 41
 #: The split pattern of the byte-level vocabularies (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_CACHED = 400_000
 _loaded: dict[str, "Ids"] = {}
 
 
@@ -36,13 +34,8 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class Ids(dict):
-    """Token ids (little-endian 32-bit) of a text, with a cache by space-separated unit.
-
-    A single space before a visible character always starts a new token, so units
-    cut there have the same ids alone as in the text. A text where a space comes
-    before white space or at the end is encoded in one go.
-    """
+class Ids:
+    """Token ids (little-endian 32-bit) of a text under a byte-level vocabulary file of ``tokenizers``."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -55,23 +48,9 @@ class Ids(dict):
         byte = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(others)}
         ranks = {bytes(byte[c] for c in token): n for token, n in spec["model"]["vocab"].items() if token not in special}
         self.encoder = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self.odd = re.compile(r" (?=\s|\Z)")
-
-    def __missing__(self, unit: str) -> bytes:
-        found = self.encoder.encode_to_numpy(unit).astype("<u4").tobytes()
-        if len(unit) <= 40:
-            if len(self) >= _CACHED:
-                self.clear()
-            self[unit] = found
-        return found
 
     def of(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.odd.search(text):
-            return self.encoder.encode_to_numpy(text).astype("<u4").tobytes()
-        head, *rest = text.split(" ")
-        return (self[head] if head else b"") + b"".join(map(self.__getitem__, map(" ".__add__, rest)))
+        return self.encoder.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes() if text else b""
 
 
 def ids_of(path: str) -> Ids:
