@@ -80,6 +80,7 @@ def itemsets(pairs: DataFrame, config: BasketConfig = BasketConfig()) -> tuple[D
     ordered pairs, then triples of which all pairs are frequent. Baskets have at
     most the tracked items, which bounds the self-join.
     """
+    pairs = pairs.persist()  # read once for each level; spills to disk
     n = pairs.select("Invoice").distinct().count()
     least = min_count(config.min_support, n)
     none = F.lit(None).cast("string")
@@ -87,7 +88,7 @@ def itemsets(pairs: DataFrame, config: BasketConfig = BasketConfig()) -> tuple[D
     live = pairs.join(one.select(F.col("a").alias("Item")), "Item", "left_semi")
     x, y = live.select("Invoice", F.col("Item").alias("a")), live.select("Invoice", F.col("Item").alias("b"))
     couples = x.join(y, "Invoice").where("a < b")
-    two = couples.groupBy("a", "b").agg(F.count("*").alias("count")).where(F.col("count") >= least)
+    two = couples.groupBy("a", "b").agg(F.count("*").alias("count")).where(F.col("count") >= least).persist()
     out = one.select(F.lit(1).alias("size"), "a", none.alias("b"), none.alias("c"), "count").unionAll(two.select(F.lit(2).alias("size"), "a", "b", none.alias("c"), "count"))
     if config.max_len >= 3:
         frequent = couples.join(two.select("a", "b"), ["a", "b"], "left_semi")
@@ -95,7 +96,7 @@ def itemsets(pairs: DataFrame, config: BasketConfig = BasketConfig()) -> tuple[D
         triples = frequent.join(third, ["Invoice", "a"]).where("b < c").join(two.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"], "left_semi")
         three = triples.groupBy("a", "b", "c").agg(F.count("*").alias("count")).where(F.col("count") >= least)
         out = out.unionAll(three.select(F.lit(3).alias("size"), "a", "b", "c", "count"))
-    return out.withColumn("support", F.col("count") / F.lit(float(max(n, 1)))), n
+    return out.withColumn("support", F.col("count") / F.lit(float(max(n, 1)))).persist(), n
 
 
 def rules(sets: DataFrame, n: int, config: BasketConfig = BasketConfig()) -> DataFrame:

@@ -48,7 +48,8 @@ def grid(sales: DataFrame, config: LifecycleConfig = LifecycleConfig()) -> DataF
     # Each active month fills the months up to the next one, so no join is needed.
     following = F.coalesce(F.lead("ym").over(w) - 1, F.col("last"))
     prev = F.lag("ym").over(w)
-    spans = months.select("CustomerID", F.col("ym").alias("active_ym"), "revenue", prev.alias("prev"), F.explode(F.sequence(F.col("ym"), following)).alias("ym"))
+    spans = months.select("CustomerID", F.col("ym").alias("active_ym"), "revenue", prev.alias("prev"), following.alias("until"))
+    spans = spans.select("CustomerID", "active_ym", "revenue", "prev", F.explode(F.sequence("active_ym", "until")).alias("ym"))
     gap = F.col("ym") - F.col("active_ym")
     stage = (
         F.when((gap == 0) & F.col("prev").isNull(), "new")
