@@ -20,6 +20,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(name: str) -> str:
+    """A column name that no input has."""
+    return f"_{name}_{uuid.uuid4().hex}"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read, written
+from .common import fresh, read, written
 
 #: Rows of the broadcast table; with a digest and three numbers each, 1024 rows are about 0.1 MB.
 MAX_HEAVY = 1024
@@ -59,10 +59,10 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows are matched by id and digest, so a row that repeats an id with another
     text is judged for itself; rows that repeat both stay or go together.
     """
-    out = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    gone = written(out, "copies")
+    out = exact_dedup(docs, id_col, text_col).where("not kept").select("doc_id", "text_sha256").distinct()
+    gone = written(out, "copies").toDF(one := fresh("id"), two := fresh("sha"))
     sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_anti")
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(one)) & (sha == F.col(two)), "left_anti")
 
 
 def op2_exact_dedup(spark, sf_dir):

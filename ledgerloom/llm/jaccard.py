@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sieve, byte_batches, drop, joined_words, mix, read, rolled, written
+from .common import Sieve, byte_batches, drop, fresh, joined_words, mix, read, rolled, written
 from .components import components
 
 SHINGLE = 5
@@ -377,9 +377,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows without shingles stay, and so do rows with a null id.
     """
-    out = jaccard_groups(docs, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
-    gone = written(out, "near-copies")
-    return docs.join(gone, (F.col(id_col) == F.col("_id")) & (F.xxhash64(text_col) == F.col("_mark")), "left_anti")
+    out = jaccard_groups(docs, id_col, text_col).where("component_id <> doc_id").select("doc_id", "mark").distinct()
+    gone = written(out, "near-copies").toDF(one := fresh("id"), two := fresh("mark"))
+    return docs.join(gone, (F.col(id_col) == F.col(one)) & (F.xxhash64(text_col) == F.col(two)), "left_anti")
 
 
 def op5_ngram_jaccard_join(spark, sf_dir):
