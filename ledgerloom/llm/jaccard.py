@@ -335,7 +335,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = written(nodes.join(classes, "node"), "candidate-docs")
     texts = Sieve(wanted, "doc_id").prune(docs.where("doc_id is not null"), "doc_id").join(wanted, "doc_id")
     # Rows that repeat an id with another text are told apart by the set's identity.
-    texts = written(_of_node(texts), "candidate-texts").dropDuplicates(["node"])
+    # Written once more so that joins meet bare exchanges, which adaptive execution can split at hot leaders.
+    texts = written(written(_of_node(texts), "candidate-rows").dropDuplicates(["node"]), "candidate-texts")
     links = written(_verified(pairs, texts), "links-star")
     labels = written(components(links), "labels")
     la, lb = labels.select(F.col("node").alias("a"), F.col("component").alias("la")), labels.select(F.col("node").alias("b"), F.col("component").alias("lb"))
