@@ -103,8 +103,17 @@ def within_week_slopes(sales: DataFrame, config: PricingConfig = PricingConfig()
 def slopes(sales: DataFrame, config: PricingConfig = PricingConfig(), permute: bool = True) -> DataFrame:
     """Three slopes of each code with enough weeks and weekly prices, and a seeded permutation p-value."""
     panel = weekly(sales, config)
-    fit = panel.groupBy("StockCode").agg(F.count("*").alias("weeks"), F.count_distinct("posted_price").alias("week_prices")).where((F.col("weeks") >= config.min_weeks) & (F.col("week_prices") >= config.min_week_prices))
-    out = fit.join(within_week_slopes(sales, config), "StockCode", "left").join(ols_slope(panel, "StockCode", "log_price", "log_units", "slope_between_week"), "StockCode", "left").join(ols_slope(panel, "StockCode", "log_price", "log_units_adj", "slope_market_adj"), "StockCode", "left")
+    # Counts and the sums of both slopes in one pass over the panel.
+    x, n = "log_price", F.col("weeks")
+    sums = panel.groupBy("StockCode").agg(
+        F.count("*").alias("weeks"), F.count_distinct("posted_price").alias("week_prices"), F.sum(x).alias("sx"), F.sum(F.col(x) * F.col(x)).alias("sxx"),
+        *[e for y in ("log_units", "log_units_adj") for e in (F.sum(y).alias(f"s_{y}"), F.sum(F.col(x) * F.col(y)).alias(f"sx_{y}"))],
+    )
+    sums = sums.where((F.col("weeks") >= config.min_weeks) & (F.col("week_prices") >= config.min_week_prices))
+    spread = F.col("sxx") - F.col("sx") * F.col("sx") / n
+    slope = lambda y: F.when(spread > 1e-12, (F.col(f"sx_{y}") - F.col("sx") * F.col(f"s_{y}") / n) / spread)
+    fit = sums.select("StockCode", "weeks", "week_prices", slope("log_units").alias("slope_between_week"), slope("log_units_adj").alias("slope_market_adj"))
+    out = fit.join(within_week_slopes(sales, config), "StockCode", "left").select("StockCode", "weeks", "week_prices", "slope_within_week", "slope_between_week", "slope_market_adj")
     if not permute:
         return out
     ranked = fit.select("StockCode", (F.row_number().over(Window.orderBy("StockCode")) - 1).alias("i"))  # one row a code

@@ -106,8 +106,15 @@ def _clv_fit(f):
     return f.sales.sparkSession.createDataFrame([(p.r, p.alpha, p.a, p.b, g.p, g.q, g.v, g.population_mean())], "r double, alpha double, a double, b double, p double, q double, v double, population_mean double")
 
 
+def _weeks(f):
+    """Weekly revenue, one row a week, cached for all forecasting queries of a session."""
+    if not hasattr(f, "weeks"):
+        f.weeks = forecast.weekly_revenue(f.sales).persist()
+    return f.weeks
+
+
 def _errors(f):
-    weeks = forecast.weekly_revenue(f.sales)
+    weeks = _weeks(f)
     return forecast.baseline_errors(weeks, forecast.fold_origins(weeks))
 
 
@@ -166,11 +173,11 @@ _MADE = {
     "clv14_lorenz": lambda f: clv.lorenz(rfm.rfm_table(f.sales), "Monetary"),
     "fc1_weekly_revenue": lambda f: _day(forecast.weekly_revenue(f.sales), "week"),
     "fc6_baseline_errors": lambda f: _rounded(_rounded(_errors(f), 2, "mae"), 6, "mase"),
-    "fc7_folds": lambda f: forecast.fold_origins(forecast.weekly_revenue(f.sales)),
+    "fc7_folds": lambda f: forecast.fold_origins(_weeks(f)),
     "fc8_baseline_summary": lambda f: _rounded(_rounded(forecast.summarize(_errors(f)), 6, "mean_mase", "worst_mase"), 2, "mean_mae"),
-    "fc8_cross_validation": lambda f: forecast.cross_validate(forecast.weekly_revenue(f.sales)),
-    "fc8_cv_summary": lambda f: forecast.summarize(forecast.cross_validate(forecast.weekly_revenue(f.sales))),
-    "fc9_final_fold": lambda f: forecast.final_fold(forecast.weekly_revenue(f.sales)),
+    "fc8_cross_validation": lambda f: forecast.cross_validate(_weeks(f)),
+    "fc8_cv_summary": lambda f: forecast.summarize(forecast.cross_validate(_weeks(f))),
+    "fc9_final_fold": lambda f: forecast.final_fold(_weeks(f)),
     "fc10_code_weeks": lambda f: forecast.code_weeks(f.sales).drop("first"),
     "fc10_top_code_forecasts": lambda f: forecast.top_code_forecasts(f.sales),
     "bsk2_catalog": lambda f: basket.catalog(f.sales, BASKET.top_items),
