@@ -220,9 +220,9 @@ def _search(rows: DataFrame, threshold: float) -> DataFrame:
         for i in ask:  # queries from other parts of the shard
             found, _ = range_search(w, graph, v[i], start, threshold)
             n = sum(int(copies[mine[b]]) for b in found if min(shards[i] & shards[mine[b]]) == shard)
-            if len(found):
-                out.append((int(node[i]), n, int(node[mine[root(int(found[0]))]])))
-                out += [(int(node[mine[int(b)]]), 0, int(node[i])) for b in found]
+            # One row for each group met here, not for each link: the groups are whole already.
+            for k, r in enumerate(sorted({root(int(b)) for b in found})):
+                out.append((int(node[i]), 0 if k else n, int(node[mine[r]])))
         return pa.table({"node": pa.array([x[0] for x in out], pa.int64()), "links": pa.array([x[1] for x in out], pa.int64()), "group": pa.array([x[2] for x in out], pa.int64())})
 
     return rows.groupBy("shard", "part").applyInArrow(run, "node long, links long, group long")
