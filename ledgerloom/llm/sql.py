@@ -9,4 +9,29 @@ SELECT doc_id,
 FROM documents
 """
 
-ORACLES = {"op2_exact_dedup": EXACT_DEDUP}
+SUBSTRING_DEDUP = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM w WHERE len(ws) >= 50),
+win AS (SELECT doc_id, p, array_to_string(ws[p:p + 49], ' ') AS h FROM starts),
+least AS (SELECT h, min(doc_id) AS md FROM win GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, i FROM (SELECT win.doc_id, unnest(range(p, p + 50)) AS i FROM win JOIN least USING (h) WHERE md < win.doc_id)),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+NGRAM_JACCARD_JOIN = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS p FROM w WHERE len(ws) > 0),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[p:p + 4], ' ') AS s FROM starts),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+pair AS (SELECT a, b FROM shared JOIN size sa ON sa.doc_id = a JOIN size sb ON sb.doc_id = b WHERE 100 * k >= 80 * (sa.n + sb.n - k)),
+link AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair),
+reach AS (SELECT doc_id, doc_id AS r FROM w UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON reach.r = link.a)
+SELECT w.doc_id, coalesce(any_value(size.n), 0) AS n_shingles, min(r) AS component_id
+FROM w LEFT JOIN size USING (doc_id) JOIN reach USING (doc_id) GROUP BY w.doc_id
+"""
+
+ORACLES = {"op1_substring_dedup": SUBSTRING_DEDUP, "op2_exact_dedup": EXACT_DEDUP, "op5_ngram_jaccard_join": NGRAM_JACCARD_JOIN}

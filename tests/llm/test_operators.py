@@ -13,6 +13,17 @@ from ledgerloom.llm import exact_dedup, flow, html_render, jaccard, langid, mixi
 from ledgerloom.llm.components import components
 
 
+def by_sql(rows, name):
+    """A query's SQL in DuckDB over the small table: {doc_id: the other columns}."""
+    import duckdb
+    import pandas as pd
+
+    from ledgerloom.llm.sql import ORACLES
+
+    documents = pd.DataFrame({"doc_id": [r[0] for r in rows], "text": pd.Series([r[1] for r in rows], dtype=object)})  # noqa: F841
+    return {r[0]: tuple(r[1:]) for r in duckdb.sql(ORACLES[name]).fetchall()}
+
+
 def test_substring(spark, docs, rows, none):
     first, want = {}, {}
     for i, t, *_ in sorted(rows):
@@ -27,7 +38,7 @@ def test_substring(spark, docs, rows, none):
             first.setdefault(k, i)
         want[i] = (len(w), keep.count(False), hashlib.sha256(b" ".join(x for x, y in zip(w, keep) if y)).hexdigest())
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.substring_dedup(docs).collect()}
-    assert got == want and sum(v[1] for v in want.values()) > 500
+    assert got == want == by_sql(rows, "op1_substring_dedup") and sum(v[1] for v in want.values()) > 500
     assert substring.substring_dedup(none).count() == 0
 
 
@@ -37,7 +48,7 @@ def test_exact(docs, rows, none):
         groups[t or ""].append(i)
     want = {i: (max(groups[t or ""]), len(groups[t or ""]), i == max(groups[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, *_ in rows}
     got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_dedup(docs).collect()}
-    assert got == want
+    assert got == want == by_sql(rows, "op2_exact_dedup")
     assert exact_dedup.exact_dedup(none).count() == 0
     kept = {r.doc_id for r in exact_dedup.without_copies(docs).collect()}
     assert kept == {i for i, w in want.items() if w[2]}
@@ -67,7 +78,7 @@ def test_jaccard(docs, rows, none):
             comp[max(x, y)] = min(x, y)
     want = {i: (len(s), find(i)) for i, s in sets.items()}
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(docs).collect()}
-    assert got == want and sum(find(i) != i for i in sets) > 15
+    assert got == want == by_sql(rows, "op5_ngram_jaccard_join") and sum(find(i) != i for i in sets) > 15
     assert jaccard.jaccard_groups(none).count() == 0
 
 
