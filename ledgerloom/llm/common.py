@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows in an Arrow batch; long texts make Spark's default of 10,000 heavy on executors.
+BATCH_ROWS = 1000
+
 _MADE: list[tuple[SparkSession, str]] = []
 
 
@@ -35,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", found)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # unless set by the user
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return found
 
 
@@ -153,7 +159,16 @@ def rolled(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def byte_batches(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20):
+def release() -> None:
+    """Give freed memory back: workers live on from one stage to the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        return
+
+
+def byte_batches(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20):
     """Slices of a batch of about ``most`` bytes of text: (first row, texts as bytes).
 
     A null text comes out as None. A single longer text is a slice of its own.
@@ -170,6 +185,7 @@ def byte_batches(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 2
         size += n
     if texts:
         yield first, texts
+    release()
 
 
 def joined_words(texts: list[bytes | None], seed: int = 0):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_batches, doc_hash, read
+from .common import byte_batches, doc_hash, read, shared_dir
 
 DIMS = 4096
 SIZES = (1, 2, 3, 4)
@@ -100,6 +100,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     Rows with null labels or texts are left out. The sample's count vectors, not
     its texts, come to the driver: 8 kB a row.
     """
+    shared_dir(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     u = F.pmod(doc_hash("doc_id", seed=SEED), F.lit(1 << 30)) / float(1 << 30)
