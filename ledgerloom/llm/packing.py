@@ -11,9 +11,11 @@ fixed order and take the places that the patterns gave to their length.
 
 from __future__ import annotations
 
-import json
+import os
+import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,8 +25,8 @@ from .common import byte_batches, doc_hash, read, written
 WINDOW = 2048
 END = 1
 SEED = 41
-#: The split pattern of the byte-level vocabularies (fixed value).
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Units whose ids a worker remembers (twice as many at most, besides those of a slice of text).
+REMEMBERED = 250_000
 _loaded: dict[str, "Ids"] = {}
 
 
@@ -35,22 +37,44 @@ def default_tokenizer() -> str:
 
 
 class Ids:
-    """Token ids (little-endian 32-bit) of a text under a byte-level vocabulary file of ``tokenizers``."""
+    """Token ids (little-endian 32-bit) of texts under a byte-level vocabulary file, by ``tokenizers``.
 
-    def __init__(self, path: str):
-        import tiktoken
-
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        special = {t["content"] for t in spec.get("added_tokens", ())}
-        visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        others = [b for b in range(256) if b not in set(visible)]
-        byte = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(others)}
-        ranks = {bytes(byte[c] for c in token): n for token, n in spec["model"]["vocab"].items() if token not in special}
-        self.encoder = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    A space before a visible character always starts a new token there, so the
+    units between such spaces have the same ids alone as in the whole text. Each
+    unit is encoded once and remembered. Strings of special tokens in a text are
+    ordinary text.
+    """
 
-    def of(self, text: str) -> bytes:
-        return self.encoder.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes() if text else b""
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks use the cores
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.loose = re.compile(r" (?=\s|\Z)")
+        self.cut = re.compile(r" (?=\S)")
+
+    def _units(self, text: str) -> list[str]:
+        units = (self.cut.split(text) if self.loose.search(text) else text.split(" ")) if text else [""]
+        units[1:] = map(" ".__add__, units[1:])
+        return units
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        if len(self.known) > REMEMBERED:  # frequent units come back from the older half when next used
+            self.known, self.older = {}, self.known
+        units = [self._units(t) for t in texts]
+        lacking = set().union(*units).difference(self.known)
+        again = lacking.intersection(self.older)
+        self.known.update(zip(again, map(self.older.__getitem__, again)))
+        lacking = list(lacking - again)
+        for a in range(0, len(lacking), 256):
+            part = lacking[a : a + 256]
+            for unit, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.known[unit] = np.array(found.ids, "<u4").tobytes()
+        return [b"".join(map(self.known.__getitem__, u)) for u in units]
 
 
 def ids_of(path: str) -> Ids:
@@ -69,8 +93,8 @@ def tokenized(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int =
         for batch in batches:
             for first, texts in byte_batches(batch):
                 n, crcs, kept = [], [], []
-                for text in texts:
-                    ids = encode.of(text.decode("utf-8", "replace") if text else "") + stop
+                for ids in encode.of([t.decode("utf-8", "replace") if t else "" for t in texts]):
+                    ids += stop
                     n.append(len(ids) // 4)
                     crcs.append([zlib.crc32(ids[a : a + span]) for a in range(0, len(ids), span)])
                     if keep_ids:

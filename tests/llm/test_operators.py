@@ -208,7 +208,7 @@ def test_ids_are_those_of_the_vocabulary(odd):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    assert np.frombuffer(packing.ids_of(path).of(odd), "<u4").tolist() == t.encode(odd, add_special_tokens=False).ids
+    assert np.frombuffer(packing.ids_of(path).of([odd])[0], "<u4").tolist() == t.encode(odd, add_special_tokens=False).ids
 
 
 def test_bins_are_filled():
