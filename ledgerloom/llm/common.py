@@ -168,11 +168,19 @@ def release() -> None:
         return
 
 
-def byte_batches(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20):
+#: What a worker keeps from one task to the next of the same operator.
+KEPT: dict[str, object] = {}
+
+
+def byte_batches(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20, keeping: str | None = None):
     """Slices of a batch of about ``most`` bytes of text: (first row, texts as bytes).
 
     A null text comes out as None. A single longer text is a slice of its own.
+    Of ``KEPT``, only the entry named by ``keeping`` stays: what another operator
+    left in this worker goes.
     """
+    for name in KEPT.keys() - {keeping}:
+        del KEPT[name]
     array = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
     texts, size, first = [], 0, 0
     for i in range(len(array)):

@@ -20,14 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_batches, doc_hash, read, written
+from .common import KEPT, byte_batches, doc_hash, read, written
 
 WINDOW = 2048
 END = 1
 SEED = 41
 #: Units whose ids a worker remembers (twice as many at most, besides those of a slice of text).
 REMEMBERED = 250_000
-_loaded: dict[str, "Ids"] = {}
 
 
 def default_tokenizer() -> str:
@@ -78,9 +77,9 @@ class Ids:
 
 
 def ids_of(path: str) -> Ids:
-    if path not in _loaded:
-        _loaded[path] = Ids(path)
-    return _loaded[path]
+    if path not in KEPT:
+        KEPT[path] = Ids(path)
+    return KEPT[path]
 
 
 def tokenized(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,7 +90,7 @@ def tokenized(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int =
     def run(batches):
         encode = ids_of(tokenizer)
         for batch in batches:
-            for first, texts in byte_batches(batch):
+            for first, texts in byte_batches(batch, keeping=tokenizer):
                 n, crcs, kept = [], [], []
                 for ids in encode.of([t.decode("utf-8", "replace") if t else "" for t in texts]):
                     ids += stop
