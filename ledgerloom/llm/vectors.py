@@ -8,6 +8,9 @@ got in its parts are united, and within each part the union is searched: greedil
 from the medoid to a query, then outward through every node within range. Links
 are verified in double precision. Recall is audited against brute force on a
 sample of queries; where it falls short, the overlap grows and the work is redone.
+Centroids that cut up one dense group are merged, so that its members meet in one
+shard. Where the audit falls short at the greatest overlap too, all nodes are
+compared with all others in blocks.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ SAMPLE, CENTROIDS, AUDIT = 8192, 1024, 256
 #: Least recall of the audit, and shards of a node at first and at most.
 RECALL, OVERLAP, MOST = 0.97, 2, 5
 ALPHA, BEAM, SLACK = 1.2, 24, 0.08
+#: Queries compared with all nodes at once, where the graph falls short.
+QUERIES = 4096
 SEED = 6
 
 
@@ -60,8 +65,8 @@ def unit_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     return table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("embedding")).mapInArrow(run, "vec_id long, unit array<double>, dims int")
 
 
-def _centroids(v: np.ndarray, k: int) -> np.ndarray:
-    """Spherical k-means with a fixed start."""
+def _centroids(v: np.ndarray, k: int, tight: float = THRESHOLD - SLACK) -> np.ndarray:
+    """Spherical k-means with a fixed start; clusters whose members link across are one."""
     rng = np.random.default_rng(SEED)
     c = v[np.sort(rng.choice(len(v), min(k, len(v)), replace=False))]
     for _ in range(8):
@@ -70,7 +75,35 @@ def _centroids(v: np.ndarray, k: int) -> np.ndarray:
         np.add.at(s, who, v)
         norm = np.linalg.norm(s, axis=1, keepdims=True)
         c = np.where(norm > 0, s / np.where(norm > 0, norm, 1), c)
-    return c
+    return _merged(v, c, tight)
+
+
+def _merged(v: np.ndarray, c: np.ndarray, tight: float) -> np.ndarray:
+    """Centroids after joining, closest first, clusters of ``v`` with a mean cosine of ``tight`` or more between them.
+
+    The mean over pairs of members tells a dense group that was cut up from wide
+    clusters whose centroids are close because they are means of many rows.
+    """
+    who = (v @ c.T).argmax(1)
+    s = np.zeros_like(c)
+    np.add.at(s, who, v)
+    size = np.bincount(who, minlength=len(c)).astype(np.float64)
+    between = (s @ s.T) / np.maximum(np.outer(size, size), 1)
+    between[size == 0] = between[:, size == 0] = -1
+    np.fill_diagonal(between, -1)
+    joined, gone = np.zeros(len(c), bool), np.zeros(len(c), bool)
+    while True:
+        a, b = divmod(int(between.argmax()), len(c))
+        if between[a, b] < tight:
+            break
+        s[a] += s[b]
+        size[a] += size[b]
+        joined[a], gone[b] = True, True
+        between[b] = between[:, b] = -1
+        live = between[a] > -1
+        between[a, live] = between[live, a] = (s[live] @ s[a]) / (size[live] * size[a])
+    c = np.where(joined[:, None], s / np.maximum(np.linalg.norm(s, axis=1, keepdims=True), 1e-300), c)
+    return c[~gone]
 
 
 def robust_prune(v: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, pool: int = 96) -> list[np.ndarray]:
@@ -278,7 +311,11 @@ def link_vectors(table: DataFrame, threshold: float = THRESHOLD, id_col: str = "
         while True:
             found, groups = _graph_links(nodes, centroids, overlap, threshold)
             recall = _audit(nodes, found, threshold)
-            if recall >= RECALL or overlap >= min(MOST, len(centroids)):
+            if recall >= RECALL:
+                break
+            if overlap >= min(MOST, len(centroids)):
+                found, groups = _exact_links(nodes, threshold)
+                recall = 1.0
                 break
             overlap += 1
         marks = nodes.select("mark", "node", "copies")
@@ -312,5 +349,52 @@ def _graph_links(nodes: DataFrame, centroids: np.ndarray, overlap: int, threshol
     return found, groups
 
 
+def _exact_links(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(node, links) and (node, component) by brute force, about QUERIES nodes against all at once."""
+    rounds = -(-nodes.count() // QUERIES)
+    block = F.pmod(doc_hash("node", seed=SEED + 3), F.lit(rounds))
+    far = np.iinfo(np.int64).max
+
+    def compared(r: int) -> DataFrame:
+        some = nodes.where(block == r).select("node", "unit", "copies").toArrow()
+        held = nodes.sparkSession.sparkContext.broadcast((some.column("node").to_numpy(), _matrix(some.column("unit")), some.column("copies").to_numpy()))
+
+        def run(batches):
+            ids, q, copies = held.value
+            for batch in batches:
+                for a in range(0, len(batch) if len(ids) else 0, 1024):
+                    own, v = batch.column(0).slice(a, 1024).to_numpy(), _matrix(batch.column(1).slice(a, 1024))
+                    near = (v @ q.T >= threshold) & (own[:, None] != ids[None, :])
+                    i, j = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+                    near = near[np.ix_(i, j)]
+                    rows, cols = own[i], ids[j]
+                    while len(i):  # least node of each group in this block
+                        down = np.minimum(rows, np.where(near, cols[None, :], far).min(1))
+                        over = np.minimum(cols, np.where(near, down[:, None], far).min(0))
+                        same = (down == rows).all() and (over == cols).all()
+                        rows, cols = down, over
+                        if same:
+                            break
+                    other = cols != ids[j]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((own[i], ids[j][other]))), pa.array(np.concatenate((near @ copies[j], np.zeros(other.sum(), np.int64)))), pa.array(np.concatenate((rows, cols[other])))], ["node", "links", "group"])
+
+        return nodes.select("node", "unit").mapInArrow(run, "node long, links long, group long")
+
+    made: list[DataFrame] = []
+    for r in range(rounds):
+        made.append(written(compared(r), "block-links"))
+        if len(made) == 32 or r == rounds - 1:  # plans stay short
+            whole = made[0]
+            for t in made[1:]:
+                whole = whole.unionAll(t)
+            whole = written(whole, "exact-links")
+            for t in made:
+                drop(t)
+            made = [whole]
+    links = made[0]
+    found = written(links.groupBy("node").agg(F.sum("links").alias("links")), "link-counts")
+    return found, components(links.where("node <> `group`").select(F.col("node").alias("a"), F.col("group").alias("b")))
+
+
 def op6_embedding_near_dedup(spark, sf_dir):
     return link_vectors(read(spark, sf_dir, "embeddings"))[0]

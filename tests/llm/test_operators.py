@@ -321,3 +321,39 @@ def test_graph_search_alone():
         found, true = found + len(want & set(ids.tolist())), true + len(want)
         assert set(ids.tolist()) <= want
     assert found >= 0.95 * true
+
+
+def test_a_dense_group_is_not_cut_up():
+    """Many centroids fall into one group of distinct near copies; its pairs still share a shard."""
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(3000, 64))
+    v[:1000] = v[0] + rng.normal(size=(1000, 64)) * 0.2 * np.linalg.norm(v[0]) / 8
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    c = vectors._centroids(v, 400)
+    shards = np.argsort(-(v @ c.T), axis=1)[:, : vectors.OVERLAP]
+    met = sum((shards[:1000, None, x] == shards[None, :1000, y]) for x in range(vectors.OVERLAP) for y in range(vectors.OVERLAP)) > 0
+    near = v[:1000] @ v[:1000].T >= 0.95
+    np.fill_diagonal(near, False)
+    assert near.sum() > 100_000 and (met & near).sum() >= 0.97 * near.sum()
+    assert len(c) > 200  # ordinary rows keep theirs
+
+
+def test_links_are_whole_where_the_graph_falls_short(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    v = rng.normal(size=(150, 16))
+    v[50:90] = v[0] + rng.normal(size=(40, 16)) * 0.12
+    v[100:] = v[:50] + rng.normal(size=(50, 16)) * 0.05
+    v = np.concatenate((v, v[:3]))
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    near = v @ v.T >= 0.95
+    np.fill_diagonal(near, False)
+    comp = np.arange(len(v))
+    while (low := np.minimum(comp, np.where(near, comp, len(v)).min(1))).tolist() != comp.tolist():
+        comp = low
+    nothing = spark.createDataFrame([], "node long, links long"), spark.createDataFrame([], "node long, component long")
+    monkeypatch.setattr(vectors, "_graph_links", lambda *_: nothing)
+    monkeypatch.setattr(vectors, "QUERIES", 40)
+    out, recall = vectors.link_vectors(df)
+    assert recall >= vectors.RECALL
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out.collect()} == {i: (int(near[i].sum()), int(comp[i])) for i in range(len(v))}
