@@ -77,7 +77,8 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 def band_keys(s: np.ndarray, low: int) -> tuple[np.ndarray, int]:
     """Keys of a set in the band [low, 2 * low), and how many it must share with a partner."""
     n, top = len(s), 2 * low - 1
-    differ = (n + min(n * DEN // NUM, top)) // 9
+    # A set of the band meets larger ones of the band above here; a set from there meets this band's alone.
+    differ = (n + (n * DEN // NUM if n <= top else top)) // 9
     tag = _U(low * 0x9E3779B97F4A7C15 % 2**64)
     h = mix(s + tag)
     if low < SMALL:

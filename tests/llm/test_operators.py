@@ -97,6 +97,34 @@ def test_similar_sets_share_a_key(n):
         assert any(len(np.intersect1d(ka, kb)) >= max(na, nb, 1) for x in low for (ka, na), (kb, nb) in [(jaccard.band_keys(a, x), jaccard.band_keys(b, x))])
 
 
+@pytest.mark.parametrize("low", [8, 16, 32, 64, 128])
+def test_sets_across_a_band_limit_share_as_many_keys_as_they_need(low):
+    """The worst case: every difference lies in a segment of its own."""
+    rng = np.random.default_rng(low)
+    top = 2 * low - 1
+    m = (top // 4 + 2) // 2 if low < jaccard.SMALL else top // 4 + 1
+    some = np.unique(rng.integers(0, 2**63, 40 * top, dtype=np.uint64))
+    seg = (jaccard.mix(some + np.uint64(low * 0x9E3779B97F4A7C15 % 2**64)) % np.uint64(m)).astype(int)
+    pool = [list(some[seg == j]) for j in range(m)]
+    deal = lambda n: [pool[j % m].pop() for j in range(n)]
+    tried = 0
+    for a in range(low, top + 1):
+        for b in range(top + 1, a * 5 // 4 + 1):
+            for lost in range(a // 9 + 1):
+                if 5 * (a - lost) < 4 * (b + lost):
+                    continue
+                kept = pool
+                pool = [list(x) for x in kept]
+                both, apart = deal(a - lost), deal(b - a + 2 * lost)
+                pool = kept
+                x, y = (np.sort(np.array(both + part, np.uint64)) for part in (apart[:lost], apart[lost:]))
+                assert jaccard.similar(x, y) and (len(x), len(y)) == (a, b) and low in jaccard.bands(a) and low in jaccard.bands(b)
+                (kx, nx), (ky, ny) = jaccard.band_keys(x, low), jaccard.band_keys(y, low)
+                assert len(np.intersect1d(kx, ky)) >= max(nx, ny), (a, b, lost)
+                tried += 1
+    assert tried
+
+
 def test_blockwise_finds_what_a_star_leaves(spark):
     rng = random.Random(5)
     base = [f"w{i}" for i in range(100)]
