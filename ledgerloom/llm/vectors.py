@@ -26,8 +26,8 @@ from .components import components
 THRESHOLD = 0.95
 #: Nodes in a part at most, about, and out-edges of a node in a part.
 CAP, DEGREE = 1500, 24
-#: Vectors used to place the centroids, centroids at most, and queries of the audit.
-SAMPLE, CENTROIDS, AUDIT = 8192, 1024, 256
+#: Vectors used to place the centroids, centroids at most, and queries of the audit with and without links.
+SAMPLE, CENTROIDS, AUDIT, UNLINKED = 8192, 1024, 256, 2048
 #: Least recall of the audit, and shards of a node at first and at most.
 RECALL, OVERLAP, MOST = 0.97, 2, 5
 ALPHA, BEAM, SLACK = 1.2, 24, 0.08
@@ -261,14 +261,19 @@ def _search(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.groupBy("shard", "part").applyInArrow(run, "node long, links long, group long")
 
 
-def _audit(nodes: DataFrame, found: DataFrame, threshold: float, most: int = AUDIT) -> float:
-    """Share of the links of sampled queries that were found; the queries are compared with all nodes in blocks."""
-    n = max(1, nodes.count())
+def _audit(nodes: DataFrame, found: DataFrame, threshold: float, most: int = AUDIT, unlinked: int = UNLINKED) -> float:
+    """Recall by link or by query, whichever is worse, of sampled queries that are compared with all nodes in blocks.
+
+    By query, each one's share counts alike, so that pairs weigh as much as the
+    members of large groups. Nodes with links and nodes without are sampled apart
+    and weighed by the nodes they stand for: a pair that was lost is among the latter.
+    """
+    n = nodes.count()
     u = F.pmod(doc_hash("node", seed=SEED), F.lit(1 << 30)) / float(1 << 30)
-    # Half the queries from all nodes, half from those with links, which are what recall is about.
-    linked = found.where("links > 0")
-    m = max(1, linked.count())
-    some = nodes.join(linked.where(u < most / 2 / m).select("node"), "node", "left_semi").select("node", "unit").unionAll(nodes.where(u < most / 2 / n).select("node", "unit")).dropDuplicates(["node"]).toArrow()
+    linked = found.where("links > 0").select("node", "links")
+    m = linked.count()
+    shares = min(1.0, most / max(m, 1)), min(1.0, unlinked / max(n - m, 1))
+    some = nodes.join(linked, "node", "left").where(u < F.when(F.col("links").isNotNull(), shares[0]).otherwise(shares[1])).select("node", "unit", F.coalesce("links", F.lit(0)).alias("links")).toArrow()
     if not some.num_rows:
         return 1.0
     held = nodes.sparkSession.sparkContext.broadcast((some.column("node").to_numpy(), _matrix(some.column("unit"))))
@@ -278,11 +283,16 @@ def _audit(nodes: DataFrame, found: DataFrame, threshold: float, most: int = AUD
         for batch in batches:
             v, c, own = _matrix(batch.column(1)), batch.column(2).to_numpy(), batch.column(0).to_numpy()
             near = (q @ v.T >= threshold) & (ids[:, None] != own[None, :]) if len(v) else np.zeros((len(ids), 0), bool)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near @ c if len(v) else np.zeros(len(ids), np.int64))], ["node", "true"])
+            true = near @ c if len(v) else np.zeros(len(ids), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[true > 0]), pa.array(true[true > 0])], ["node", "true"])
 
-    true = nodes.select("node", "unit", "copies").mapInArrow(run, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
-    r = true.join(found, "node", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("links", F.lit(0))))).first()
-    return 1.0 if not r[0] else r[1] / r[0]
+    counts = nodes.select("node", "unit", "copies").mapInArrow(run, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
+    true = {r[0]: r[1] for r in counts.collect()}  # at most one row a query
+    got = [(true[i], min(true[i], k), 1 / shares[0 if k else 1]) for i, k in zip(some.column("node").to_pylist(), some.column("links").to_pylist()) if i in true]
+    if not got:
+        return 1.0
+    t, k, w = np.array(got, np.float64).T
+    return float(min((w * k).sum() / (w * t).sum(), (w * k / t).sum() / w.sum()))
 
 
 def link_vectors(table: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, float]:

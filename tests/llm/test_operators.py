@@ -385,3 +385,17 @@ def test_links_are_whole_where_the_graph_falls_short(spark, monkeypatch):
     out, recall = vectors.link_vectors(df)
     assert recall >= vectors.RECALL
     assert {r.vec_id: (r.n_links, r.component_id) for r in out.collect()} == {i: (int(near[i].sum()), int(comp[i])) for i in range(len(v))}
+
+
+def test_audit_sees_lost_pairs_beside_a_large_group(spark):
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(400, 32))
+    v[:200] = v[0] + rng.normal(size=(200, 32)) * 0.02
+    v[300:] = v[200:300] + rng.normal(size=(100, 32)) * 0.02
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, [float(x) for x in r], 1) for i, r in enumerate(v)], "node long, unit array<double>, copies long")
+    links = ((v @ v.T >= 0.95).sum(1) - 1).tolist()
+    whole = spark.createDataFrame(list(enumerate(links)), "node long, links long")
+    assert vectors._audit(nodes, whole, 0.95) == 1
+    for lost in (whole.where("node < 200 or node % 4 <> 0"), whole.where("node < 200").unionAll(whole.where("node >= 200").selectExpr("node", "if(node % 4 = 0, 0, links)"))):
+        assert vectors._audit(nodes, lost, 0.95) < vectors.RECALL
