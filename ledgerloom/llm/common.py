@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -172,30 +173,33 @@ def release() -> None:
 KEPT: dict[str, object] = {}
 
 
-def byte_batches(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20, keeping: str | None = None):
-    """Slices of a batch of about ``most`` bytes of text: (first row, texts as bytes).
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20, keeping: str | None = None):
+    """(first row, number of rows) of runs of a batch of about ``most`` bytes of text.
 
-    A null text comes out as None. A single longer text is a slice of its own.
-    Of ``KEPT``, only the entry named by ``keeping`` stays: what another operator
-    left in this worker goes.
+    A single longer text is a run of its own. Of ``KEPT``, only the entry named
+    by ``keeping`` stays: what another operator left in this worker goes.
     """
     for name in KEPT.keys() - {keeping}:
         del KEPT[name]
-    array = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
-    texts, size, first = [], 0, 0
-    for i in range(len(array)):
-        text = array[i].as_py()
-        n = len(text) if text else 0
-        if texts and size + n > most:
-            yield first, texts
-            texts, size, first = [], 0, i
-        texts.append(text)
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
+    first = size = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > first and size + n > most:
+            yield first, i - first
+            first, size = i, 0
         size += n
-    if texts:
-        yield first, texts
+    if len(sizes):
+        yield first, len(sizes) - first
     release()
 
 
+def byte_batches(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20):
+    """The runs of ``slices``: (first row, texts as bytes). A null text comes out as None."""
+    array = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
+    for first, n in slices(batch, column, most):
+        yield first, array.slice(first, n).to_pylist()
+
+
 def joined_words(texts: list[bytes | None], seed: int = 0):
     """Word hashes of many texts at once.
 

@@ -11,8 +11,8 @@ fixed order and take the places that the patterns gave to their length.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 
 import numpy as np
@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import KEPT, byte_batches, doc_hash, read, written
+from .common import KEPT, doc_hash, read, slices, written
 
 WINDOW = 2048
 END = 1
 SEED = 41
-#: Units whose ids a worker remembers (twice as many at most, besides those of a slice of text).
-REMEMBERED = 250_000
+#: Bytes of units and their ids that a worker remembers, and bytes of text encoded at once.
+REMEMBERED, SLICE = 48 << 20, 4 << 20
 
 
 def default_tokenizer() -> str:
@@ -35,13 +35,21 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Bytes that start a visible character for certain; others never start a unit.
+_VISIBLE = np.zeros(256, bool)
+_VISIBLE[0x21:0x7F] = True
+_VISIBLE[[*range(0xC3, 0xE1), *range(0xE4, 0xF5)]] = True
+
+
 class Ids:
-    """Token ids (little-endian 32-bit) of texts under a byte-level vocabulary file, by ``tokenizers``.
+    """Token ids (little-endian 32-bit) of texts under a vocabulary file, by ``tokenizers``.
 
-    A space before a visible character always starts a new token there, so the
-    units between such spaces have the same ids alone as in the whole text. Each
-    unit is encoded once and remembered. Strings of special tokens in a text are
-    ordinary text.
+    Under a plain byte-level pre-tokenizer a space before a visible character
+    always starts a new token, so the units between such spaces have the same ids
+    alone as in the whole text. Texts are cut there on their bytes, equal units
+    become one entry of an Arrow dictionary, and only entries not remembered are
+    encoded. Texts that hold the string of an added token, and all texts under
+    another pre-tokenizer, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -49,31 +57,80 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.loose = re.compile(r" (?=\s|\Z)")
-        self.cut = re.compile(r" (?=\S)")
-
-    def _units(self, text: str) -> list[str]:
-        units = (self.cut.split(text) if self.loose.search(text) else text.split(" ")) if text else [""]
-        units[1:] = map(" ".__add__, units[1:])
-        return units
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        if len(self.known) > REMEMBERED:  # frequent units come back from the older half when next used
-            self.known, self.older = {}, self.known
-        units = [self._units(t) for t in texts]
-        lacking = set().union(*units).difference(self.known)
-        again = lacking.intersection(self.older)
-        self.known.update(zip(again, map(self.older.__getitem__, again)))
-        lacking = list(lacking - again)
-        for a in range(0, len(lacking), 256):
-            part = lacking[a : a + 256]
-            for unit, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[unit] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, u)) for u in units]
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        how = made.get("pre_tokenizer") or {}
+        self.cuts = made.get("normalizer") is None and how.get("type") == "ByteLevel" and not how.get("add_prefix_space") and how.get("use_regex", True)
+        self.added = [t["content"].encode() for t in made.get("added_tokens", ())]
+        vocab = self.tokenizer.get_vocab()
+        self.lengths = np.zeros(max(vocab.values(), default=0) + 1, np.int64)  # bytes that each id stands for
+        self.lengths[list(vocab.values())] = [len(t) for t in vocab]
+        self.known: dict[bytes, bytes] = {}
+        self.size = 0
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        out: list[bytes] = []
+        for a in range(0, len(texts), 256):
+            part = [t.decode("utf-8", "replace") for t in texts[a : a + 256]]
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        return out
+
+    def _encode_led(self, units: list[bytes]) -> list[bytes]:
+        """Ids of units led by a space: many in one string, parted again by the bytes that each id stands for."""
+        out: list[bytes] = []
+        for a in range(0, len(units), 2048):
+            part = units[a : a + 2048]
+            marks = np.cumsum([len(u) for u in part])
+            try:
+                ids = np.array(self.tokenizer.encode_batch_fast([b"".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            except UnicodeDecodeError:
+                ids = np.zeros(0, "<u4")
+            ends = np.cumsum(self.lengths[ids])
+            at = np.searchsorted(ends, marks) + 1
+            if len(ids) and at[-1] == len(ids) and (ends[at - 1] == marks).all():
+                raw = ids.tobytes()
+                out += [raw[x:y] for x, y in zip([0, *(4 * at[:-1]).tolist()], (4 * at).tolist())]
+            else:  # bytes that are not UTF-8
+                out += self._encode(part)
+        return out
+
+    def _units(self, units: list[bytes]) -> list[bytes]:
+        lacking = [u for u in units if u not in self.known]
+        led = [u for u in lacking if u[:1] == b" " and len(u) > 1 and _VISIBLE[u[1]]]
+        self.known.update(zip(led, self._encode_led(led)))
+        other = [u for u in lacking if u not in self.known]
+        self.known.update(zip(other, self._encode(other)))
+        self.size += sum(200 + len(u) + len(self.known[u]) for u in lacking)
+        out = [self.known[u] for u in units]
+        if self.size > REMEMBERED:  # what is in use now stays
+            self.known = dict(zip(units, out))
+            self.size = sum(200 + len(u) + len(i) for u, i in self.known.items())
+        return out
+
+    def of(self, texts: pa.Array) -> list:
+        """The ids of each text (binary; null is empty), as buffers."""
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
+        if not self.cuts:
+            return self._encode(texts.to_pylist())
+        _, ends, data = texts.buffers()
+        ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+        ends = ends - ends[0]
+        cut = np.zeros(len(data) + 1, bool)
+        cut[:-2] = (data[:-1] == 0x20) & _VISIBLE[data[1:]]
+        cut[ends[1:][ends[1:] > 0] - 1] = False  # a text's last space has no follower
+        cut[ends] = True
+        at = np.flatnonzero(cut)
+        units = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+        ids = pa.array(self._units(units.dictionary.to_pylist()), pa.large_binary()).take(units.indices)
+        whole = memoryview(ids.buffers()[2] or b"")
+        places = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1][np.searchsorted(at, ends)] if len(ids) else np.zeros(len(ends), np.int64)
+        out: list = [whole[a:b] for a, b in zip(places[:-1].tolist(), places[1:].tolist())]
+        if any(bytes(data).find(s) >= 0 for s in self.added):
+            some = [i for i, t in enumerate(texts.to_pylist()) if any(s in t for s in self.added)]
+            for i, found in zip(some, self._encode([texts[i].as_py() for i in some])):
+                out[i] = found
+        return out
 
 
 def ids_of(path: str) -> Ids:
@@ -90,15 +147,16 @@ def tokenized(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int =
     def run(batches):
         encode = ids_of(tokenizer)
         for batch in batches:
-            for first, texts in byte_batches(batch, keeping=tokenizer):
+            for first, size in slices(batch, "text", SLICE, keeping=tokenizer):
                 n, crcs, kept = [], [], []
-                for ids in encode.of([t.decode("utf-8", "replace") if t else "" for t in texts]):
-                    ids += stop
-                    n.append(len(ids) // 4)
-                    crcs.append([zlib.crc32(ids[a : a + span]) for a in range(0, len(ids), span)])
+                for ids in encode.of(batch.column(1).slice(first, size)):
+                    n.append(len(ids) // 4 + 1)
+                    found = [zlib.crc32(ids[a : a + span]) for a in range(0, len(ids) + 1, span)]
+                    found[-1] = zlib.crc32(stop, found[-1])
+                    crcs.append(found)
                     if keep_ids:
-                        kept.append(ids)
-                columns = [batch.column(0).slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))]
+                        kept.append(bytes(ids) + stop)
+                columns = [batch.column(0).slice(first, size), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * keep_ids, ["doc_id", "doc_tokens", "crcs"] + ["ids"] * keep_ids)
 
     schema = "doc_id long, doc_tokens long, crcs array<long>" + ", ids binary" * keep_ids
