@@ -17,6 +17,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ WINDOW = 2048
 END = 1
 SEED = 41
 #: Bytes of units and their ids that a worker remembers, and bytes of text encoded at once.
-REMEMBERED, SLICE = 48 << 20, 4 << 20
+REMEMBERED, SLICE = 32 << 20, 8 << 20
 
 
 def default_tokenizer() -> str:
@@ -65,8 +66,9 @@ class Ids:
         vocab = self.tokenizer.get_vocab()
         self.lengths = np.zeros(max(vocab.values(), default=0) + 1, np.int64)  # bytes that each id stands for
         self.lengths[list(vocab.values())] = [len(t) for t in vocab]
-        self.known: dict[bytes, bytes] = {}
-        self.size = 0
+        self.known = pa.array([], pa.large_binary())
+        self.ids = pa.array([], pa.large_binary())
+        self.used, self.turn = np.zeros(0, np.int64), 0
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
@@ -94,17 +96,28 @@ class Ids:
                 out += self._encode(part)
         return out
 
-    def _units(self, units: list[bytes]) -> list[bytes]:
-        lacking = [u for u in units if u not in self.known]
-        led = [u for u in lacking if u[:1] == b" " and len(u) > 1 and _VISIBLE[u[1]]]
-        self.known.update(zip(led, self._encode_led(led)))
-        other = [u for u in lacking if u not in self.known]
-        self.known.update(zip(other, self._encode(other)))
-        self.size += sum(200 + len(u) + len(self.known[u]) for u in lacking)
-        out = [self.known[u] for u in units]
-        if self.size > REMEMBERED:  # what is in use now stays
-            self.known = dict(zip(units, out))
-            self.size = sum(200 + len(u) + len(i) for u, i in self.known.items())
+    def _units(self, units: pa.Array) -> pa.Array:
+        """The ids of distinct units: looked up in the arrays of known ones, or encoded."""
+        at = pc.fill_null(pc.index_in(units, value_set=self.known), -1).to_numpy()
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            lacking = units.take(pa.array(new))
+            texts = lacking.to_pylist()
+            led = [u for u in texts if u[:1] == b" " and len(u) > 1 and _VISIBLE[u[1]]]
+            got = dict(zip(led, self._encode_led(led)))
+            other = [u for u in texts if u not in got]
+            got.update(zip(other, self._encode(other)))
+            at = at.astype(np.int64)
+            at[new] = len(self.known) + np.arange(len(new))
+            self.known = pa.concat_arrays([self.known, lacking])
+            self.ids = pa.concat_arrays([self.ids, pa.array([got[u] for u in texts], pa.large_binary())])
+            self.used = np.concatenate((self.used, np.zeros(len(new), np.int64)))
+        self.turn += 1
+        self.used[at] = self.turn
+        out = self.ids.take(pa.array(at))
+        if self.known.nbytes + self.ids.nbytes > REMEMBERED:  # the half that was not used for longest goes
+            half = pa.array(np.sort(np.argsort(self.used, kind="stable")[len(self.used) // 2 :]))
+            self.known, self.ids, self.used = self.known.take(half), self.ids.take(half), self.used[half.to_numpy()]
         return out
 
     def of(self, texts: pa.Array) -> list:
@@ -122,7 +135,7 @@ class Ids:
         cut[ends] = True
         at = np.flatnonzero(cut)
         units = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
-        ids = pa.array(self._units(units.dictionary.to_pylist()), pa.large_binary()).take(units.indices)
+        ids = self._units(units.dictionary).take(units.indices)
         whole = memoryview(ids.buffers()[2] or b"")
         places = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1][np.searchsorted(at, ends)] if len(ids) else np.zeros(len(ends), np.int64)
         out: list = [whole[a:b] for a, b in zip(places[:-1].tolist(), places[1:].tolist())]
