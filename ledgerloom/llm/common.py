@@ -223,36 +223,28 @@ class Sieve:
     """A Bloom filter of 2**25 bits (4 MB) whatever the input, for map-side pruning.
 
     It only spares a shuffle: rows that pass are joined exactly afterwards. When
-    it fills up, more rows pass and results stay the same.
+    it fills up, more rows pass and results stay the same. The filter is one row
+    with one array, broadcast and tested on the JVM.
     """
 
     def __init__(self, ids: DataFrame, column: str):
-        one = F.pmod(F.xxhash64(F.lit(1), F.col(column)), F.lit(1 << SIEVE_BITS))
-        two = F.pmod(F.xxhash64(F.lit(2), F.col(column)), F.lit(1 << SIEVE_BITS))
-        bits = ids.select(F.explode(F.array(one, two)).alias("h"))
+        bits = ids.select(F.explode(F.array(*self._places(column))).alias("h"))
         words = bits.groupBy(F.shiftright("h", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
         # At most 2**19 rows of 12 bytes come to the driver.
         table = words.toArrow()
         found = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
         found[table.column(0).to_numpy()] = table.column(1).to_numpy()
-        self.bits = ids.sparkSession.sparkContext.broadcast(found.tobytes())
+        one = pa.table({"_sieve": pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.array(found))})
+        self.bits = written(ids.sparkSession.createDataFrame(one), "sieve")
 
-    def columns(self, column: str) -> list:
-        """The two places of a row, to be passed to ``passes``."""
-        return [F.pmod(F.xxhash64(F.lit(k), F.col(column)), F.lit(1 << SIEVE_BITS)).cast("int").alias(f"_sieve{k}") for k in (1, 2)]
+    @staticmethod
+    def _places(column: str) -> list:
+        return [F.pmod(F.xxhash64(F.lit(k), F.col(column)), F.lit(1 << SIEVE_BITS)) for k in (1, 2)]
 
     def prune(self, docs: DataFrame, column: str) -> DataFrame:
         """Rows of ``docs`` that may be among the ids."""
-        shared, names = self.bits, docs.columns
-
-        def run(batches):
-            bits = np.frombuffer(shared.value, np.uint64)
-            for batch in batches:
-                keep = np.ones(len(batch), bool)
-                for k in (-2, -1):
-                    at = batch.column(batch.num_columns + k).to_numpy(zero_copy_only=False)
-                    keep &= (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-                yield batch.select(names).filter(pa.array(keep))
-
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-        return docs.select("*", *self.columns(column)).mapInArrow(run, schema)
+        test = F.lit(True)
+        for h in self._places(column):
+            word = F.get("_sieve", F.shiftright(h, 6).cast("int"))
+            test &= F.call_function("shiftright", word, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+        return docs.join(F.broadcast(self.bits), test, "left_semi")

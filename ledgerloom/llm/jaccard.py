@@ -5,15 +5,18 @@ by hash, into m segments. Two sets of sizes a and b with Jaccard of 0.8 or more
 differ in at most (a + b) / 9 shingles, fewer than m: some segments hold
 identical subsets. Each set indexes the subset of each of its segments, in its
 own band and, where a partner may be there, in the band below. Bands of small
-sets use half as many segments and index one-deletion neighbourhoods as well:
-then some segment differs in one shingle at most.
-
-Allocation is by cost: the frequency of each subset key is counted first. A set
-of which too few keys occur elsewhere cannot have a partner and is dropped; of
-the others, only as many of the rarest keys as the pigeonhole needs make
-candidates. Candidates of one key are compared with its best connected member
-(a star, never all pairs). Links are verified exactly on the texts. What a star
-leaves apart is compared in blocks, again exactly, so that no link between
+sets use few segments and index one-deletion neighbourhoods as well: then some
+segment differs in one shingle at most. Sets that are spread so unevenly that an
+empty segment might be all they share also index their single shingles.
+
+Allocation is by cost: the frequency of each subset key is counted first (the
+most frequent ones by a sketch and a broadcast, so that no task meets all rows
+of a hot key). A set of which too few keys occur elsewhere cannot have a partner
+and is dropped; of the others, only as many of the rarest keys as the pigeonhole
+needs make candidates. Candidates of one key are compared with its best
+connected member (a star, never all pairs), exactly, on the texts. Where a star
+leaves a candidate apart from its key's hub, that candidate is compared with the
+members of the same key in blocks, again exactly, so that no link between
 components is lost.
 """
 
@@ -21,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Sieve, byte_batches, drop, fresh, joined_words, mix, read, rolled, written
@@ -32,18 +35,19 @@ SHINGLE = 5
 NUM, DEN = 4, 5
 #: Bands below this size index one-deletion neighbourhoods.
 SMALL = 16
-#: Keys in a bucket, about; sets in a block of the last comparison.
-BUCKET, BLOCK = 2_000_000, 256
+#: Sets in a block of the last comparison; rows of the broadcast table of hot keys.
+BLOCK, HEAVY = 256, 1024
+_FEW = (1 << 28) - 1
 _U = np.uint64
 
 
-def shingle_sets(texts: list[bytes | None], k: int = SHINGLE) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes | None], k: int = SHINGLE, seed: int = 5) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text, A-Z lower-cased.
 
     A text with fewer than ``k`` words has its whole sequence as one shingle; one
     without words has none.
     """
-    _, _, _, words, first = joined_words([t.lower() if t else t for t in texts], seed=5)
+    _, _, _, words, first = joined_words([t.lower() if t else t for t in texts], seed=seed)
     grams = rolled(words, k)
     out = []
     for i in range(len(texts)):
@@ -60,10 +64,14 @@ def shingle_sets(texts: list[bytes | None], k: int = SHINGLE) -> list[np.ndarray
     return out
 
 
-def set_id(s: np.ndarray) -> int:
-    """64-bit identity of a set, as a signed number."""
+def set_ids(s: np.ndarray) -> tuple[int, int]:
+    """128-bit identity of a set, as two signed numbers."""
+    out = []
     with np.errstate(over="ignore"):
-        return int(mix(np.array([mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + _U(len(s))]))[0].astype(np.int64))
+        for a, b in ((0x5851F42D4C957F2D, 0x9E3779B97F4A7C15), (0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93)):
+            x = mix(s ^ _U(a))
+            out.append(int(mix(np.array([x.sum(dtype=np.uint64) * _U(b) + _U(len(s))]))[0].astype(np.int64)))
+    return out[0], out[1]
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -74,32 +82,35 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both * DEN >= NUM * (len(a) + len(b) - both)
 
 
-def band_keys(s: np.ndarray, low: int) -> tuple[np.ndarray, int]:
-    """Keys of a set in the band [low, 2 * low), and how many it must share with a partner."""
+def band_keys(s: np.ndarray, low: int) -> list[tuple[np.ndarray, int]]:
+    """Keys of a set in the band [low, 2 * low), with how many of them it must share with a partner.
+
+    One group of keys, or two: partners share enough keys of one of them.
+    """
     n, top = len(s), 2 * low - 1
     # A set of the band meets larger ones of the band above here; a set from there meets this band's alone.
     differ = (n + (n * DEN // NUM if n <= top else top)) // 9
     tag = _U(low * 0x9E3779B97F4A7C15 % 2**64)
     h = mix(s + tag)
-    if low < SMALL:
-        m = (top // 4 + 2) // 2
-        seg = (h % _U(m)).astype(np.int64)
-        value = mix(h ^ _U(0xD1B54A32D192ED03))
-        total = np.zeros(m, np.uint64)
-        np.add.at(total, seg, value)
-        base = np.arange(m, dtype=np.uint64) * _U(0xA24BAED4963EE407) + tag
-        keys = np.concatenate((total + base, total[seg] - value + base[seg]))
-        return np.unique(mix(keys)), 1
-    m = top // 4 + 1
+    value = mix(h ^ _U(0xD1B54A32D192ED03))
+    m = (top // 4 + 2) // 2 if low < SMALL else 3 * top // 8 + 1
+    base = np.arange(m, dtype=np.uint64) * _U(0xA24BAED4963EE407) + tag
     seg = (h % _U(m)).astype(np.int64)
     total = np.zeros(m, np.uint64)
-    np.add.at(total, seg, mix(h ^ _U(0xD1B54A32D192ED03)))
-    filled = np.bincount(seg, minlength=m) > 0
-    need = m - differ - int(m - filled.sum())
-    keys = mix(total + np.arange(m, dtype=np.uint64) * _U(0xA24BAED4963EE407) + tag)
-    if need <= 0:
-        return keys, 1
-    return keys[filled], need
+    np.add.at(total, seg, value)
+    held = np.bincount(seg, minlength=m)
+    if low < SMALL:
+        less = held[seg] > 1
+        keys = np.unique(mix(np.concatenate(((total + base)[held > 0], (total[seg] - value + base[seg])[less]))))
+        need, uneven = 1, bool((held < 2).any())
+    else:
+        keys = mix((total + base)[held > 0])
+        need = m - differ - int((held == 0).sum())
+        uneven = need <= 0
+    out = [(keys, max(need, 1))]
+    if uneven:  # partners that are uneven too may share nothing but empty segments
+        out.append((mix(h + _U(0x8CB92BA72F3D8DD7)), n - differ))
+    return out
 
 
 def bands(n: int) -> list[int]:
@@ -113,137 +124,72 @@ def bands(n: int) -> list[int]:
     return out
 
 
-def _packed(keys: np.ndarray) -> bytes:
-    """The upper 40 bits of each key; the lower 24 have chosen the bucket."""
-    up = keys >> _U(24)
-    return (up & _U(0xFFFFFFFF)).astype("<u4").tobytes() + (up >> _U(32)).astype(np.uint8).tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    n = len(data) // 5
-    return np.frombuffer(data, "<u4", n).astype(np.uint64) | (np.frombuffer(data, np.uint8, n, 4 * n).astype(np.uint64) << _U(32))
+def _sets(docs: DataFrame) -> DataFrame:
+    """doc_id, mark, n_shingles, two numbers that name the set, and its groups of keys.
 
+    ``meta`` holds a group's band, needed keys and number of keys. Of copies met
+    in one task, the first alone carries keys.
+    """
 
-def _sizes(docs: DataFrame) -> DataFrame:
     def run(batches):
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
+            ids, valid = batch.column(0), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             for first, texts in byte_batches(batch):
                 sets = shingle_sets(texts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), batch.column(2).slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "mark", "n_shingles", "node"])
-
-    return docs.mapInArrow(run, "doc_id long, mark long, n_shingles long, node long")
-
-
-_BLOCKS = "bucket int, node binary, need binary, total binary, band binary, keys binary, owner binary"
-
-
-def _key_blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """Columnar blocks of keys by bucket: a row for each bucket and few MB of text."""
-
-    def run(batches):
-        seen: set[int] = set()
-        for batch in batches:
-            for _, texts in byte_batches(batch):
-                node, need, total, band, keys, owner = [], [], [], [], [], []
-                for s in shingle_sets(texts):
-                    if len(s) < NUM or (i := set_id(s)) in seen:
-                        continue
-                    if len(seen) < 1_000_000:  # copies met in one task index their keys once
-                        seen.add(i)
-                    for low in bands(len(s)):
-                        k, least = band_keys(s, low)
-                        owner.append(np.full(len(k), len(node), np.uint32))
-                        keys.append(k)
-                        node.append(i)
-                        need.append(min(least, 65535))
-                        total.append(min(len(k), 65535))
-                        band.append(low.bit_length())
-                if not keys:
-                    continue
-                k, o = np.concatenate(keys), np.concatenate(owner)
-                node, need, total, band = np.array(node, np.int64), np.array(need, np.uint16), np.array(total, np.uint16), np.array(band, np.uint8)
-                to = ((k & _U(0xFFFFFF)) % _U(buckets)).astype(np.int32)
-                order = np.argsort(to, kind="stable")
-                k, o, to = k[order], o[order], to[order]
-                ends = np.searchsorted(to, np.arange(buckets + 1))
-                rows: list[list] = [[] for _ in range(7)]
-                for j in range(buckets):
-                    a, b = ends[j], ends[j + 1]
-                    if a < b:
-                        who, at = np.unique(o[a:b], return_inverse=True)
-                        for c, v in zip(rows, (j, node[who].tobytes(), need[who].tobytes(), total[who].tobytes(), band[who].tobytes(), _packed(k[a:b]), at.astype("<u2" if len(who) < 65536 else "<u4").tobytes())):
-                            c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(c, pa.binary()) for c in rows[1:]]], ["bucket", "node", "need", "total", "band", "keys", "owner"])
-
-    return docs.mapInArrow(run, _BLOCKS)
-
-
-_SHARED = "part int, node binary, need binary, total binary, band binary, keys binary, often binary"
-
-
-def _shared_keys(blocks: DataFrame, parts: int) -> DataFrame:
-    """Keys that more than one set has, with their frequency, dealt by set."""
-
-    def run(key, table):
-        bucket = key[0].as_py()
-        node, need, total, band, keys, owner, base = [], [], [], [], [], [], 0
-        for r in table.to_pylist():
-            n = len(r["node"]) // 8
-            k = _unpacked(r["keys"])
-            node.append(np.frombuffer(r["node"], np.int64))
-            need.append(np.frombuffer(r["need"], np.uint16))
-            total.append(np.frombuffer(r["total"], np.uint16))
-            band.append(np.frombuffer(r["band"], np.uint8))
-            owner.append(np.frombuffer(r["owner"], "<u2" if n < 65536 else "<u4").astype(np.int64) + base)
-            keys.append(k)
-            base += n
-        node, need, total, band, owner, k = map(np.concatenate, (node, need, total, band, owner, keys))
-        who = node[owner]
-        order = np.lexsort((who, k))
-        k, who, owner = k[order], who[order], owner[order]
-        fresh = np.ones(len(k), bool)
-        fresh[1:] = (k[1:] != k[:-1]) | (who[1:] != who[:-1])
-        k, owner = k[fresh], owner[fresh]
-        begin = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        count = np.diff(np.concatenate((begin, [len(k)])))
-        often = np.repeat(count, count)
-        keep = often > 1
-        k, owner, often = (k[keep] | (_U(bucket) << _U(40))).astype(np.int64), owner[keep], np.minimum(often[keep], 2**31 - 1).astype(np.int32)
-        to = (mix(node[owner].view(np.uint64)) % _U(parts)).astype(np.int32)
-        order = np.argsort(to, kind="stable")
-        k, owner, often, to = k[order], owner[order], often[order], to[order]
-        at = np.searchsorted(to, np.arange(parts + 1))
-        rows: list[list] = [[] for _ in range(7)]
-        for j in range(parts):
-            a, b = at[j], at[j + 1]
-            if a < b:
-                o = owner[a:b]
-                for c, v in zip(rows, (j, node[o].tobytes(), need[o].tobytes(), total[o].tobytes(), band[o].tobytes(), k[a:b].tobytes(), often[a:b].tobytes())):
-                    c.append(v)
-        return pa.Table.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(c, pa.binary()) for c in rows[1:]]], ["part", "node", "need", "total", "band", "keys", "often"])
-
-    return blocks.groupBy("bucket").applyInArrow(run, _SHARED)
+                # Sets too small for keys are named by two hashes of their shingles.
+                small = [i for i, s in enumerate(sets) if 0 < len(s) < NUM]
+                again = {i: set_ids(s)[1] for i, s in zip(small, shingle_sets([texts[i] for i in small], seed=15))}
+                names: list = []
+                meta, keys, ends = [], [], [0]
+                for i, s in enumerate(sets):
+                    name = set_ids(s) if len(s) else (None, None)
+                    names.append((name[0], again[i]) if i in again else name)
+                    if len(s) >= NUM and name not in seen and valid[first + i]:
+                        if len(seen) < 200_000:
+                            seen.add(name)
+                        for low in bands(len(s)):
+                            for fine, (k, need) in enumerate(band_keys(s, low)):
+                                meta.append(((2 * low.bit_length() + fine) << 56) | (min(need, _FEW) << 28) | min(len(k), _FEW))
+                                keys.append(k)
+                    ends.append(len(keys))
+                sizes = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
+                flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+                groups = pa.StructArray.from_arrays([pa.array(meta, pa.int64()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], ["meta", "keys"])
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(first, len(texts)), batch.column(1).slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in names], pa.int64()), pa.array([y for _, y in names], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), groups)],
+                    ["doc_id", "mark", "n_shingles", "node", "twin", "groups"],
+                )
+
+    return docs.select("doc_id", "mark", "text").mapInArrow(run, "doc_id long, mark long, n_shingles long, node long, twin long, groups array<struct<meta:long,keys:array<long>>>")
+
+
+def _shared_keys(sets: DataFrame) -> DataFrame:
+    """(node, meta, key, often): keys that more than one set has, with their frequency.
+
+    A sketch names the keys that may be hot; they are counted exactly, and a table
+    of at most HEAVY rows settles them on the map side. Other keys are shuffled once.
+    """
+    keys = sets.select("node", F.inline("groups")).select("node", "meta", F.explode("keys").alias("key"))
+    n = sets.agg(F.sum(F.expr("aggregate(groups, 0L, (n, g) -> n + size(g.keys))"))).first()[0] or 0
+    likely = keys.selectExpr(f"explode(approx_top_k(key, {HEAVY}, {8 * HEAVY})) AS top").where(F.col("top.count") * (8 * HEAVY) >= n).select(F.col("top.item").alias("key"))
+    likely = written(likely, "likely-keys")
+    count = [F.count("*").alias("often"), F.min("node").alias("least"), F.max("node").alias("most")]
+    heavy = written(keys.join(F.broadcast(likely), "key", "left_semi").groupBy("key").agg(*count), "heavy-keys")
+    settled = keys.join(F.broadcast(heavy.where("least < most").select("key", "often")), "key")
+    alike = Window.partitionBy("key")
+    rest = keys.join(F.broadcast(heavy.select("key")), "key", "left_anti").select("*", *[c.over(alike).alias(name) for c, name in ((F.count("*"), "often"), (F.min("node"), "least"), (F.max("node"), "most"))]).where("least < most")
+    columns = ["node", "meta", "key", "often"]
+    return settled.select(columns).unionAll(rest.select(columns))
 
 
 def _prefixes(shared: DataFrame) -> DataFrame:
     """(key, node, hub): the rarest shared keys of each set that may have a partner."""
-
-    def run(table):
-        rows = table.to_pylist()
-        get = lambda c, t: np.concatenate([np.frombuffer(r[c], t) for r in rows])
-        node, need, total, band, keys, often = get("node", np.int64), get("need", np.uint16).astype(np.int64), get("total", np.uint16).astype(np.int64), get("band", np.uint8), get("keys", np.int64), get("often", np.int32)
-        order = np.lexsort((keys, often, band, node))
-        node, need, total, band, keys, often = (x[order] for x in (node, need, total, band, keys, often))
-        begin = np.flatnonzero(np.concatenate(([True], (node[1:] != node[:-1]) | (band[1:] != band[:-1]))))
-        count = np.diff(np.concatenate((begin, [len(node)])))
-        rank = np.arange(len(node)) - np.repeat(begin, count)
-        have = np.repeat(count, count)
-        weight = np.add.reduceat(np.log2(often.astype(np.float64)), begin)
-        hub = np.repeat((1000 * weight / np.maximum(total[begin], 1)).astype(np.int64), count)
-        keep = (have >= need) & (rank < have - need + 1)
-        return pa.table({"key": keys[keep], "node": node[keep], "hub": hub[keep]})
-
-    return shared.groupBy("part").applyInArrow(run, "key long, node long, hub long")
+    few = F.lit(_FEW)
+    x = shared.groupBy("node", "meta").agg(F.array_sort(F.collect_set(F.struct("often", "key"))).alias("x"))  # no longer than the set
+    x = x.withColumn("need", F.shiftright("meta", 28).bitwiseAND(few).cast("int")).where(F.size("x") >= F.col("need"))
+    weight = F.expr("aggregate(x, 0D, (a, v) -> a + log2(v.often))")
+    return x.select("node", (1000 * weight / F.col("meta").bitwiseAND(few)).cast("long").alias("hub"), F.explode(F.slice("x", 1, F.size("x") - F.col("need") + 1)).alias("v")).select("v.key", "node", "hub")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -268,18 +214,18 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return one.join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _blockwise(members: DataFrame) -> DataFrame:
-    """Links between strays and members of their family under another label.
+def _blockwise(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between strays of a key and members of the same key under another label.
 
-    ``members``: node, family, label, stray, text. Both are cut into blocks of
-    about BLOCK sets; a task compares one block with one block. For each stray
-    and other label one link is returned, which is all that components need.
+    ``members``: key, node, label, stray. Both are cut into blocks of about BLOCK
+    sets; a task compares one block with one block. For each stray and other
+    label one link is returned, which is all that components need.
     """
-    counts = members.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.col("stray").cast("int")).alias("strays")).where("strays > 0")
-    counts = written(counts.select("family", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("strays") / BLOCK).cast("int").alias("ns")), "families")
-    rows = members.join(counts, "family").withColumn("h", F.xxhash64("node", F.lit(3)))
-    own = rows.select("family", "node", "label", "text", F.pmod("h", F.col("nb")).cast("int").alias("mb"), F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("sb"), F.lit(False).alias("query"))
-    query = rows.where("stray").select("family", "node", "label", "text", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("mb"), F.pmod("h", F.col("ns")).cast("int").alias("sb"), F.lit(True).alias("query"))
+    counts = members.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("stray").cast("int")).alias("strays")).where("strays > 0")
+    counts = written(counts.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("strays") / BLOCK).cast("int").alias("ns")), "stray-keys")
+    rows = members.join(counts, "key").withColumn("h", F.xxhash64("node", F.lit(3)))
+    own = rows.select("key", "node", "label", F.pmod("h", F.col("nb")).cast("int").alias("mb"), F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("sb"), F.lit(False).alias("query"))
+    query = rows.where("stray").select("key", "node", "label", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("mb"), F.pmod("h", F.col("ns")).cast("int").alias("sb"), F.lit(True).alias("query"))
 
     def run(table):
         node, label, query = table.column("node").to_numpy(), table.column("label").to_numpy(), table.column("query").to_numpy(zero_copy_only=False)
@@ -307,7 +253,7 @@ def _blockwise(members: DataFrame) -> DataFrame:
                     out_b.append(int(node[j]))
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    return own.unionAll(query).groupBy("family", "mb", "sb").applyInArrow(run, "a long, b long")
+    return own.unionAll(query).join(texts, "node").groupBy("key", "mb", "sb").applyInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,61 +263,61 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     0.8 or more; a component is named by its smallest doc_id. Null and empty texts
     and texts without words have no shingles and are components of their own, as
     are rows with a null id. Repeated rows share a component. Equal sets are one
-    node from the start, so copies cost nothing more. Distinct sets are told
-    apart by 64-bit hashes. An empty table gives an empty result.
+    node from the start, so copies cost nothing more; sets are told apart by 128
+    bits. Rows that repeat an id with other texts are grouped each by its text,
+    but may bring their groups together. Very long texts are read whole. Other
+    columns are not read. An empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sizes = written(_sizes(docs.withColumn("mark", F.xxhash64("text"))), "set-sizes")
-    total = sizes.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(64, total * 2 // 5 // BUCKET)
-    classes = written(sizes.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "set-classes")
-    keyed = written(_prefixes(_shared_keys(_key_blocks(docs, buckets), buckets)), "prefix-keys")
+    sets = written(_sets(docs.withColumn("mark", F.xxhash64("text"))), "sets")
+    named = sets.where("node is not null and doc_id is not null")
+    # The least id of equal sets stands for them.
+    classes = written(named.groupBy("node", "twin").agg(F.min("doc_id").alias("doc_id")), "set-classes")
+    keyed = written(_prefixes(_shared_keys(named)), "prefix-keys")
     top = keyed.groupBy("key").agg(F.max(F.struct("hub", "node")).alias("top"), F.count("*").alias("n")).where("n > 1").select("key", F.col("top.node").alias("b"))
-    top = written(top, "key-leaders")
-    pairs = keyed.join(top, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    pairs = written(pairs, "candidates")
+    members = written(keyed.join(written(top, "key-hubs"), "key").select("key", "node", "b"), "key-members")
     drop(keyed)
-    drop(top)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = members.select("node").distinct()
     wanted = written(nodes.join(classes, "node"), "candidate-docs")
+    at, hub = wanted.select("node", F.col("doc_id").alias("a")), wanted.select(F.col("node").alias("b"), F.col("doc_id").alias("to"))
+    pairs = members.where("node <> b").select("node", "b").distinct().join(at, "node").join(hub, "b").select("a", F.col("to").alias("b"))
+    pairs = written(pairs, "candidates")
     texts = Sieve(wanted, "doc_id").prune(docs.where("doc_id is not null"), "doc_id").join(wanted, "doc_id")
     # Rows that repeat an id with another text are told apart by the set's identity.
-    # Written once more so that joins meet bare exchanges, which adaptive execution can split at hot leaders.
-    texts = written(written(_of_node(texts), "candidate-rows").dropDuplicates(["node"]), "candidate-texts")
+    # Written once more so that joins meet bare exchanges, which adaptive execution can split at hot hubs.
+    texts = written(written(_of_set(texts), "candidate-rows").dropDuplicates(["node", "twin"]).select(F.col("doc_id").alias("node"), "text"), "candidate-texts")
     links = written(_verified(pairs, texts), "links-star")
     labels = written(components(links), "labels")
     la, lb = labels.select(F.col("node").alias("a"), F.col("component").alias("la")), labels.select(F.col("node").alias("b"), F.col("component").alias("lb"))
-    apart = pairs.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
-    stray = written(apart.select(F.col("a").alias("node")).distinct().withColumn("stray", F.lit(True)), "strays")
+    apart = pairs.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    apart = written(apart, "apart")
     groups = labels
-    if stray.take(1):
-        family = written(components(pairs), "families-all")
-        touched = written(family.join(stray, "node").select("component").distinct(), "stray-families")
-        members = family.join(touched, "component", "left_semi").join(labels.withColumnRenamed("component", "label"), "node", "left").join(stray, "node", "left")
-        members = members.select("node", F.col("component").alias("family"), F.coalesce("label", "node").alias("label"), F.coalesce("stray", F.lit(False)).alias("stray")).join(texts, "node")
-        more = written(_blockwise(written(members, "family-members")), "links-blocks")
+    if apart.take(1):
+        byname = members.join(at, "node").join(hub, "b").select("key", F.col("a").alias("node"), F.col("to").alias("b"))
+        byname = byname.join(apart.select(F.col("a").alias("node"), "b", F.lit(True).alias("stray")).distinct(), ["node", "b"], "left")
+        byname = byname.groupBy("key", "node").agg(F.coalesce(F.max("stray"), F.lit(False)).alias("stray"))
+        byname = byname.join(labels.withColumnRenamed("component", "label"), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), "stray")
+        more = written(_blockwise(written(byname, "named-members"), texts), "links-blocks")
         if more.take(1):
             groups = written(components(links.unionAll(more)), "set-groups")
-    named = classes.join(groups, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    named = written(named, "set-named")
-    least = written(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "group-names")
-    name = written(named.join(least, "component").select("node", "component_id"), "node-names")
-    return sizes.join(name, "node", "left").select("doc_id", "mark", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    # Nodes are named by ids, so the least node of a component is its least id.
+    name = written(classes.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("node", "twin", F.coalesce("component", "doc_id").alias("component_id")), "set-names")
+    return sets.join(name, ["node", "twin"], "left").select("doc_id", "mark", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _of_node(texts: DataFrame) -> DataFrame:
-    """Rows (node, text) whose text has the set that ``node`` names."""
+def _of_set(texts: DataFrame) -> DataFrame:
+    """Rows (doc_id, node, twin, text) whose text has the set that ``node`` and ``twin`` name."""
 
     def run(batches):
         for batch in batches:
-            nodes = batch.column(batch.schema.get_field_index("node")).to_pylist()
+            names = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
             keep = np.zeros(len(batch), bool)
             for first, some in byte_batches(batch):
                 for i, s in enumerate(shingle_sets(some), first):
-                    keep[i] = len(s) > 0 and set_id(s) == nodes[i]
-            yield batch.select(["node", "text"]).filter(pa.array(keep))
+                    keep[i] = len(s) > 0 and set_ids(s) == names[i]
+            yield batch.filter(pa.array(keep))
 
-    return texts.select("node", "text").mapInArrow(run, "node long, text string")
+    return texts.select("doc_id", "node", "twin", "text").mapInArrow(run, "doc_id long, node long, twin long, text string")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
