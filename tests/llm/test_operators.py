@@ -25,7 +25,8 @@ def by_sql(rows, name):
     return {r[0]: tuple(r[1:]) for r in duckdb.sql(ORACLES[name]).fetchall()}
 
 
-def test_substring(spark, docs, rows, none):
+def kept_words(rows):
+    """{doc_id: (words, words removed, digest of the rest)} by comparing all windows."""
     first, want = {}, {}
     for i, t, *_ in sorted(rows):
         w = (t or "").encode().split()
@@ -38,11 +39,51 @@ def test_substring(spark, docs, rows, none):
         for k in own:
             first.setdefault(k, i)
         want[i] = (len(w), keep.count(False), hashlib.sha256(b" ".join(x for x, y in zip(w, keep) if y)).hexdigest())
+    return want
+
+
+def test_substring(docs, rows, none):
+    want = kept_words(rows)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.substring_dedup(docs).collect()}
     assert got == want == by_sql(rows, "op1_substring_dedup") and sum(v[1] for v in want.values()) > 500
     assert substring.substring_dedup(none).count() == 0
 
 
+def crossing(seed):
+    """Texts woven from long passages that branch, meet again, run in rings and differ by single words."""
+    rng = random.Random(seed)
+    some = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    parts, ring = [some(rng.choice((20, 45, 60, 90))) for _ in range(6)], some(30)
+    texts = [" ".join(w for p in rng.choices(parts, k=rng.randint(1, 5)) for w in p) for _ in range(40)]
+    texts += [" ".join(ring * k) for k in (2, 3, 5)] + [" ".join(ring[7:] + ring * 3), "again " * 90, "again " * 60]
+    for t in texts[:15]:
+        w = t.split()
+        w[rng.randrange(len(w))] = "changed"
+        texts.append(" ".join(w))
+    return [(i, t) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("seed, bits", [(1, 64), (2, 64), (3, 64), (4, 3), (5, 6)])
+def test_substring_where_paths_branch(spark, seed, bits):
+    """Against brute force; with few bits of hash, most claims are false and must be mended."""
+    rows = crossing(seed)
+    out = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), bits=bits).collect()
+    want = kept_words(rows)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out} == want and sum(v[1] for v in want.values()) > 2000
+
+
+def test_paths_compact(spark):
+    """A chain whose edges have sources in several places is one path; a ring of pieces stays apart."""
+    chain = [(n, n + 1, 1, n % 3, n) for n in range(20)]
+    ring = [(100, 101, 1, 7, 0), (101, 102, 1, 8, 0), (102, 100, 1, 9, 0)]
+    fork = [(20, 200, 1, 4, 0), (20, 201, 1, 5, 0)]
+    edges = spark.createDataFrame(chain + ring + fork, "u long, v long, doc_id long, walk long, i int")
+    got = {(r.u, r.v): (tuple(r.path), r.place) for r in substring._compacted(edges).collect()}
+    assert len(got) == 25 and len(set(got.values())) == 25
+    assert [got[n, n + 1] for n in range(20)] == [((0, 0), n) for n in range(20)]
+    assert {got[20, 200][1], got[20, 201][1]} == {0}
+
+
 def test_exact(docs, rows, none):
     groups = defaultdict(list)
     for i, t, *_ in rows:
