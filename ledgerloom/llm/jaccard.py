@@ -185,11 +185,12 @@ def _shared_keys(sets: DataFrame) -> DataFrame:
 
 def _prefixes(shared: DataFrame) -> DataFrame:
     """(key, node, hub): the rarest shared keys of each set that may have a partner."""
-    few = F.lit(_FEW)
-    x = shared.groupBy("node", "meta").agg(F.array_sort(F.collect_set(F.struct("often", "key"))).alias("x"))  # no longer than the set
-    x = x.withColumn("need", F.shiftright("meta", 28).bitwiseAND(few).cast("int")).where(F.size("x") >= F.col("need"))
-    weight = F.expr("aggregate(x, 0D, (a, v) -> a + log2(v.often))")
-    return x.select("node", (1000 * weight / F.col("meta").bitwiseAND(few)).cast("long").alias("hub"), F.explode(F.slice("x", 1, F.size("x") - F.col("need") + 1)).alias("v")).select("v.key", "node", "hub")
+    few, own = F.lit(_FEW), Window.partitionBy("node", "meta")
+    x = shared.withColumn("rank", F.dense_rank().over(own.orderBy("often", "key")))  # a copy's keys rank alike
+    x = x.select("*", F.max("rank").over(own).alias("have"), F.sum(F.log2("often")).over(own).alias("weight"))
+    need = F.shiftright("meta", 28).bitwiseAND(few)
+    x = x.where((F.col("have") >= need) & (F.col("rank") <= F.col("have") - need + 1))
+    return x.select("key", "node", (1000 * F.col("weight") / F.col("meta").bitwiseAND(few)).cast("long").alias("hub"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -214,16 +215,34 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return one.join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _blockwise(members: DataFrame, texts: DataFrame) -> DataFrame:
+def _leftovers(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between strays of a key and members of the same key under another label.
 
-    ``members``: key, node, label, stray. Both are cut into blocks of about BLOCK
-    sets; a task compares one block with one block. For each stray and other
-    label one link is returned, which is all that components need.
+    ``members``: key, node, n_shingles, label, stray. In keys of at most BLOCK
+    members, each stray is paired with those of the others that are near enough
+    in size, and each such pair is verified once, however many keys it shares.
+    Larger keys are compared in blocks.
     """
     counts = members.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("stray").cast("int")).alias("strays")).where("strays > 0")
     counts = written(counts.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("strays") / BLOCK).cast("int").alias("ns")), "stray-keys")
-    rows = members.join(counts, "key").withColumn("h", F.xxhash64("node", F.lit(3)))
+    rows = members.join(counts, "key")
+    few = rows.where("nb = 1")
+    one = few.where("stray").select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("sa"))
+    two = few.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("sb"))
+    near = (F.least("sa", "sb") * DEN >= F.greatest("sa", "sb") * NUM) & (F.col("la") != F.col("lb"))
+    pairs = one.join(two, "key").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = _verified(written(pairs, "stray-pairs"), texts)
+    many = rows.where("nb > 1")
+    return found.unionAll(_blockwise(many, texts)) if many.take(1) else found
+
+
+def _blockwise(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links in keys with more members than a block: a task compares one block with one block.
+
+    For each stray and other label one link is returned, which is all that
+    components need.
+    """
+    rows = rows.withColumn("h", F.xxhash64("node", F.lit(3)))
     own = rows.select("key", "node", "label", F.pmod("h", F.col("nb")).cast("int").alias("mb"), F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("sb"), F.lit(False).alias("query"))
     query = rows.where("stray").select("key", "node", "label", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("mb"), F.pmod("h", F.col("ns")).cast("int").alias("sb"), F.lit(True).alias("query"))
 
@@ -272,9 +291,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets = written(_sets(docs.withColumn("mark", F.xxhash64("text"))), "sets")
     named = sets.where("node is not null and doc_id is not null")
     # The least id of equal sets stands for them.
-    classes = written(named.groupBy("node", "twin").agg(F.min("doc_id").alias("doc_id")), "set-classes")
+    classes = written(named.groupBy("node", "twin").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles")), "set-classes")
     keyed = written(_prefixes(_shared_keys(named)), "prefix-keys")
-    top = keyed.groupBy("key").agg(F.max(F.struct("hub", "node")).alias("top"), F.count("*").alias("n")).where("n > 1").select("key", F.col("top.node").alias("b"))
+    top = keyed.groupBy("key").agg(F.max(F.struct("hub", "node")).alias("top"), F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", F.col("top.node").alias("b"))
     members = written(keyed.join(written(top, "key-hubs"), "key").select("key", "node", "b"), "key-members")
     drop(keyed)
     nodes = members.select("node").distinct()
@@ -293,11 +312,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     apart = written(apart, "apart")
     groups = labels
     if apart.take(1):
-        byname = members.join(at, "node").join(hub, "b").select("key", F.col("a").alias("node"), F.col("to").alias("b"))
+        byname = members.join(wanted.select("node", F.col("doc_id").alias("a"), "n_shingles"), "node").join(hub, "b").select("key", F.col("a").alias("node"), "n_shingles", F.col("to").alias("b"))
         byname = byname.join(apart.select(F.col("a").alias("node"), "b", F.lit(True).alias("stray")).distinct(), ["node", "b"], "left")
-        byname = byname.groupBy("key", "node").agg(F.coalesce(F.max("stray"), F.lit(False)).alias("stray"))
-        byname = byname.join(labels.withColumnRenamed("component", "label"), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), "stray")
-        more = written(_blockwise(written(byname, "named-members"), texts), "links-blocks")
+        byname = byname.groupBy("key", "node").agg(F.first("n_shingles").alias("n_shingles"), F.coalesce(F.max("stray"), F.lit(False)).alias("stray"))
+        byname = byname.join(labels.withColumnRenamed("component", "label"), "node", "left").select("key", "node", "n_shingles", F.coalesce("label", "node").alias("label"), "stray")
+        more = written(_leftovers(written(byname, "named-members"), texts), "links-blocks")
         if more.take(1):
             groups = written(components(links.unionAll(more)), "set-groups")
     # Nodes are named by ids, so the least node of a component is its least id.
