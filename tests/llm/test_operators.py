@@ -393,8 +393,9 @@ def test_vectors(spark):
     rng = np.random.default_rng(7)
     base = rng.normal(size=(120, 16))
     rows = [v for v in base] + [base[i] + rng.normal(size=16) * 0.08 for i in range(60) for _ in range(2)] + [base[0]] * 30 + [2 * base[1]]
-    odd = [None, [], [0.0] * 16, [float("nan")] + [1.0] * 15, [None] + [1.0] * 15, [1.0, 2.0]]
-    table = [(i, [float(x) for x in v]) for i, v in enumerate(rows)] + [(1000 + i, v) for i, v in enumerate(odd)]
+    odd = [None, [], [0.0] * 16, [float("nan")] + [1.0] * 15, [None] + [1.0] * 15, [1.0, 2.0, 3.0]]
+    short = [[1.0, 1.0], [2.0, 2.0], [1.0, 1.01], [-1.0, 1.0]]  # another length links among itself
+    table = [(i, [float(x) for x in v]) for i, v in enumerate(rows)] + [(1000 + i, v) for i, v in enumerate(odd)] + [(2000 + i, v) for i, v in enumerate(short)]
     df = spark.createDataFrame(table, "vec_id long, embedding array<double>").repartition(3)
     v = np.array(rows)
     v = v / np.linalg.norm(v, axis=1, keepdims=True)
@@ -411,22 +412,43 @@ def test_vectors(spark):
     assert recall >= 0.97
     assert {i: got[i] for i in range(len(v))} == {i: (int(near[i].sum()), int(comp[i]), bool(comp[i] == i)) for i in range(len(v))}
     assert all(got[1000 + i] == (0, 1000 + i, True) for i in range(len(odd)))
+    assert [got[2000 + i] for i in range(4)] == [(2, 2000, True), (2, 2000, False), (2, 2000, False), (0, 2003, True)]
     assert vectors.link_vectors(df.limit(0))[0].count() == 0
 
 
+def test_shards_are_split_until_they_fit(spark, monkeypatch):
+    """Small caps: several rounds of splitting, dense groups over the cap with core and other members, edges across shards."""
+    monkeypatch.setattr(vectors, "CAP", 40)
+    monkeypatch.setattr(vectors, "SPLIT", 4)
+    monkeypatch.setattr(vectors, "CHUNK", 150)
+    monkeypatch.setattr(vectors, "MOST", vectors.OVERLAP)
+    monkeypatch.setattr(vectors, "_exact_links", None)  # not needed
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(700, 24))
+    v[:150] = v[0] + rng.normal(size=(150, 24)) * 0.05  # a dense core
+    v[150:230] = v[150] + rng.normal(size=(80, 24)) * 0.22  # wider than the core
+    v[600:] = v[400:500] + rng.normal(size=(100, 24)) * 0.1
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    near = v @ v.T >= 0.95
+    np.fill_diagonal(near, False)
+    out, recall = vectors.link_vectors(df)
+    got = {r.vec_id: r.n_links for r in out.collect()}
+    true = near.sum(1)
+    assert recall >= vectors.RECALL and all(got[i] <= true[i] for i in got)
+    assert sum(got.values()) >= 0.97 * true.sum() and sum(got[i] == true[i] for i in got) >= 0.97 * len(v)
+
+
 def test_graph_search_alone():
     rng = np.random.default_rng(8)
     v = rng.normal(size=(900, 24))
     v[:200] = v[0] + rng.normal(size=(200, 24)) * 0.15
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    graph = vectors.robust_prune(v)
-    found = true = 0
-    for i in range(0, 900, 9):
-        ids, _ = vectors.range_search(v, graph, v[i], vectors.medoid(v))
-        want = set(np.flatnonzero(v @ v[i] >= 0.95).tolist())
-        found, true = found + len(want & set(ids.tolist())), true + len(want)
-        assert set(ids.tolist()) <= want
-    assert found >= 0.95 * true
+    lists = vectors.robust_prune(v)
+    graph = np.array([list(g) + [-1] * (max(map(len, lists)) - len(g)) for g in lists])
+    found = vectors.range_search(v, graph, v[::9], vectors.medoid(v))
+    want = v[::9] @ v.T >= 0.95
+    assert not (found & ~want).any() and found.sum() >= 0.95 * want.sum()
 
 
 def test_a_dense_group_is_not_cut_up():
@@ -471,7 +493,7 @@ def test_audit_sees_lost_pairs_beside_a_large_group(spark):
     v[:200] = v[0] + rng.normal(size=(200, 32)) * 0.02
     v[300:] = v[200:300] + rng.normal(size=(100, 32)) * 0.02
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    nodes = spark.createDataFrame([(i, [float(x) for x in r], 1) for i, r in enumerate(v)], "node long, unit array<double>, copies long")
+    nodes = spark.createDataFrame([(i, i, [float(x) for x in r], 1) for i, r in enumerate(v)], "node long, first long, unit array<double>, copies long")
     links = ((v @ v.T >= 0.95).sum(1) - 1).tolist()
     whole = spark.createDataFrame(list(enumerate(links)), "node long, links long")
     assert vectors._audit(nodes, whole, 0.95) == 1
