@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -18,7 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in an Arrow batch; long texts make Spark's default of 10,000 heavy on executors.
 BATCH_ROWS = 1000
 
-_MADE: list[tuple[SparkSession, str]] = []
+_MADE: dict[int, tuple[SparkSession, str]] = {}
+_OWN: dict[str, str] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,38 +36,64 @@ def fresh(name: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is absent, as in tests, a folder of this machine is
-    set for the session.
+    Only where the setting is absent and all of Spark runs in this process, as in
+    tests, a folder of this machine serves; on a cluster the setting must be there.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # unless set by the user
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return found
+    if found:
+        return found
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="ledgerloom-"))
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of BATCH_ROWS inside, unless the user has set another number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        if before == "10000":
+            spark.conf.set(name, str(BATCH_ROWS))
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again.
 
-    This cuts the lineage; the table survives the loss of any executor.
+    This cuts the lineage; the table survives the loss of any executor. It stays
+    until ``drop`` or the end of the session.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _MADE.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _MADE[id(out)] = (spark, path)
+    _HELD[id(out)] = out
+    return out
+
+
+#: Keeps the frames of tables that exist, so that their ids stay theirs.
+_HELD: dict[int, DataFrame] = {}
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table made by ``written`` that nothing reads any more."""
-    files = df.inputFiles()
-    for spark, path in list(_MADE):
-        tail = path.rsplit("/", 1)[1]
-        if any(tail in f for f in files):
-            _delete(spark, path)
-            _MADE.remove((spark, path))
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that nothing reads any more."""
+    for df in tables:
+        if (made := _MADE.pop(id(df), None)) is not None:
+            del _HELD[id(df)]
+            _delete(*made)
+
+
+def written_alone(make, name: str) -> DataFrame:
+    """The frame that ``make()`` returns, written; tables written on the way are deleted."""
+    before = set(_MADE)
+    out = written(make(), name)
+    drop(*[_HELD[k] for k in set(_MADE) - before - {id(out)}])
+    return out
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -75,7 +104,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _MADE:
+    for spark, path in _MADE.values():
         try:
             if spark.sparkContext._jsc is not None:
                 _delete(spark, path)

@@ -3,13 +3,14 @@
 A Misra-Gries style frequent-items sketch (``approx_top_k``) finds the digests
 that may be frequent; an exact count verifies them. The verified winners, a table
 of at most ``max_heavy`` rows, are broadcast and settle their copies on the map
-side, however many there are. All other digests are shuffled: none of those
-groups can be large.
+side, however many there are. All other digests are shuffled: their groups are
+aggregated on the map side first, then joined with the rows, a join that adaptive
+execution splits where a group is still large.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, read, written
@@ -46,8 +47,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     heavy = written(heavy, "heavy")
     settled = rows.join(F.broadcast(heavy), "text_sha256")
     rest = rows.join(F.broadcast(heavy), "text_sha256", "left_anti")
-    group = Window.partitionBy("text_sha256")
-    rest = rest.select("text_sha256", "doc_id", F.max("doc_id").over(group).alias("keep_id"), F.count("*").over(group).alias("group_size"))
+    # Of the rest, groups are aggregated first; a join of rows with groups can be split where a window can't.
+    groups = rest.groupBy("text_sha256").agg(F.max("doc_id").alias("most"), F.count("*").alias("n")).where("n > 1")
+    rest = rest.join(groups, "text_sha256", "left").select("text_sha256", "doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("most")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"))
     return settled.select(rest.columns).unionAll(rest).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )

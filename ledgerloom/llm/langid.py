@@ -4,7 +4,7 @@ A text's vector holds the log counts of its hashed byte n-grams (1 to 4), weighe
 by inverse document frequency and normalised. Each language has several
 centroids, found by spherical k-means over a bounded sample of labelled rows. A
 text takes the language of the centroid with the greatest cosine; one that is
-farther from it than any training text by a wide margin is rejected.
+farther from it than nearly all training texts by a wide margin is rejected.
 """
 
 from __future__ import annotations
@@ -14,39 +14,55 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_batches, doc_hash, read, shared_dir
+from .common import byte_batches, doc_hash, read
 
 DIMS = 4096
 SIZES = (1, 2, 3, 4)
 #: Labelled rows of each language used to fit, about; languages are few.
 PER_LANGUAGE = 400
 CENTROIDS = 4
-#: A text is rejected below this share of the least cosine of its language's training texts.
-MARGIN = 0.5
+#: A text is rejected below this share of a low quantile of the cosines of its language's training texts.
+MARGIN, QUANTILE = 0.5, 0.01
 SEED = 8
-_GAPS = re.compile(r"[\W\d_]+")
+#: Runs of anything but letters and the marks that belong to them.
+_GAPS, _PLAIN = regex.compile(r"[^\p{L}\p{M}]+"), re.compile(r"[\W\d_]+")
+_LETTER = regex.compile(r"\p{L}")
 _PART = 1 << 20
 
 
+def _parts(text: str):
+    """Runs of words of the text, each led by what comes before it, cut at gaps about every ``_PART`` characters."""
+    gaps = _PLAIN if text.isascii() else _GAPS
+    at = 0
+    while at < len(text):
+        gap = gaps.search(text, at + _PART)
+        end = gap.start() if gap else len(text)
+        words = gaps.sub(" ", text[at:end].lower()).strip()
+        if words and (gaps is _PLAIN or _LETTER.search(words)):
+            yield words
+        at = end
+
+
 def gram_counts(text: str) -> np.ndarray | None:
     """Counts of hashed n-grams over the whole text; None without any letter."""
-    total = None
-    for a in range(0, len(text), _PART):
-        words = _GAPS.sub(" ", text[a : a + _PART].lower()).strip()
-        if not words:
-            continue
-        b = np.frombuffer(f" {words} ".encode(), np.uint8).astype(np.uint32)
+    total, before = None, b" "
+    for words in _parts(text):
+        data = words.encode() + b" "
+        b = np.frombuffer(before + data, np.uint8).astype(np.uint32)
         total = np.zeros(DIMS, np.int64) if total is None else total
+        old = len(before) if total.any() else 0  # grams that end there are counted
         x = b
         for n in range(1, max(SIZES) + 1):
             if n > 1:
                 x = (x[:-1] << np.uint32(8)) | b[n - 1 :]
             if n in SIZES and len(x):
-                h = ((x + np.uint32(n * 0x3C6EF372 & 0xFFFFFFFF)) * np.uint32(0x9E3779B1)) >> np.uint32(20)
+                h = ((x[max(0, old - n + 1) :] + np.uint32(n * 0x3C6EF372 & 0xFFFFFFFF)) * np.uint32(0x9E3779B1)) >> np.uint32(20)
                 total += np.bincount(h, minlength=DIMS)
+        before = (before + data)[-(max(SIZES) - 1) :]
     return total
 
 
@@ -100,7 +116,6 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     Rows with null labels or texts are left out. The sample's count vectors, not
     its texts, come to the driver: 8 kB a row.
     """
-    shared_dir(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     u = F.pmod(doc_hash("doc_id", seed=SEED), F.lit(1 << 30)) / float(1 << 30)
@@ -128,7 +143,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     each = [_kmeans(v[names == lang], centroids) for lang in langs]
     c = np.concatenate(each).astype(np.float32)
     who = np.repeat(np.arange(len(langs)), [len(x) for x in each])
-    floor = np.array([MARGIN * float((v[names == lang] @ x.T).max(1).min()) for lang, x in zip(langs, each)])
+    floor = np.array([MARGIN * float(np.quantile((v[names == lang] @ x.T).max(1), QUANTILE)) for lang, x in zip(langs, each)])
     return Model(langs, idf, c, who, floor)
 
 

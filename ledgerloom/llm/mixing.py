@@ -6,15 +6,16 @@ of a word costs n - 1, so costs are convex and repetition is used only where a
 quota needs it. Flow routes each pattern's words to the quotas of its sources.
 Documents are then selected by a seeded hash: each is taken the whole number of
 times that the flow covers its pattern, and once more if its hash lies below the
-pattern's cut, which is found by refining a histogram of hashes.
+pattern's cut, which is found by refining a histogram of hashes. What the last
+document was too large for is filled with smaller ones in further rounds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_hash, read, written
+from .common import doc_hash, fresh, read, written
 from .flow import MinCostFlow
 
 SEED = 20_240_601
@@ -71,22 +72,22 @@ def route(patterns: dict[tuple, int], quotas: dict, repeats: int = REPEATS) -> d
     return {p: sum(net.flow(k) for k in arcs) for p, arcs in used.items()}
 
 
-def _bucket(shift: int) -> Column:
-    return F.shiftright("_hash", shift)
-
-
-def mix(docs: DataFrame, memberships: str = "sources", weights=WEIGHTS, repeats: int = REPEATS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", size: Column | None = None) -> tuple[DataFrame, DataFrame, dict, dict]:
-    """Plan a mix: (rows, plan, source sizes, targets).
+def mix(docs: DataFrame, memberships: str = "sources", weights=WEIGHTS, repeats: int = REPEATS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", size: Column | None = None, keep: tuple[str, ...] = ()) -> tuple[DataFrame, dict, dict]:
+    """A mix: (rows, source sizes, targets).
 
     ``memberships`` is an array column of source names (null is a source of its
-    own; an empty array is never taken). The rows are doc_id, size, pattern and
-    copies (0 to ``repeats``). Size is the word count of the text (null: 0); rows
-    without words are never taken. The number of distinct sources and patterns
-    must fit on the driver; documents never go there. Rows with one id share a
-    hash and are taken together. An empty table gives an empty result.
+    own; an empty array is never taken). The rows are doc_id, size, pattern,
+    copies (0 to ``repeats``) and the columns ``keep`` in a struct ``row``. Size is
+    the word count of the text (null: 0); rows without words are never taken.
+    Sources and patterns are nodes of the flow, so they must fit on the driver, a
+    number of each; documents never go there. Rows with a null or repeated id are
+    told apart by their texts, and equal rows are numbered where only some of them
+    are taken. Very long texts count whole. An empty table gives an empty result.
     """
-    words, pattern, spread = _size(text_col) if size is None else size, _pattern(F.col(memberships)), _spread(F.col(id_col), seed)
-    rows = written(docs.select(F.col(id_col).alias("doc_id"), words.alias("size"), pattern.alias("pattern"), spread.alias("_hash")), "mix-rows")
+    words, pattern = _size(text_col) if size is None else size, _pattern(F.col(memberships))
+    kept = [F.struct(*[F.col(c) for c in keep]).alias("row")] if keep else []
+    picked = docs.select(F.col(id_col).alias("doc_id"), words.alias("size"), pattern.alias("pattern"), _spread(F.col(id_col), F.col(text_col), seed).alias("_hash"), *kept)
+    rows = written(picked, "mix-rows")
     totals = {r[0]: r[1] for r in rows.groupBy("pattern").agg(F.sum("size")).collect()}
     members = {p: tuple(None if s == "\x00" else s[1:] for s in p.split("\x01")) if p else () for p in totals}
     sizes: dict = {}
@@ -100,16 +101,7 @@ def mix(docs: DataFrame, memberships: str = "sources", weights=WEIGHTS, repeats:
         got = flows.get(members[p], 0)
         base[p] = min(repeats, got // n) if n else 0
         want[p] = got - base[p] * n if n and base[p] < repeats else 0
-    cuts = _cuts(rows, {p: w for p, w in want.items() if w > 0})
-    spark = docs.sparkSession
-    plan = spark.createDataFrame([(p, base[p], cuts.get(p, -1)) for p in sorted(totals)] or [("", 0, -1)], "pattern string, _base int, _cut long")
-    # One row for each pattern, as many as have just been collected.
-    chosen = rows.join(F.broadcast(plan), "pattern").select("doc_id", "size", "pattern", _copies(F.col("size"), F.col("_hash")).alias("copies"))
-    return chosen, plan, sizes, targets
-
-
-def _copies(size: Column, spread: Column) -> Column:
-    return F.when(size > 0, F.col("_base") + (spread <= F.col("_cut")).cast("int")).otherwise(0)
+    return _chosen(rows, base, want), sizes, targets
 
 
 def _size(text_col: str) -> Column:
@@ -121,66 +113,117 @@ def _pattern(members: Column) -> Column:
     return F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform(members, lambda s: F.coalesce(F.concat(F.lit("+"), s), none)))), "\x01"), none)
 
 
-def _spread(id_col: Column, seed: int) -> Column:
-    return F.shiftright(doc_hash(id_col, seed=seed), 4).bitwiseAND(F.lit((1 << 60) - 1))
+def _spread(id_col: Column, text: Column, seed: int) -> Column:
+    return F.shiftright(doc_hash(id_col, text, seed=seed), 4).bitwiseAND(F.lit((1 << 60) - 1))
 
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, all columns kept.
 
-    Rows without words, or with an id outside the seeded choice, are not taken.
+    Rows without words are not taken; nulls, repeated rows and empty tables are
+    met as in ``mix``.
     """
-    _, plan, _, _ = mix(docs.select("doc_id", "text", F.array("source").alias("sources")), seed=seed)
-    pattern = _pattern(F.array("source"))
-    inner = [F.col(c) for c in docs.columns]
-    wide = docs.select(F.struct(*inner).alias("_row"), pattern.alias("pattern"), _size("text").alias("_size"), _spread(F.col("doc_id"), seed).alias("_hash"))
-    taken = wide.join(F.broadcast(plan), "pattern").select("_row", _copies(F.col("_size"), F.col("_hash")).alias("_n")).where("_n > 0")
-    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")
+    bare = docs.select("*", F.array("source").alias(sources := fresh("sources")))
+    rows, _, _ = mix(bare, sources, seed=seed, keep=tuple(docs.columns))
+    return rows.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+
+
+#: Rounds in which documents small enough fill what the last round left of a pattern.
+ROUNDS = 5
 
 
-def _cuts(rows: DataFrame, want: dict[str, int]) -> dict[str, int]:
-    """The greatest hash to take of each pattern, so that sizes up to it come nearest to ``want``.
+def _chosen(rows: DataFrame, base: dict[str, int], want: dict[str, int]) -> DataFrame:
+    """Rows with their copies: ``base`` times all, and once more so many that their sizes come near ``want``.
 
-    Each step aggregates sizes by the next 12 bits of the hash inside the bucket
-    that holds the cut: at most 4096 sums for a pattern. After all 60 bits a
-    bucket is a single hash.
+    Extra documents are taken in the order of their hash until the first that is
+    too large; further rounds go on behind that place with documents of at most
+    half, and at last of all, of what is still wanted.
     """
     spark = rows.sparkSession
-    at = {p: (0, 0, w) for p, w in want.items()}  # pattern: prefix, words below, words wanted
-    done: dict[str, int] = {}
+    left = {p: w for p, w in want.items() if w > 0}
+    most = dict(left)  # the largest size admitted
+    behind = {p: -1 for p in left}
+    plans = []
+    for k in range(ROUNDS):
+        if not left:
+            break
+        cuts = _cuts(rows, [(p, behind[p], most[p], w) for p, w in left.items()])
+        plans.append([(p, behind[p], most[p], cut, ties) for p, (cut, ties, _) in cuts.items()])
+        following = {}
+        for p, (cut, _, filled) in cuts.items():
+            if left[p] - filled > 1 and cut < (1 << 60):
+                following[p] = left[p] - filled
+                behind[p], most[p] = max(cut, behind[p]), max(1, (left[p] - filled) // (2 if k < ROUNDS - 3 else 1))
+        left = following
+    # One row for each pattern; Spark broadcasts a plan only where it is small.
+    plan = spark.createDataFrame([(p, n) for p, n in sorted(base.items())] or [("", 0)], "pattern string, _base int")
+    out = rows.join(plan, "pattern", "left").withColumn("copies", F.coalesce("_base", F.lit(0)))
+    for k, part in enumerate(plans):
+        table = spark.createDataFrame(part, f"pattern string, _behind{k} long, _most{k} long, _cut{k} long, _ties{k} long")
+        out = out.join(table, "pattern", "left")
+        inside = (F.col(f"_behind{k}") < F.col("_hash")) & (F.col("size") <= F.col(f"_most{k}"))
+        extra = inside & (F.col("_hash") < F.col(f"_cut{k}"))
+        if any(ties for *_, ties in part):  # of rows that share the hash at the cut, only some are taken
+            at_cut = inside & (F.col("_hash") == F.col(f"_cut{k}")) & (F.col(f"_ties{k}") > 0)
+            cut = out.where(at_cut)
+            rank = F.row_number().over(Window.partitionBy("pattern", "_hash").orderBy("size"))
+            cut = cut.withColumn("copies", F.col("copies") + (rank <= F.col(f"_ties{k}")).cast("int"))
+            out = out.where(~F.coalesce(at_cut, F.lit(False))).withColumn("copies", F.col("copies") + F.coalesce(extra, F.lit(False)).cast("int")).unionAll(cut)
+        else:
+            out = out.withColumn("copies", F.col("copies") + F.coalesce(extra, F.lit(False)).cast("int"))
+    out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("copies")).otherwise(0))
+    return out.select("doc_id", "size", "pattern", "copies", *[c for c in rows.columns if c == "row"])
+
+
+def _cuts(rows: DataFrame, wanted: list[tuple[str, int, int, int]]) -> dict[str, tuple[int, int, int]]:
+    """For (pattern, behind, most, want): (cut, rows to take at the cut, sizes taken).
+
+    Rows with a hash behind ``behind`` and of a size up to ``most`` are taken
+    below the cut. Each step sums sizes by the next 12 bits of the hash inside the
+    bucket that holds the cut and finds the next bucket on the executors; one row
+    a pattern comes back. After all 60 bits a bucket is a single hash.
+    """
+    spark = rows.sparkSession
+    at = {p: (0, 0) for p, *_ in wanted}  # prefix of the cut, sizes below
+    rule = {p: (b, m, w) for p, b, m, w in wanted}
+    done: dict[str, tuple[int, int, int]] = {}
     for level in range(5):
         if not at:
             break
         shift = 60 - _BITS * (level + 1)
-        here = spark.createDataFrame([(p, v[0]) for p, v in at.items()], "pattern string, _prefix long")
-        inside = rows.join(F.broadcast(here), "pattern").where(_bucket(shift + _BITS) == F.col("_prefix")).where("size > 0")
-        sums = inside.groupBy("pattern", _bucket(shift).alias("b")).agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
-        by: dict[str, list] = {}
-        for r in sums:
-            by.setdefault(r["pattern"], []).append((r["b"], r["n"], r["rows"]))
+        here = spark.createDataFrame([(p, x, below, *rule[p]) for p, (x, below) in at.items()], "pattern string, _prefix long, _below long, _behind long, _most long, _want long")
+        inside = rows.join(here, "pattern").where(F.shiftright("_hash", shift + _BITS) == F.col("_prefix")).where("size > 0 and size <= _most and _hash > _behind")
+        sums = inside.groupBy("pattern", "_below", "_want", F.shiftright("_hash", shift).alias("b")).agg(F.sum("size").alias("n"), F.count("*").alias("k"), F.max("size").alias("each"))
+        upto = F.sum("n").over(Window.partitionBy("pattern").orderBy("b")) + F.col("_below")
+        over = sums.withColumn("upto", upto).groupBy("pattern").agg(F.min(F.when(F.col("upto") > F.col("_want"), F.struct("b", "upto", "n", "k", "each"))).alias("x"), F.max("upto").alias("all"))
         following = {}
-        for p, (_, below, w) in at.items():
-            for b, n, count in sorted(by.get(p, [])):
-                if below + n <= w:
-                    below += n
-                    done[p] = ((b + 1) << shift) - 1
-                elif count > 1 and shift:
-                    following[p] = (b, below, w)
-                    break
-                else:  # one row or one hash: take it if that comes nearer
-                    if w - below > below + n - w:
-                        done[p] = ((b + 1) << shift) - 1
-                    break
+        for r in over.collect():
+            p = r["pattern"]
+            if r["x"] is None:  # all of them fit
+                done[p] = (1 << 60, 0, r["all"])
+                continue
+            b, below = r["x"]["b"], r["x"]["upto"] - r["x"]["n"]
+            if r["x"]["k"] > 1 and shift:
+                following[p] = (b, below)
+            else:  # one row, or rows of one hash
+                ties = (rule[p][2] - below) // r["x"]["each"] if r["x"]["k"] > 1 else 0
+                done[p] = (b << shift, ties, below + ties * r["x"]["each"])
+        for p in at:
+            if p not in done and p not in following:
+                done[p] = (1 << 60, 0, at[p][1])
         at = following
     return done
 
 
 def source_mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """Mix of a table with one ``source`` column: doc_id, size, source, source_size, target, taken, copies."""
+    """Mix of a table with one ``source`` column: doc_id, size, source, source_size, target, taken, copies.
+
+    Nulls, repeated rows and empty tables are met as in ``mix``.
+    """
     spark = docs.sparkSession
-    rows, _, sizes, targets = mix(docs.select("doc_id", "text", F.array("source").alias("sources")), seed=seed)
+    rows, sizes, targets = mix(docs.select("doc_id", "text", F.array("source").alias("sources")), seed=seed)
     stats = spark.createDataFrame([(("\x00" if s is None else "+" + s), s, sizes[s], targets[s]) for s in sizes] or [("", None, 0, 0.0)], "pattern string, source string, source_size long, target double")
-    return rows.join(F.broadcast(stats), "pattern").select("doc_id", "size", "source", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return rows.join(stats, "pattern").select("doc_id", "size", "source", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def op4_source_mixing(spark, sf_dir):

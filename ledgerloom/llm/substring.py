@@ -175,13 +175,14 @@ def _compacted(graph: DataFrame) -> DataFrame:
     tails = e.groupBy("walk", "at").agg(F.max(F.struct("i", "v")).alias("end"), F.count("*").alias("length")).select(F.struct("walk", "at").alias("before"), F.col("end.v").alias("u"), "length")
     links = e.where("head and through").select(F.struct("walk", "at").alias("piece"), "u").join(tails, "u").select("piece", "before", "length")
     links, left, last = written(links, "piece-links"), -1, None
+    table = links
     while left not in (0, last):  # every round ends some links of every chain: when none ends, what goes on are rings
         last = left
         up = links.select(F.col("piece").alias("before"), F.col("before").alias("top"), F.col("length").alias("more"))
         following = written(links.join(up, "before", "left").select("piece", F.coalesce("top", "before").alias("before"), (F.col("length") + F.coalesce("more", F.lit(0))).alias("length"), F.col("top").isNotNull().alias("going")), "piece-links")
         left = following.where("going").count()
-        drop(links)
-        links = following.drop("going")
+        drop(table)
+        table, links = following, following.drop("going")
     if left:  # rings: every piece before which another still stands
         links = links.join(links.select(F.col("piece").alias("before")), "before", "left_anti").select("piece", "before", "length")
     e = e.join(links.select("piece.*", F.col("before"), "length"), ["walk", "at"], "left")
