@@ -15,9 +15,9 @@ of a hot key). A set of which too few keys occur elsewhere cannot have a partner
 and is dropped; of the others, only as many of the rarest keys as the pigeonhole
 needs make candidates. Candidates of one key are compared with its best
 connected member (a star, never all pairs), exactly, on the texts. Where a star
-leaves a candidate apart from its key's hub, that candidate is compared with the
-members of the same key in blocks, again exactly, so that no link between
-components is lost.
+leaves a candidate apart from its key's hub, the blocks of nodes in which that
+candidate and the members of its key lie are compared, again exactly, so that no
+link between components is lost.
 """
 
 from __future__ import annotations
@@ -35,9 +35,8 @@ SHINGLE = 5
 NUM, DEN = 4, 5
 #: Bands below this size index one-deletion neighbourhoods.
 SMALL = 16
-#: Sets in a block of the last comparison; rows of the broadcast table of hot keys.
-BLOCK, HEAVY = 256, 1024
-_FEW = (1 << 28) - 1
+#: Sets in a block of the comparisons, about; rows of the broadcast table of hot keys.
+BLOCK, HEAVY = 512, 1024
 _U = np.uint64
 
 
@@ -65,13 +64,13 @@ def shingle_sets(texts: list[bytes | None], k: int = SHINGLE, seed: int = 5) ->
 
 
 def set_ids(s: np.ndarray) -> tuple[int, int]:
-    """128-bit identity of a set, as two signed numbers."""
+    """Identity of a set in 126 bits, as two signed numbers; the first is a multiple of 4."""
     out = []
     with np.errstate(over="ignore"):
         for a, b in ((0x5851F42D4C957F2D, 0x9E3779B97F4A7C15), (0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93)):
             x = mix(s ^ _U(a))
             out.append(int(mix(np.array([x.sum(dtype=np.uint64) * _U(b) + _U(len(s))]))[0].astype(np.int64)))
-    return out[0], out[1]
+    return out[0] & ~3, out[1]
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -127,8 +126,8 @@ def bands(n: int) -> list[int]:
 def _sets(docs: DataFrame) -> DataFrame:
     """doc_id, mark, n_shingles, two numbers that name the set, and its groups of keys.
 
-    ``meta`` holds a group's band, needed keys and number of keys. Of copies met
-    in one task, the first alone carries keys.
+    ``node`` is a multiple of 4, and ``ref`` adds the number of the group to it. Of
+    copies met in one task, the first alone carries keys.
     """
 
     def run(batches):
@@ -141,118 +140,110 @@ def _sets(docs: DataFrame) -> DataFrame:
                 small = [i for i, s in enumerate(sets) if 0 < len(s) < NUM]
                 again = {i: set_ids(s)[1] for i, s in zip(small, shingle_sets([texts[i] for i in small], seed=15))}
                 names: list = []
-                meta, keys, ends = [], [], [0]
+                ref, needs, keys, ends = [], [], [], [0]
                 for i, s in enumerate(sets):
                     name = set_ids(s) if len(s) else (None, None)
                     names.append((name[0], again[i]) if i in again else name)
                     if len(s) >= NUM and name not in seen and valid[first + i]:
                         if len(seen) < 200_000:
                             seen.add(name)
-                        for low in bands(len(s)):
-                            for fine, (k, need) in enumerate(band_keys(s, low)):
-                                meta.append(((2 * low.bit_length() + fine) << 56) | (min(need, _FEW) << 28) | min(len(k), _FEW))
-                                keys.append(k)
+                        for k, need in [g for low in bands(len(s)) for g in band_keys(s, low)]:
+                            ref.append(name[0] + len(keys) - ends[-1])
+                            needs.append(need)
+                            keys.append(k)
                     ends.append(len(keys))
                 sizes = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
                 flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-                groups = pa.StructArray.from_arrays([pa.array(meta, pa.int64()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], ["meta", "keys"])
+                groups = pa.StructArray.from_arrays([pa.array(ref, pa.int64()), pa.array(needs, pa.int32()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], ["ref", "need", "keys"])
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(first, len(texts)), batch.column(1).slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in names], pa.int64()), pa.array([y for _, y in names], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), groups)],
                     ["doc_id", "mark", "n_shingles", "node", "twin", "groups"],
                 )
 
-    return docs.select("doc_id", "mark", "text").mapInArrow(run, "doc_id long, mark long, n_shingles long, node long, twin long, groups array<struct<meta:long,keys:array<long>>>")
+    return docs.select("doc_id", "mark", "text").mapInArrow(run, "doc_id long, mark long, n_shingles long, node long, twin long, groups array<struct<ref:long,need:int,keys:array<long>>>")
 
 
 def _shared_keys(sets: DataFrame) -> DataFrame:
-    """(node, meta, key, often): keys that more than one set has, with their frequency.
+    """(ref, key, often): keys that more than one set has, with their frequency.
 
-    A sketch names the keys that may be hot; they are counted exactly, and a table
-    of at most HEAVY rows settles them on the map side. Other keys are shuffled once.
+    ``ref`` names a set and its group of keys. A sketch names the keys that may be
+    hot; they are counted exactly, and a table of at most HEAVY rows settles them
+    on the map side. Other keys are shuffled once.
     """
-    keys = sets.select("node", F.inline("groups")).select("node", "meta", F.explode("keys").alias("key"))
+    keys = sets.select(F.expr("inline(transform(groups, g -> struct(g.ref AS ref, g.keys AS keys)))")).select("ref", F.explode("keys").alias("key"))
     n = sets.agg(F.sum(F.expr("aggregate(groups, 0L, (n, g) -> n + size(g.keys))"))).first()[0] or 0
     likely = keys.selectExpr(f"explode(approx_top_k(key, {HEAVY}, {8 * HEAVY})) AS top").where(F.col("top.count") * (8 * HEAVY) >= n).select(F.col("top.item").alias("key"))
     likely = written(likely, "likely-keys")
-    count = [F.count("*").alias("often"), F.min("node").alias("least"), F.max("node").alias("most")]
+    count = [F.count("*").alias("often"), F.min("ref").alias("least"), F.max("ref").alias("most")]
     heavy = written(keys.join(F.broadcast(likely), "key", "left_semi").groupBy("key").agg(*count), "heavy-keys")
     settled = keys.join(F.broadcast(heavy.where("least < most").select("key", "often")), "key")
     alike = Window.partitionBy("key")
-    rest = keys.join(F.broadcast(heavy.select("key")), "key", "left_anti").select("*", *[c.over(alike).alias(name) for c, name in ((F.count("*"), "often"), (F.min("node"), "least"), (F.max("node"), "most"))]).where("least < most")
-    columns = ["node", "meta", "key", "often"]
-    return settled.select(columns).unionAll(rest.select(columns))
+    rest = keys.join(F.broadcast(heavy.select("key")), "key", "left_anti").select("*", *[c.over(alike).alias(name) for c, name in ((F.count("*"), "often"), (F.min("ref"), "least"), (F.max("ref"), "most"))]).where("least < most")
+    return settled.select("ref", "key", "often").unionAll(rest.select("ref", "key", "often"))
 
 
-def _prefixes(shared: DataFrame) -> DataFrame:
+def _prefixes(shared: DataFrame, sets: DataFrame) -> DataFrame:
     """(key, node, hub): the rarest shared keys of each set that may have a partner."""
-    few, own = F.lit(_FEW), Window.partitionBy("node", "meta")
+    groups = sets.select("node", F.expr("inline(transform(groups, g -> struct(g.ref AS ref, g.need AS need, size(g.keys) AS total)))")).groupBy("ref").agg(F.first("node").alias("node"), F.min("need").alias("need"), F.max("total").alias("total"))
+    own = Window.partitionBy("ref")
     x = shared.withColumn("rank", F.dense_rank().over(own.orderBy("often", "key")))  # a copy's keys rank alike
-    x = x.select("*", F.max("rank").over(own).alias("have"), F.sum(F.log2("often")).over(own).alias("weight"))
-    need = F.shiftright("meta", 28).bitwiseAND(few)
-    x = x.where((F.col("have") >= need) & (F.col("rank") <= F.col("have") - need + 1))
-    return x.select("key", "node", (1000 * F.col("weight") / F.col("meta").bitwiseAND(few)).cast("long").alias("hub"))
+    x = x.select("*", F.max("rank").over(own).alias("have"), F.sum(F.log2("often")).over(own).alias("weight")).join(groups, "ref")
+    x = x.where((F.col("have") >= F.col("need")) & (F.col("rank") <= F.col("have") - F.col("need") + 1))
+    return x.select("key", "node", (1000 * F.col("weight") / F.col("total")).cast("long").alias("hub"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar; ``texts`` has (node, text)."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+def _blocks(pairs: DataFrame) -> DataFrame:
+    """(node, block): nodes that pairs connect, directly or not, in blocks of about BLOCK."""
+    family = written(components(pairs), "families")
+    sizes = family.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
+    block = F.xxhash64("component", F.pmod(F.xxhash64("node", F.lit(4)), F.col("nb")))
+    return written(family.join(sizes, "component").select("node", block.alias("block")), "blocks")
 
-    def run(batches):
-        last, held = None, None
-        for batch in batches:
-            a, b = batch.column(0), batch.column(1)
-            keep, bs = np.zeros(len(batch), bool), b.to_pylist()
-            tb = batch.column(3)
-            for first, texts in byte_batches(batch, "text_a"):
-                for i, s in enumerate(shingle_sets(texts), first):
-                    if bs[i] != last:
-                        last, held = bs[i], shingle_sets([tb[i].as_py().encode()])[0]
-                    keep[i] = similar(s, held)
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep))
-
-    one = pairs.join(left, "a")
-    return one.join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-
-
-def _leftovers(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between strays of a key and members of the same key under another label.
-
-    ``members``: key, node, n_shingles, label, stray. In keys of at most BLOCK
-    members, each stray is paired with those of the others that are near enough
-    in size, and each such pair is verified once, however many keys it shares.
-    Larger keys are compared in blocks.
-    """
-    counts = members.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("stray").cast("int")).alias("strays")).where("strays > 0")
-    counts = written(counts.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("strays") / BLOCK).cast("int").alias("ns")), "stray-keys")
-    rows = members.join(counts, "key")
-    few = rows.where("nb = 1")
-    one = few.where("stray").select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("sa"))
-    two = few.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("sb"))
-    near = (F.least("sa", "sb") * DEN >= F.greatest("sa", "sb") * NUM) & (F.col("la") != F.col("lb"))
-    pairs = one.join(two, "key").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = _verified(written(pairs, "stray-pairs"), texts)
-    many = rows.where("nb > 1")
-    return found.unionAll(_blockwise(many, texts)) if many.take(1) else found
-
-
-def _blockwise(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links in keys with more members than a block: a task compares one block with one block.
-
-    For each stray and other label one link is returned, which is all that
-    components need.
+
+def _sets_of(table: pa.Table) -> list[np.ndarray]:
+    sets: list[np.ndarray] = []
+    for batch in table.select(["text"]).to_batches():
+        for _, texts in byte_batches(batch):
+            sets += shingle_sets(texts)
+    return sets
+
+
+def _verified(pairs: DataFrame, blocks: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar. A task gets the pairs between two blocks, and each text in them once."""
+    x, y = blocks.select(F.col("node").alias("a"), F.col("block").alias("x")), blocks.select(F.col("node").alias("b"), F.col("block").alias("y"))
+    placed = pairs.join(x, "a").join(y, "b").select("a", "b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    placed = written(placed, "placed-pairs")
+    own = placed.select(F.col("x").alias("u"), F.col("y").alias("v"), F.explode(F.array("a", "b")).alias("node")).distinct().join(texts, "node")
+
+    def run(left, right):
+        sets: dict[int, list[np.ndarray]] = {}
+        for node, s in zip(left.column("node").to_pylist(), _sets_of(left)):
+            sets.setdefault(node, []).append(s)  # rows that repeat an id may have several texts
+        a, b = right.column("a").to_pylist(), right.column("b").to_pylist()
+        keep = [any(similar(s, t) for s in sets.get(i, ()) for t in sets.get(j, ())) for i, j in zip(a, b)]
+        return right.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return own.groupBy("u", "v").cogroup(placed.groupBy("x", "y")).applyInArrow(run, "a long, b long")
+
+
+def _leftovers(members: DataFrame, blocks: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between strays and nodes under another label that share a key with them.
+
+    ``members``: key, node, label, stray. Where a key joins strays of one block
+    with members of another, a task compares those strays with those members. For
+    each stray and other label one link is returned, which is all that components need.
     """
-    rows = rows.withColumn("h", F.xxhash64("node", F.lit(3)))
-    own = rows.select("key", "node", "label", F.pmod("h", F.col("nb")).cast("int").alias("mb"), F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("sb"), F.lit(False).alias("query"))
-    query = rows.where("stray").select("key", "node", "label", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("mb"), F.pmod("h", F.col("ns")).cast("int").alias("sb"), F.lit(True).alias("query"))
+    placed = members.join(blocks, "node")
+    of = placed.select("key", F.col("block").alias("mb")).distinct()
+    meet = placed.where("stray").select("key", F.col("block").alias("sb")).distinct().join(of, "key").select("sb", "mb").distinct()
+    meet = written(meet, "block-pairs")
+    nodes = written(placed.groupBy("node").agg(F.first("block").alias("block"), F.first("label").alias("label"), F.max("stray").alias("stray")).join(texts, "node"), "block-members")
+    query = nodes.where("stray").join(meet, nodes["block"] == meet["sb"]).select("sb", "mb", "node", "label", "text", F.lit(True).alias("query"))
+    own = nodes.join(meet, nodes["block"] == meet["mb"]).select("sb", "mb", "node", "label", "text", F.lit(False).alias("query"))
 
     def run(table):
         node, label, query = table.column("node").to_numpy(), table.column("label").to_numpy(), table.column("query").to_numpy(zero_copy_only=False)
-        sets: list[np.ndarray] = []
-        for batch in table.select(["text"]).to_batches():
-            for _, texts in byte_batches(batch):
-                sets += shingle_sets(texts)
-        own = np.flatnonzero(~query)
+        sets, own = _sets_of(table), np.flatnonzero(~query)
         out_a, out_b = [], []
         if len(own):
             size = np.array([len(sets[i]) for i in own])
@@ -272,7 +263,7 @@ def _blockwise(rows: DataFrame, texts: DataFrame) -> DataFrame:
                     out_b.append(int(node[j]))
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    return own.unionAll(query).join(texts, "node").groupBy("key", "mb", "sb").applyInArrow(run, "a long, b long").distinct()
+    return query.unionAll(own).groupBy("sb", "mb").applyInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -291,8 +282,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets = written(_sets(docs.withColumn("mark", F.xxhash64("text"))), "sets")
     named = sets.where("node is not null and doc_id is not null")
     # The least id of equal sets stands for them.
-    classes = written(named.groupBy("node", "twin").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles")), "set-classes")
-    keyed = written(_prefixes(_shared_keys(named)), "prefix-keys")
+    classes = written(named.groupBy("node", "twin").agg(F.min("doc_id").alias("doc_id")), "set-classes")
+    keyed = written(_prefixes(_shared_keys(named), named), "prefix-keys")
     top = keyed.groupBy("key").agg(F.max(F.struct("hub", "node")).alias("top"), F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", F.col("top.node").alias("b"))
     members = written(keyed.join(written(top, "key-hubs"), "key").select("key", "node", "b"), "key-members")
     drop(keyed)
@@ -305,18 +296,21 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Rows that repeat an id with another text are told apart by the set's identity.
     # Written once more so that joins meet bare exchanges, which adaptive execution can split at hot hubs.
     texts = written(written(_of_set(texts), "candidate-rows").dropDuplicates(["node", "twin"]).select(F.col("doc_id").alias("node"), "text"), "candidate-texts")
-    links = written(_verified(pairs, texts), "links-star")
+    blocks = _blocks(pairs)
+    links = written(_verified(pairs, blocks, texts), "links-star")
     labels = written(components(links), "labels")
     la, lb = labels.select(F.col("node").alias("a"), F.col("component").alias("la")), labels.select(F.col("node").alias("b"), F.col("component").alias("lb"))
     apart = pairs.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
     apart = written(apart, "apart")
     groups = labels
     if apart.take(1):
-        byname = members.join(wanted.select("node", F.col("doc_id").alias("a"), "n_shingles"), "node").join(hub, "b").select("key", F.col("a").alias("node"), "n_shingles", F.col("to").alias("b"))
+        byname = members.join(at, "node").join(hub, "b").select("key", F.col("a").alias("node"), F.col("to").alias("b"))
         byname = byname.join(apart.select(F.col("a").alias("node"), "b", F.lit(True).alias("stray")).distinct(), ["node", "b"], "left")
-        byname = byname.groupBy("key", "node").agg(F.first("n_shingles").alias("n_shingles"), F.coalesce(F.max("stray"), F.lit(False)).alias("stray"))
-        byname = byname.join(labels.withColumnRenamed("component", "label"), "node", "left").select("key", "node", "n_shingles", F.coalesce("label", "node").alias("label"), "stray")
-        more = written(_leftovers(written(byname, "named-members"), texts), "links-blocks")
+        byname = byname.groupBy("key", "node").agg(F.coalesce(F.max("stray"), F.lit(False)).alias("stray"))
+        byname = written(byname, "named-members")
+        keys = byname.where("stray").select("key").distinct()
+        byname = byname.join(keys, "key").join(labels.withColumnRenamed("component", "label"), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), "stray")
+        more = written(_leftovers(written(byname, "stray-keys"), blocks, texts), "links-blocks")
         if more.take(1):
             groups = written(components(links.unionAll(more)), "set-groups")
     # Nodes are named by ids, so the least node of a component is its least id.
