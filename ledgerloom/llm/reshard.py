@@ -52,18 +52,26 @@ def plan_moves(sizes: dict[int, int], blocks: list[tuple[int, int, int]], n_new:
             out[old, block] = k
             due[k] -= size
             room[k] -= size
-    # Whole blocks leave small errors; mend them with the blocks that fit best.
+    # Whole blocks leave small errors; mend them with blocks that need not leave home where there are such.
     place = {(b[0], b[1]): b[2] for b in blocks}
     for _ in range(4 * len(blocks)):
         low, high = min(range(n_new), key=lambda k: (room[k], k)), max(range(n_new), key=lambda k: (room[k], -k))
         gap = room[high] - room[low]
-        fit = [(abs(place[b] - gap / 2), b[0] == low, b) for b, k in out.items() if k == low and 0 < place[b] < gap]
-        if not fit:
+        fit = [(b[0] == low, b[0] != high, abs(place[b] - gap / 2), b) for b, k in out.items() if k == low and 0 < place[b] < gap]
+        if not fit or gap * 500 < total // n_new:
             break
-        b = min(fit)[2]
+        b = min(fit)[3]
         out[b] = high
         room[low] += place[b]
         room[high] -= place[b]
+    # Blocks that may go home without more imbalance than there is go home.
+    least, most = min(room), max(room)
+    for b in sorted((b for b, k in out.items() if b[0] < n_new and k != b[0]), key=lambda b: (-place[b], b)):
+        k = out[b]
+        if room[b[0]] - place[b] >= least and room[k] + place[b] <= most:
+            room[b[0]] -= place[b]
+            room[k] += place[b]
+            out[b] = b[0]
     return out
 
 

@@ -2,17 +2,20 @@
 
 Folding lower-cases, maps look-alike letters and digits that stand for letters to
 plain ones, and turns other marks into spaces. Lexicon entries are word
-beginnings, weighed by their log odds in labelled rows; phrases listed as
-exceptions cancel the matches that they cover. The sum of weights is normalised
-by length and a logistic curve turns it into a score.
+beginnings that mark toxic rows beyond chance, weighed by their log odds in
+labelled rows. Exception phrases, a match with the word before or behind it as met
+in harmless rows alone, cancel the matches that they cover. The sum of weights is
+normalised by the number of words and a logistic curve turns it into a score.
 """
 
 from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,8 @@ ENTRIES = 2000
 SUPPORT, PRECISION = 0.02, 0.9
 SHORTEST, LONGEST = 3, 10
 SEED = 9
-#: Harmless phrases with a word of abuse.
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "clown car", "class clown", "sore loser rule")
+#: Chance that any entry of the lexicon is noise; harmless rows that make a phrase an exception.
+NOISE, HARMLESS = 0.01, 2
 #: Digits and signs that stand for letters, and look-alikes of Latin letters.
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"}
 TWINS = {
@@ -53,7 +56,7 @@ def folded(text: str) -> str:
 @dataclass
 class Lexicon:
     weights: dict[str, float]
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     slope: float = 1.0
     bias: float = -1.0
 
@@ -64,26 +67,31 @@ class Lexicon:
         for term, w in self.weights.items():
             made.add_word(" " + term, (len(term) + 1, w))
         for phrase in self.exceptions:
-            made.add_word(" " + folded(phrase).strip() + " ", (len(phrase) + 2, None))
+            f = " " + " ".join(folded(phrase).split()) + " "
+            made.add_word(f, (len(f), None))
         if len(made):
             made.make_automaton()
         return made
 
+    def hits(self, made, text: str) -> tuple[list[tuple[int, int, float]], str]:
+        """(start, end, weight) of the matches that no exception covers, and the folded text with single spaces."""
+        t = " " + " ".join(folded(text).split()) + " "
+        if not len(made):
+            return [], t
+        found = [(end - size + 1, end, w) for end, (size, w) in made.iter(t)]
+        spared = sorted((a, b) for a, b, w in found if w is None)
+        starts, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+
+        def covered(a, b):
+            k = bisect_right(starts, a)
+            return k > 0 and reach[k - 1] >= b
+
+        return [(a, b, w) for a, b, w in found if w is not None and not covered(a, b)], t
+
     def weigh(self, made, text: str) -> tuple[float, int]:
         """Sum of the weights matched, and the number of words."""
-        t = folded(text)
-        n = t.count(" ") - 1
-        if not len(made):
-            return 0.0, n
-        hits = [(end - size + 1, end, w) for end, (size, w) in made.iter(t)]
-        if not hits:
-            return 0.0, n
-        spared = [(a, b) for a, b, w in hits if w is None]
-        total = 0.0
-        for a, b, w in hits:
-            if w is not None and not any(x <= a and b <= y for x, y in spared):
-                total += w
-        return total, n
+        found, t = self.hits(made, text)
+        return sum(w for *_, w in found), max(0, t.count(" ") - 1) if t.strip() else 0
 
     def feature(self, total: float, n: int) -> float:
         return total / (1.0 + math.log1p(max(n, 0)))
@@ -100,41 +108,86 @@ def _sample(labelled: DataFrame, most: int) -> DataFrame:
     return rows.where(u < most / max(n, 1))
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """Learn the lexicon from (doc_id, text, label 0/1).
-
-    About ``sample`` rows are used, chosen by a hash of the id; rows with a null
-    label or text are left out. Word beginnings are counted on the executors;
-    only those that may be entries come to the driver. Without toxic rows, the
-    lexicon is empty and all scores are low.
-    """
-    rows = _sample(labelled, sample)
+def _counted(rows: DataFrame, seen_in) -> DataFrame:
+    """(term, good, bad): harmless and toxic rows that hold each term of ``seen_in(text)``; the term "" is in all."""
 
-    def beginnings(batches):
+    def run(batches):
         for batch in batches:
-            good, bad, n = Counter(), Counter(), [0, 0]
+            good, bad = Counter(), Counter()
             labels = batch.column(1).to_pylist()
             for first, texts in byte_batches(batch):
                 for i, t in enumerate(texts):
-                    words = set(folded(t.decode("utf-8", "replace")).split())
-                    seen = {w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)}
-                    toxic = labels[first + i] == 1
-                    (bad if toxic else good).update(seen)
-                    n[toxic] += 1
+                    (bad if labels[first + i] == 1 else good).update(seen_in(t.decode("utf-8", "replace")) | {""})
             keys = sorted(set(good) | set(bad))
-            yield pa.RecordBatch.from_arrays([pa.array(["", *keys], pa.string()), pa.array([n[0], *(good[k] for k in keys)], pa.int64()), pa.array([n[1], *(bad[k] for k in keys)], pa.int64())], ["term", "good", "bad"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([good[k] for k in keys], pa.int64()), pa.array([bad[k] for k in keys], pa.int64())], ["term", "good", "bad"])
 
-    counts = rows.select("text", "label").mapInArrow(beginnings, "term string, good long, bad long").groupBy("term").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    none, all_terms = F.col("term") == "", (F.col("bad") >= 3) & (F.col("bad") >= PRECISION * (F.col("good") + F.col("bad")))
-    # No more than the ENTRIES / SUPPORT best supported: a fixed bound on what is collected.
-    found = counts.where(none | all_terms).orderBy(F.desc(none), F.desc("bad"), "term").limit(int(ENTRIES / SUPPORT)).collect()
-    n_good, n_bad = next(((r["good"], r["bad"]) for r in found if r["term"] == ""), (0, 0))
+    return rows.select("text", "label").mapInArrow(run, "term string, good long, bad long").groupBy("term").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+
+
+def _beginnings(text: str) -> set[str]:
+    return {w[:k] for w in set(folded(text).split()) for k in range(SHORTEST, min(len(w), LONGEST) + 1)}
+
+
+def _beyond_chance(good: int, bad: int, base: float, tried: int) -> bool:
+    """Whether so many toxic rows among those that hold a term are no accident of ``tried`` terms (Chernoff's bound)."""
+    n, p = good + bad, bad / (good + bad)
+    if p <= base:
+        return False
+    gain = p * math.log(p / base) + ((1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0)
+    return n * gain > math.log(max(tried, 1) / NOISE)
+
+
+def _entries(found: dict[str, tuple[int, int]], n_good: int, n_bad: int) -> dict[str, float]:
+    """The lexicon from (harmless rows, toxic rows) of the word beginnings that may be entries."""
+    base = n_bad / max(1, n_good + n_bad)
+    some = {t: c for t, c in found.items() if c[1] >= SUPPORT * n_bad and _beyond_chance(*c, base, len(found))}
+    longer: dict[str, list[str]] = {}
+    for t in some:
+        longer.setdefault(t[:-1], []).append(t)
+    full = set()
+    for t in some:  # a beginning that nearly always goes on in one way goes on
+        while more := [x for x in longer.get(t, ()) if some[x][1] >= 0.9 * some[t][1]]:
+            t = max(more, key=lambda x: (some[x][1], x))
+        full.add(t)
     kept: dict[str, float] = {}
-    for r in sorted((r for r in found if r["term"] and r["bad"] >= SUPPORT * n_bad), key=lambda r: (len(r["term"]), r["term"])):
-        term = r["term"]
-        if not any(term[:k] in kept for k in range(SHORTEST, len(term))) and len(kept) < ENTRIES:
-            kept[term] = math.log((r["bad"] + 0.5) / (n_bad + 1)) - math.log((r["good"] + 0.5) / (n_good + 1))
-    lexicon = Lexicon(kept, exceptions)
+    for t in sorted(full, key=lambda t: (len(t), t)):
+        if not any(t[:k] in kept for k in range(SHORTEST, len(t))) and len(kept) < ENTRIES:
+            good, bad = some[t]
+            kept[t] = math.log((bad + 0.5) / (n_bad + 1)) - math.log((good + 0.5) / (n_good + 1))
+    return kept
+
+
+def fit(labelled: DataFrame, sample: int = SAMPLE, exceptions: tuple[str, ...] = ()) -> Lexicon:
+    """Learn the lexicon and its exceptions from (doc_id, text, label 0/1); ``exceptions`` are given ones besides.
+
+    About ``sample`` rows are used, chosen by a hash of the id; rows with a null
+    label or text are left out. Word beginnings and phrases are counted on the
+    executors; only those that may be entries come to the driver. Without toxic
+    rows, the lexicon is empty and all scores are low.
+    """
+    rows = _sample(labelled, sample)
+    counts = _counted(rows, _beginnings)
+    none, likely = F.col("term") == "", (F.col("bad") >= 3) & (F.col("bad") >= PRECISION * (F.col("good") + F.col("bad")))
+    # No more than the ENTRIES / SUPPORT best supported: a fixed bound on what is collected.
+    found = {r["term"]: (r["good"], r["bad"]) for r in counts.where(none | likely).orderBy(F.desc(none), F.desc("bad"), "term").limit(int(ENTRIES / SUPPORT)).collect()}
+    n_good, n_bad = found.pop("", (0, 0))
+    lexicon = Lexicon(_entries(found, n_good, n_bad), tuple(exceptions))
+    if lexicon.weights:
+
+        def phrases(text: str, kept: list = []) -> set[str]:  # noqa: B006: one automaton a worker
+            if not kept:
+                kept.append(lexicon.automaton())
+            hits, t = lexicon.hits(kept[0], text)
+            out = set()
+            for a, _, _ in hits:
+                here = t[a + 1 : t.index(" ", a + 1)]
+                end = a + 1 + len(here)
+                before, after = t[t.rfind(" ", 0, a) + 1 : a], t[end + 1 : max(end + 1, t.find(" ", end + 1))]
+                out |= {x for x in (f"{before} {here}" if before else "", f"{here} {after}" if after else "") if x}
+            return out
+
+        spared = _counted(rows, phrases).where((F.col("term") != "") & (F.col("bad") == 0) & (F.col("good") >= HARMLESS)).orderBy(F.desc("good"), "term").limit(ENTRIES)
+        lexicon.exceptions += tuple(r["term"] for r in spared.collect())
 
     def weighed(batches):
         made = lexicon.automaton()
@@ -167,8 +220,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, weight and n_words of each row.
 
-    Null and empty texts have weight 0 and the score of no match. Null ids and
-    repeated rows are kept; an empty table gives an empty result.
+    Null and empty texts have weight 0 and the score of no match. Very long texts
+    are read whole, in time in proportion to their length. Null ids and repeated
+    rows are kept; other columns are not read. An empty table gives an empty result.
     """
 
     def run(batches):

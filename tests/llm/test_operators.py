@@ -2,9 +2,10 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -268,6 +269,16 @@ def test_resharding(spark, docs, rows, none, tmp_path):
     moves = reshard.plan_moves({0: 100, 1: 20}, [(0, f"b{k}", 10) for k in range(10)] + [(1, f"c{k}", 10) for k in range(2)], 3)
     load = Counter(moves.values())
     assert load == {0: 4, 1: 4, 2: 4} and all(v == 1 for (o, _), v in moves.items() if o == 1) and sum(v == 0 for (o, _), v in moves.items() if o == 0) == 4
+    rng = random.Random(8)
+    for _ in range(12):  # against all plans that are as even
+        blocks = [(rng.randrange(2), f"b{k}", rng.randint(1, 9)) for k in range(7)]
+        sizes = {o: sum(b[2] for b in blocks if b[0] == o) for o in {b[0] for b in blocks}}
+        moves = reshard.plan_moves(sizes, blocks, 3)
+        cost = lambda to: sum(b[2] for b, k in zip(blocks, to) if b[0] != k)
+        spread = lambda to: max(x := [sum(b[2] for b, k in zip(blocks, to) if k == j) for j in range(3)]) - min(x)
+        own = [moves[b[0], b[1]] for b in blocks]
+        best = min(cost(to) for to in product(range(3), repeat=7) if spread(to) <= spread(own))
+        assert cost(own) <= best + max(b[2] for b in blocks)
     small = spark.createDataFrame([(i, f"text {i}" * (1 + i % 9)) for i in range(400)], "doc_id long, text string")
     plan = reshard.reshard(small, n_old=3, n_new=4)
     path = str(tmp_path / "t")
@@ -350,10 +361,22 @@ def test_language(spark, none):
     kept = {r.doc_id for r in langid.accepted(df, model).collect()}
     assert {i for i, *_ in rows} <= kept and not kept & {1000, 1001, 1002}
     assert langid.fit(none).langs == [] and langid.identify(none, model).count() == 0
+    signs = spark.createDataFrame([(1, "½ ² Ⅷ 12"), (2, "\u0301 \u0300")], "doc_id long, text string")
+    assert {r.lang_pred for r in langid.identify(signs, model).collect()} == {"und"}
+    assert (langid.gram_counts("हिन्दी") == langid.gram_counts("हिन्दी!")).all() and langid._GAPS.sub(" ", "हिन्दी") == "हिन्दी"
     alien = spark.createDataFrame([(1, "你好世界" * 30)], "doc_id long, text string")
     assert langid.identify(alien, model).first().rejected
 
 
+def test_long_texts_are_counted_whole(monkeypatch):
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdé  ,.1") for _ in range(5000))
+    whole = langid.gram_counts(text)
+    for part in (1, 7, 500, 4999, 5000):
+        monkeypatch.setattr(langid, "_PART", part)
+        assert (langid.gram_counts(text) == whole).all()
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     plain = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(80)]
@@ -371,7 +394,25 @@ def test_toxicity(spark):
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "a zonker pie"), (4, "a Z0NKER!"), (5, "zonker pie and zonker")], "doc_id long, text string")
     s = {r.doc_id: (r.weight, r.score) for r in toxicity.score(odd, lexicon).collect()}
     assert s[1][0] == s[2][0] == s[3][0] == 0 and s[4][1] >= 0.5 and s[5][0] > 0
-    assert toxicity.fit(df.limit(0)).weights == {}
+    empty = toxicity.fit(df.limit(0))
+    assert empty.weights == {} and toxicity.score(df.limit(0), empty).count() == 0
+    assert set(lexicon.weights) == {"zonker"}  # no noise
+    # A phrase of harmless rows alone becomes an exception; the word outside it still counts.
+    more = rows + [(1000 + i, f"{plain[i % 80]} zonker pie {plain[i % 7]}", 0) for i in range(6)]
+    learned = toxicity.fit(spark.createDataFrame(more, "doc_id long, text string, label int"))
+    assert "zonker pie" in learned.exceptions
+    s = {r.doc_id: r.weight for r in toxicity.score(odd, learned).collect()}
+    assert s[3] == 0 and s[4] > 0 and s[5] > 0
+
+
+def test_long_texts_are_weighed_in_linear_time():
+    lexicon = toxicity.Lexicon({"zonker": 2.0}, ("zonker pie",))
+    made, took = lexicon.automaton(), []
+    for n in (4000, 16000):
+        t = time.process_time()
+        assert lexicon.weigh(made, "zonker pie -- zonker!\n" * n) == (2.0 * n, 3 * n)
+        took.append(time.process_time() - t)
+    assert took[1] < 10 * max(took[0], 0.02)
 
 
 def test_html():
