@@ -428,6 +428,34 @@ def test_html():
     assert r("a < b and <unclosed 'x") == "a < b and <unclosed 'x"
 
 
+def test_spans_and_visibility():
+    r = html_render.render
+    assert r("<table><tr><td rowspan=2>A<td>b<tr><td>c</table>") == "A  b\n   c"
+    assert r("<table><tr><td colspan=2>very wide header<td>Z<tr><td>1<td>2<td>z</table>") == "very wide header  Z\n1  2              z"
+    assert r("<table><tr><td>日本<td>b<tr><td>abcde<td>c</table>") == "日本   b\nabcde  c"
+    assert r("<table><tr><td rowspan=0 colspan=1000>x<td>y<tr><td>z</table>").split() == ["x", "y", "z"]
+    assert r("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>") == "yes"
+    assert r("<style>.x{display:none} @media print{p{display:none}} #k, b.y {visibility:hidden}</style><p class='a x'>no<p>yes <b class=y>no</b><i id=k>no</i>") == "yes"
+    assert r("<svg><title>t</title><path d='x'/><text>label</text></svg> and <math><mi>x</mi><mo>=</mo></math>") == "label and x="
+    assert r("<p>a <a href='x>b</a> c") == "a b c"
+
+
+def test_nested_tables_are_whole():
+    depth = 400
+    text = html_render.render("<table><tr><td>x" * depth + "</table>" * depth)
+    assert text.split() == ["x"] * depth
+
+
+@pytest.mark.parametrize("bad", ["<a ", '<a b="', "<a b='x' ", "<", "<!--", "</", "<div></p></x>", "<table><td>", "<p><b>", "&lt;<![CDATA["])
+def test_bad_pages_take_linear_time(bad):
+    took = []
+    for n in (3000, 12000):
+        t = time.process_time()
+        html_render.tree(bad * n)
+        took.append(time.process_time() - t)
+    assert took[1] < 12 * max(took[0], 0.02)
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "<p>x"), (2, None), (None, "<p>y"), (1, "<p>x")], "page_id long, html string")
     assert sorted((r.page_id or 0, r.text) for r in html_render.render_pages(df).collect()) == [(0, "y"), (1, "x"), (1, "x"), (2, "")]
