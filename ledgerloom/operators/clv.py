@@ -6,10 +6,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import gammaln, log_hyp2f1, nelder_mead
+from ..functions.ranks import ranked
 from ..functions.timeutil import last_complete_month, total
 
 
@@ -63,40 +64,64 @@ def bgnbd_loss(log_params, x, t_x, T, weight) -> float:
     return out if np.isfinite(out) else 1e300
 
 
-def fit_bgnbd(summary: DataFrame) -> BgNbd:
-    """Maximum likelihood. Customers are counted by (x, t_x, T): distinct triples reach the driver, not customers."""
-    got = summary.groupBy("frequency", "recency", "T").agg(F.count("*").alias("n")).orderBy("frequency", "recency", "T").toPandas()
-    if got.empty:
+def _least(counted: DataFrame, loss, start: np.ndarray, most: int):
+    """Where the sum of ``loss(p, *columns)`` over the rows is least, by Nelder-Mead.
+
+    Up to ``most`` rows are held on the driver; more stay on the executors, which
+    then sum the loss of their rows at every step.
+    """
+    columns = counted.columns
+    if counted.limit(most + 1).count() <= most:
+        got = counted.orderBy(*columns).toPandas()
+        return nelder_mead(lambda p: loss(p, *(got[c].to_numpy(float) for c in columns)), start)
+    rows = counted.persist()
+
+    def total(p):
+        def run(parts):
+            for pdf in parts:
+                yield pd.DataFrame({"s": [loss(p, *(pdf[c].to_numpy(float) for c in columns))]})
+
+        out = rows.mapInPandas(run, "s double").agg(F.sum("s")).first()[0]
+        return out if np.isfinite(out) and out < 1e300 else 1e300
+
+    try:
+        return nelder_mead(total, start)
+    finally:
+        rows.unpersist()
+
+
+#: Distinct rows of a likelihood that the driver holds at most.
+HELD = 500_000
+
+
+def fit_bgnbd(summary: DataFrame, held: int = HELD) -> BgNbd:
+    """Maximum likelihood. Customers are counted by (x, t_x, T)."""
+    counted = summary.groupBy("frequency", "recency", "T").agg(F.count("*").alias("n"))
+    if not counted.take(1):
         raise ValueError("no customers to fit")
-    x, t_x, T, n = (got[c].to_numpy(float) for c in ("frequency", "recency", "T", "n"))
-    best, loss, ok = nelder_mead(lambda p: bgnbd_loss(p, x, t_x, T, n), np.zeros(4))
+    best, loss, ok = _least(counted, bgnbd_loss, np.zeros(4), held)
     return BgNbd(*map(float, np.exp(best)), -loss, ok)
 
 
-def fit_gamma_gamma(summary: DataFrame) -> GammaGamma:
-    """Maximum likelihood over repeat customers with a positive value, on values scaled to mean 1.
-
-    (x, value) pairs are counted; the value is rounded to a cent, which bounds them.
-    """
+def fit_gamma_gamma(summary: DataFrame, held: int = HELD) -> GammaGamma:
+    """Maximum likelihood over repeat customers with a positive value, on values scaled to mean 1. (x, value) pairs are counted."""
     own = summary.where("frequency > 0 and monetary_value > 0")
-    got = own.groupBy("frequency", F.round("monetary_value", 2).alias("m")).agg(F.count("*").alias("n")).orderBy("frequency", "m").toPandas()
-    if got.empty:
+    counted = own.groupBy("frequency", F.col("monetary_value").alias("m")).agg(F.count("*").alias("n"))
+    customers, scale = counted.agg(F.sum("n"), F.sum((F.col("m") * F.col("n")).cast("decimal(38,10)")).cast("double") / F.sum("n")).first()
+    if not customers:
         raise ValueError("no repeat customers to fit")
-    x, m, n = (got[c].to_numpy(float) for c in ("frequency", "m", "n"))
-    m = np.maximum(m, 0.005)
-    scale = float((m * n).sum() / n.sum())
-    z = m / scale
 
-    def loss(log_params):
+    def loss(log_params, x, m, n):
+        z = m / scale
         p, q, v = np.exp(log_params)
         with np.errstate(all="ignore"):
             out = -float((n * (gammaln(p * x + q) - gammaln(p * x) - gammaln(q) + q * np.log(v) + (p * x - 1) * np.log(z) + p * x * np.log(x) - (p * x + q) * np.log(x * z + v))).sum())
         return out if np.isfinite(out) else 1e300
 
-    best, value, ok = nelder_mead(loss, np.zeros(3))
+    best, value, ok = _least(counted, loss, np.zeros(3), held)
     p, q, v = map(float, np.exp(best))
     corr = own.agg(F.corr("frequency", "monetary_value")).first()[0]
-    return GammaGamma(p, q, v * scale, -value - float(n.sum()) * np.log(scale), ok, 0.0 if corr is None else corr)
+    return GammaGamma(p, q, v * scale, -value - customers * np.log(scale), ok, 0.0 if corr is None else corr)
 
 
 def expected_purchases(p: BgNbd, t: float, x, t_x, T) -> np.ndarray:
@@ -187,16 +212,15 @@ def by_frequency(rows: DataFrame, *measures: str) -> DataFrame:
 def concentration(rows: DataFrame, value: str, share: float = 0.1) -> DataFrame:
     """Share of the value of the top tenth of customers."""
     v = F.col(value).cast("decimal(18,6)")
-    ranked = rows.select(v.alias("v"), F.row_number().over(Window.orderBy(F.desc(value), "CustomerID")).alias("rn"), F.count("*").over(Window.partitionBy()).alias("n"))
+    own = ranked(rows.select(v.alias("v"), (-F.col(value)).alias("by"), "CustomerID"), {"rn": "by"}, "CustomerID")
     k = F.greatest(F.lit(1), F.bround(F.col("n") * F.lit(share), 0).cast("long"))
-    return ranked.agg(F.max(k).alias("k"), (F.sum(F.when(F.col("rn") <= k, F.col("v"))).cast("double") / F.nullif(F.sum("v").cast("double"), F.lit(0.0))).alias("top_share"))
+    return own.agg(F.max(k).alias("k"), (F.sum(F.when(F.col("rn") <= k, F.col("v"))).cast("double") / F.nullif(F.sum("v").cast("double"), F.lit(0.0))).alias("top_share"))
 
 
 def lorenz(rows: DataFrame, value: str, points: int = 20) -> DataFrame:
     """Cumulative shares of customers and value, ascending, at every 1/points of customers, with (0, 0)."""
-    w = Window.orderBy(value, "CustomerID")
     v = F.col(value).cast("decimal(18,6)")
-    cum = rows.select(F.row_number().over(w).alias("rn"), F.count("*").over(Window.partitionBy()).alias("n"), F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("c"), F.sum(v).over(Window.partitionBy()).alias("all"))
+    cum = ranked(rows.select(v.alias("v"), F.col(value).alias("by"), "CustomerID"), {"rn": "by"}, "CustomerID", "v").select("rn", "n", F.col("rn_sum").alias("c"), F.col("all_sum").alias("all"))
     step = F.ceil(F.col("rn") * points / F.col("n")).cast("int")
     at = cum.groupBy(step.alias("point")).agg(F.max("rn").alias("rn"), F.max("n").alias("n"), F.max("c").alias("c"), F.max("all").alias("all"))
     out = at.select("point", (F.col("rn") / F.col("n")).alias("customer_share"), (F.col("c").cast("double") / F.col("all").cast("double")).alias("value_share"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import percentiles
 from ..functions.timeutil import ratio, total
 
 
@@ -33,7 +34,8 @@ def order_values(sales: DataFrame, bins: int = 59) -> DataFrame:
 
 def order_value_summary(sales: DataFrame) -> DataFrame:
     orders = sales.groupBy("Invoice").agg(total("Revenue").alias("v")).where("v > 0")
-    return orders.agg(F.count("*").alias("orders"), F.median("v").alias("median_value"), F.max("v").alias("max_value"))
+    middle = percentiles(orders, F.col("v"), [0.5]).select(F.get("q", F.lit(0)).alias("median_value"))
+    return orders.agg(F.count("*").alias("orders"), F.max("v").alias("max_value")).crossJoin(middle).select("orders", "median_value", "max_value")
 
 
 def return_rate(sales: DataFrame, returns: DataFrame) -> DataFrame:

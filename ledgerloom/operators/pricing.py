@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timeutil import close, total
@@ -116,7 +116,8 @@ def slopes(sales: DataFrame, config: PricingConfig = PricingConfig(), permute: b
     out = fit.join(within_week_slopes(sales, config), "StockCode", "left").select("StockCode", "weeks", "week_prices", "slope_within_week", "slope_between_week", "slope_market_adj")
     if not permute:
         return out
-    ranked = fit.select("StockCode", (F.row_number().over(Window.orderBy("StockCode")) - 1).alias("i"))  # one row a code
+    # A code's draws are seeded by its hash, which needs no rank over all codes.
+    named = fit.select("StockCode", F.xxhash64("StockCode").bitwiseAND(F.lit((1 << 62) - 1)).alias("i"))
     draws, seed = config.permutations, config.seed
 
     def test(pdf):
@@ -132,7 +133,7 @@ def slopes(sales: DataFrame, config: PricingConfig = PricingConfig(), permute: b
             p = (int((np.abs(null) >= observed).sum()) + 1) / (draws + 1)
         return pdf[["StockCode"]].head(1).assign(perm_p=p)
 
-    tested = panel.join(F.broadcast(ranked), "StockCode").groupBy("StockCode").applyInPandas(test, "StockCode string, perm_p double")
+    tested = panel.join(named, "StockCode").groupBy("StockCode").applyInPandas(test, "StockCode string, perm_p double")
     return out.join(tested, "StockCode", "left")
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ranks import percentiles
+
 # Dimensions with weights, thresholds, grades.
 WEIGHTS = {"Completeness": 0.30, "Validity": 0.25, "Consistency": 0.20, "Uniqueness": 0.15, "Plausibility": 0.10}
 HARD = ("Completeness", "Validity", "Uniqueness", "Consistency")
@@ -192,8 +194,9 @@ def duplicates(df: DataFrame, columns: list[str]) -> DataFrame:
 def outliers(df: DataFrame, names: list[str]) -> DataFrame:
     """One row: for each column, values beyond three interquartile ranges and values seen; none with fewer than 4 values or no spread."""
     num = {c: _number(_present(df, c).cast("string")) for c in names}
-    q = df.agg(*[e for i, c in enumerate(names) for e in (F.percentile(num[c], F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}"), F.count(num[c]).alias(f"n{i}"))])
-    both = df.crossJoin(F.broadcast(q))
+    both = df
+    for i, c in enumerate(names):  # one row each
+        both = both.crossJoin(F.broadcast(percentiles(df, num[c], [0.25, 0.75]).select(F.col("q").alias(f"q{i}"), F.col("n").alias(f"n{i}"))))
 
     def far(i, c):
         a, b = F.get(f"q{i}", F.lit(0)), F.get(f"q{i}", F.lit(1))

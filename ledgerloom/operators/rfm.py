@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import ranked
 from ..functions.timeutil import floor_days, total
 
 # Segment names in report order.
@@ -19,16 +20,16 @@ def rfm_table(sales: DataFrame, snapshot=None) -> DataFrame:
     return per.crossJoin(F.broadcast(at)).select("CustomerID", floor_days(F.col("snap"), F.col("last")).alias("RecencyDays"), "Frequency", "Monetary")
 
 
-def _fifth(*order: Column) -> Column:
+def _fifth(rank: str) -> Column:
     """Which fifth of the ranks 1..n a row is in: bins are closed on the right and the first takes its left end."""
-    rn, n = F.row_number().over(Window.orderBy(*order)), F.count("*").over(Window.partitionBy())
+    rn, n = F.col(rank), F.col("n")
     return F.when(n == 1, 1).otherwise(F.greatest(F.lit(1), F.floor((5 * (rn - 1) + n - 2) / F.nullif(n - 1, F.lit(0))))).cast("int")
 
 
 def scores(table: DataFrame) -> DataFrame:
     """R, F and M from 1 to 5. The ranks run over one row for each customer; equal values keep the order of customers."""
-    c = F.col("CustomerID")
-    return table.select("*", _fifth(F.desc("RecencyDays"), c).alias("R"), _fifth(F.col("Frequency"), c).alias("F"), _fifth(F.col("Monetary"), c).alias("M"))
+    out = ranked(table.withColumn("_old", -F.col("RecencyDays")), {"_r": "_old", "_f": "Frequency", "_m": "Monetary"}, "CustomerID")
+    return out.select(*table.columns, _fifth("_r").alias("R"), _fifth("_f").alias("F"), _fifth("_m").alias("M"))
 
 
 def segment(r: Column, f: Column) -> Column:

@@ -23,8 +23,6 @@ def frames(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
     """Raw lines, sales, returns and the step log; raw, sales and returns are cached for all queries of a session (memory, then disk)."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _HELD:
-        # Day counts and calendar columns are defined in UTC.
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
         raw = raw_lines(spark, sf_dir).persist()
         out = cleaning.clean(raw)
         _HELD[key] = SimpleNamespace(raw=raw, sales=out.sales.persist(), returns=out.returns.persist(), log=out.log)

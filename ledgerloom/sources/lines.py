@@ -77,6 +77,20 @@ def write_workbook(tables: dict[str, DataFrame], path: str) -> list[str]:
 
 
 def sample_lines(df: DataFrame, share: float, seed: int = 42, *strata: str) -> DataFrame:
-    """A repeatable sample: rows whose hash falls in the first ``share`` of each stratum's range."""
-    keys = [c for c in df.columns if c not in strata]
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), *[F.col(c).cast("string") for c in keys]), F.lit(1_000_000)) < int(share * 1_000_000))
+    """A repeatable sample of about ``share`` of each stratum; each stratum keeps one row at least.
+
+    Rows are chosen by their hash; of a stratum in which none falls below the
+    share, the rows of least hash stay. Equal rows stay or go together.
+    """
+    spread = F.xxhash64(F.lit(seed), *[F.col(c).cast("string") for c in df.columns])
+    rows = df.withColumn("_u", F.pmod(spread, F.lit(1 << 40)))
+    below = F.col("_u") < int(share * (1 << 40))
+    if not strata:
+        return rows.where(below).drop("_u")
+    keys = [F.col(c).alias(f"_s{i}") for i, c in enumerate(strata)]
+    least = rows.groupBy(*keys).agg(F.min("_u").alias("_least"))
+    same = [F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(strata)]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return rows.join(least, on).where(below | (F.col("_u") == F.col("_least"))).select(*df.columns)
