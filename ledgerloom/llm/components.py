@@ -12,26 +12,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node with a link; the component is its least node.
 
     Self links and repeated links do no harm. Each round is two aggregations and
-    two joins on the links, written to the shared folder; hubs are met by partial
-    aggregation and by joins that adaptive execution can split. The number of
-    rounds grows with the logarithm of the table.
+    two joins on the links, written to the shared folder twice; hubs are met by
+    partial aggregation and by joins that adaptive execution can split. The number
+    of rounds grows with the logarithm of the table.
     """
     e = F.least(a, b).alias("v"), F.greatest(a, b).alias("u")
     now = written(edges.where(F.col(a) != F.col(b)).select(*e).distinct(), "links")
     mark = None
-    while now.take(1):
+    while True:
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "large-star")
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "small")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
         following = written(small, "small-star")
-        for t in (least, large, low, now):
-            drop(t)
+        drop(large, now)
         now = following
         found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(found) == mark:
+        if not found[0] or tuple(found) == mark:
             break
         mark = tuple(found)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -36,7 +36,7 @@ NUM, DEN = 4, 5
 #: Bands below this size index one-deletion neighbourhoods.
 SMALL = 16
 #: Sets in a block of the comparisons, about; rows of the broadcast table of hot keys.
-BLOCK, HEAVY = 512, 1024
+BLOCK, HEAVY = 256, 1024
 _U = np.uint64
 
 
@@ -193,11 +193,14 @@ def _prefixes(shared: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _blocks(pairs: DataFrame) -> DataFrame:
-    """(node, block): nodes that pairs connect, directly or not, in blocks of about BLOCK."""
-    family = written(components(pairs), "families")
-    sizes = family.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
-    block = F.xxhash64("component", F.pmod(F.xxhash64("node", F.lit(4)), F.col("nb")))
-    return written(family.join(sizes, "component").select("node", block.alias("block")), "blocks")
+    """(node, block): nodes in blocks of about BLOCK, near ones together: those with the same least node within two steps."""
+    both = pairs.select(F.col("a").alias("node"), "b").unionAll(pairs.select(F.col("b").alias("node"), F.col("a").alias("b")))
+    one = written(both.groupBy("node").agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("m")), "nearest")
+    two = both.join(one.select(F.col("node").alias("b"), "m"), "b").groupBy("node").agg(F.min("m").alias("m"))
+    family = written(two.join(one.withColumnRenamed("m", "own"), "node").select("node", F.least("m", "own").alias("family")), "families")
+    sizes = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
+    block = F.xxhash64("family", F.pmod(F.xxhash64("node", F.lit(4)), F.col("nb")))
+    return written(family.join(sizes, "family").select("node", block.alias("block")), "blocks")
 
 
 def _sets_of(table: pa.Table) -> list[np.ndarray]:
