@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import deque
 
 import numpy as np
 
@@ -80,21 +81,26 @@ def moving_average(y, h, k: int = 4):
 
 
 def holt_winters(y, h, m: int = SEASON, alpha: float = 0.3, beta: float = 0.05, gamma: float = 0.1):
-    """Additive Holt-Winters; falls back to the last value where less than a season and four weeks are known."""
+    """Additive Holt-Winters in error-correction form; the last value where less than a season and four weeks are known.
+
+    The state is the level, the slope and a ring of seasonal offsets; each value's
+    one-step error corrects all three.
+    """
     y = np.asarray(y, float)
-    n = len(y)
-    if n < m + 4:
+    if y.size < m + 4:
         return naive(y, h)
-    first = y[:m]
-    level = float(first.mean())
-    slope = (float(y[m : 2 * m].mean()) - level) / m if n >= 2 * m else float(np.polyfit(np.arange(m, dtype=float), first, 1)[0])
-    season = (first - level).tolist()
-    for t, v in enumerate(y.tolist()):
-        s, before = season[t % m], level
-        level = alpha * (v - s) + (1 - alpha) * (before + slope)
-        slope = beta * (level - before) + (1 - beta) * slope
-        season[t % m] = gamma * (v - level) + (1 - gamma) * s
-    return np.array([level + (i + 1) * slope + season[(n + i) % m] for i in range(h)])
+    years = y[: 2 * m]
+    base = years[:m].mean()
+    drift = (years[m:].mean() - base) / m if years.size == 2 * m else np.polyfit(np.arange(m), years[:m], 1)[0]
+    state, ring = np.array([base, drift]), deque(years[:m] - base)
+    gain = np.array([alpha, alpha * beta])
+    for value in y:
+        offset = ring.popleft()
+        error = value - state.sum() - offset
+        state = np.array([state.sum(), state[1]]) + gain * error
+        ring.append(offset + gamma * (1 - alpha) * error)
+    ahead = np.arange(1, h + 1)
+    return state[0] + ahead * state[1] + np.array(ring)[(ahead - 1) % m]
 
 
 #: The grid of smoothing weights.
@@ -102,13 +108,19 @@ GRID = tuple((a, b, g) for a in (0.1, 0.3, 0.5) for b in (0.01, 0.1) for g in (0
 
 
 def holt_winters_tuned(y, h, m: int = SEASON):
-    """Smoothing weights chosen on the last weeks of the training series alone."""
+    """Smoothing weights of the grid that do best on the last weeks of the training series; the default ones where none can be judged."""
+    y = np.asarray(y, float)
     hold = min(h, 8)
-    if len(y) < m + 4 + hold:
+    known = y.size - hold
+
+    def loss(weights):
+        got = np.abs(y[known:] - holt_winters(y[:known], hold, m, *weights)).mean()
+        return got if np.isfinite(got) else np.inf
+
+    if known < m + 4:
         return holt_winters(y, h, m)
-    losses = [float(np.mean(np.abs(y[-hold:] - holt_winters(y[:-hold], hold, m, *w)))) for w in GRID]
-    best = min(range(len(GRID)), key=lambda i: losses[i]) if np.isfinite(losses).any() else None
-    return holt_winters(y, h, m, *(GRID[best] if best is not None else (0.3, 0.05, 0.1)))
+    best = min(GRID, key=loss)
+    return holt_winters(y, h, m, *best) if loss(best) < np.inf else holt_winters(y, h, m)
 
 
 def lag_linear(y, h, lags=(1, 2, 3, 4)):
@@ -138,9 +150,3 @@ def mase(actual, forecast, train, m: int = SEASON) -> float:
     m = m if len(train) > m else 1
     scale = float(np.mean(np.abs(train[m:] - train[:-m]))) if len(train) > m else float("nan")
     return mae(actual, forecast) / scale if scale and np.isfinite(scale) else float("nan")
-
-
-def folds(n: int, horizon: int = 8, count: int = 5, step: int = 8, least: int = 56) -> list[int]:
-    """Origins of the rolling folds; those with a shorter training series are left out."""
-    origins = [n - horizon - (count - 1 - k) * step for k in range(count)]
-    return [o for o in origins if o >= least]

@@ -26,13 +26,6 @@ def week_key() -> Column:
     return F.col("ISOYear") * 100 + F.col("ISOWeek")
 
 
-def ols_slope(df: DataFrame, by: str, x: str, y: str, name: str) -> DataFrame:
-    """Least-squares slope of y on x in each group, from sums; null without spread in x."""
-    g = df.groupBy(by).agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(F.col(x) * F.col(x)).alias("sxx"), F.sum(F.col(x) * F.col(y)).alias("sxy"))
-    spread = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
-    return g.select(by, F.when(spread > 1e-12, (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / spread).alias(name))
-
-
 def posted_price(df: DataFrame, *keys: str) -> DataFrame:
     """The price most lines have; ties go to the lower one."""
     n = df.groupBy(*keys, "Price").agg(F.count("*").alias("n"))

@@ -189,6 +189,20 @@ found AS (
 sc AS (SELECT *, CASE WHEN evaluated > 0 THEN round_even(100.0 * (1.0 - violations / evaluated), 1) ELSE 100.0 END AS score FROM found),
 st AS (SELECT *, CASE WHEN score < 97 THEN CASE WHEN dimension = 'Plausibility' THEN 'warn' ELSE 'fail' END WHEN score < 99.5 THEN 'warn' ELSE 'pass' END AS status FROM sc)"""
 
+
+def _card(rows: str) -> str:
+    """The findings of another table, its dimensions with weights, and the total; dates within the default window."""
+    found = _FIND.replace("qrows AS (SELECT * FROM raw)", f"qrows AS (SELECT Invoice, StockCode, Description, Quantity, InvoiceDate, Price, CustomerID, Country FROM {rows})")
+    found = found.replace("(SELECT count(*) FROM base)", "(SELECT count(*) FROM (SELECT DISTINCT * FROM qrows))").replace("1996-01-01", "2009-01-01").replace("2001-01-01", "2012-01-01")
+    return found + """,
+dims AS (SELECT dimension, CAST(sum(CAST(score AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS score, max(CASE status WHEN 'fail' THEN 3 WHEN 'warn' THEN 2 ELSE 1 END) AS level FROM st GROUP BY 1),
+weighed AS (SELECT *, CAST(CASE dimension WHEN 'Completeness' THEN 0.30 WHEN 'Validity' THEN 0.25 WHEN 'Consistency' THEN 0.20 WHEN 'Uniqueness' THEN 0.15 ELSE 0.10 END AS DOUBLE) AS w FROM dims),
+tot AS (SELECT round_even(sum(w * score) / sum(w), 1) AS total, max(level) FILTER (dimension <> 'Plausibility') AS worst FROM weighed)"""
+
+
+_GRADED = """SELECT dimension, score, CASE level WHEN 3 THEN 'fail' WHEN 2 THEN 'warn' ELSE 'pass' END AS status, total,
+greatest(CASE WHEN total >= 95 THEN 'A' WHEN total >= 90 THEN 'B' WHEN total >= 80 THEN 'C' WHEN total >= 70 THEN 'D' ELSE 'F' END, CASE worst WHEN 3 THEN 'C' WHEN 2 THEN 'B' ELSE 'A' END) AS grade FROM weighed, tot"""
+
 ORACLES = {
     "ing1_raw_quality_report": q(f"""
 SELECT CAST((SELECT count(*) FROM raw) AS BIGINT) AS rows, count(DISTINCT Invoice) AS invoices, count(DISTINCT StockCode) AS stock_codes, strftime(min(InvoiceDate), '%Y-%m-%d') AS date_min, strftime(max(InvoiceDate), '%Y-%m-%d') AS date_max,
@@ -286,4 +300,6 @@ FROM (SELECT step, gone, (SELECT count(*) FROM raw) - coalesce(sum(gone) OVER (O
     "qlt_findings": q('SELECT dimension, "check", violations, evaluated FROM found', _FIND),
     "qlt_scores": q('SELECT dimension, "check", CAST(score AS DOUBLE) AS score, status FROM st', _FIND),
     "qlt13_dimensions": q("SELECT dimension, count(*) AS checks, CAST(sum(CAST(score AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS score, CASE max(CASE status WHEN 'fail' THEN 3 WHEN 'warn' THEN 2 ELSE 1 END) WHEN 3 THEN 'fail' WHEN 2 THEN 'warn' ELSE 'pass' END AS status FROM st GROUP BY 1", _FIND),
+    "qlt13_raw_scorecard": q(_GRADED, _card("raw")),
+    "qlt13_sales_scorecard": q(_GRADED, _card("sales")),
 }
