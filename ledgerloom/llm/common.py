@@ -258,22 +258,33 @@ class Sieve:
 
     def __init__(self, ids: DataFrame, column: str):
         bits = ids.select(F.explode(F.array(*self._places(column))).alias("h"))
-        words = bits.groupBy(F.shiftright("h", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
-        # At most 2**19 rows of 12 bytes come to the driver.
-        table = words.toArrow()
-        found = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
-        found[table.column(0).to_numpy()] = table.column(1).to_numpy()
-        one = pa.table({"_sieve": pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.array(found))})
-        self.bits = written(ids.sparkSession.createDataFrame(one), "sieve")
+        words = bits.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
+        # One row, whatever the input: 2**19 words in order.
+        every = ids.sparkSession.range(1 << (SIEVE_BITS - 6)).join(words, F.col("id") == F.col("w"), "left")
+        parts = every.groupBy(F.shiftright("id", 9).alias("part")).agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("x"))
+        one = parts.agg(F.array_sort(F.collect_list(F.struct("part", F.transform("x", lambda x: x["bits"]).alias("bits")))).alias("x"))
+        self.bits = written(one.select(F.flatten(F.transform("x", lambda x: x["bits"])).alias("_sieve")), "sieve")
 
     @staticmethod
     def _places(column: str) -> list:
         return [F.pmod(F.xxhash64(F.lit(k), F.col(column)), F.lit(1 << SIEVE_BITS)) for k in (1, 2)]
 
-    def prune(self, docs: DataFrame, column: str) -> DataFrame:
-        """Rows of ``docs`` that may be among the ids."""
+    def prune(self, docs: DataFrame, column: str, others: bool = False) -> DataFrame:
+        """Rows of ``docs`` that may be among the ids, or with ``others`` those that are surely not."""
         test = F.lit(True)
         for h in self._places(column):
             word = F.get("_sieve", F.shiftright(h, 6).cast("int"))
             test &= F.call_function("shiftright", word, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
-        return docs.join(F.broadcast(self.bits), test, "left_semi")
+        return docs.join(F.broadcast(self.bits), test, "left_anti" if others else "left_semi")
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, mark, one: str, two: str) -> DataFrame:
+    """Rows of ``docs`` but those whose id and mark are in ``gone`` (columns ``one`` and ``two``).
+
+    Rows whose id is surely not among the gone stay where they are; the others are joined.
+    """
+    sieve = Sieve(gone, one)
+    ids = docs.select(F.col(id_col).cast(gone.schema[one].dataType).alias(one), "*")
+    sure = sieve.prune(ids, one, others=True).drop(one)
+    maybe = sieve.prune(ids, one).drop(one).join(gone, F.col(id_col).eqNullSafe(F.col(one)) & (mark == F.col(two)), "left_anti")
+    return sure.unionAll(maybe)

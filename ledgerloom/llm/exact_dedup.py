@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, read, written
+from .common import fresh, read, without, written
 
 #: Rows of the broadcast table; with a digest and three numbers each, 1024 rows are about 0.1 MB.
 MAX_HEAVY = 1024
@@ -62,9 +62,9 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text is judged for itself; rows that repeat both stay or go together.
     """
     out = exact_dedup(docs, id_col, text_col).where("not kept").select("doc_id", "text_sha256").distinct()
-    gone = written(out, "copies").toDF(one := fresh("id"), two := fresh("sha"))
-    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(one)) & (sha == F.col(two)), "left_anti")
+    one, two = fresh("id"), fresh("sha")
+    gone = written(out.toDF(one, two), "copies")
+    return without(docs, gone, id_col, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), one, two)
 
 
 def op2_exact_dedup(spark, sf_dir):

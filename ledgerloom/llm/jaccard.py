@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Sieve, byte_batches, drop, fresh, joined_words, mix, read, rolled, written
+from .common import Sieve, byte_batches, drop, fresh, joined_words, mix, read, rolled, without, written, written_alone
 from .components import components
 
 SHINGLE = 5
@@ -282,6 +282,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     columns are not read. An empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # The result is written, so that the tables on the way can go.
+    return written_alone(lambda: _groups(docs), "jaccard-groups")
+
+
+def _groups(docs: DataFrame) -> DataFrame:
     sets = written(_sets(docs.withColumn("mark", F.xxhash64("text"))), "sets")
     named = sets.where("node is not null and doc_id is not null")
     # The least id of equal sets stands for them.
@@ -341,9 +346,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows without shingles stay, and so do rows with a null id.
     """
+    one, two = fresh("id"), fresh("mark")
     out = jaccard_groups(docs, id_col, text_col).where("component_id <> doc_id").select("doc_id", "mark").distinct()
-    gone = written(out, "near-copies").toDF(one := fresh("id"), two := fresh("mark"))
-    return docs.join(gone, (F.col(id_col) == F.col(one)) & (F.xxhash64(text_col) == F.col(two)), "left_anti")
+    return without(docs, written(out.toDF(one, two), "near-copies"), id_col, F.xxhash64(text_col), one, two)
 
 
 def op5_ngram_jaccard_join(spark, sf_dir):

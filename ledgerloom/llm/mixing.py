@@ -85,9 +85,8 @@ def mix(docs: DataFrame, memberships: str = "sources", weights=WEIGHTS, repeats:
     are taken. Very long texts count whole. An empty table gives an empty result.
     """
     words, pattern = _size(text_col) if size is None else size, _pattern(F.col(memberships))
-    kept = [F.struct(*[F.col(c) for c in keep]).alias("row")] if keep else []
-    picked = docs.select(F.col(id_col).alias("doc_id"), words.alias("size"), pattern.alias("pattern"), _spread(F.col(id_col), F.col(text_col), seed).alias("_hash"), *kept)
-    rows = written(picked, "mix-rows")
+    columns = [F.col(id_col).alias("doc_id"), words.alias("size"), pattern.alias("pattern"), _spread(F.col(id_col), F.col(text_col), seed).alias("_hash")]
+    rows = written(docs.select(*columns), "mix-rows")
     totals = {r[0]: r[1] for r in rows.groupBy("pattern").agg(F.sum("size")).collect()}
     members = {p: tuple(None if s == "\x00" else s[1:] for s in p.split("\x01")) if p else () for p in totals}
     sizes: dict = {}
@@ -101,7 +100,9 @@ def mix(docs: DataFrame, memberships: str = "sources", weights=WEIGHTS, repeats:
         got = flows.get(members[p], 0)
         base[p] = min(repeats, got // n) if n else 0
         want[p] = got - base[p] * n if n and base[p] < repeats else 0
-    return _chosen(rows, base, want), sizes, targets
+    # Rows that keep other columns are read again rather than written with them.
+    all_of = docs.select(*columns, F.struct(*[F.col(c) for c in keep]).alias("row")) if keep else rows
+    return _chosen(rows, all_of, base, want), sizes, targets
 
 
 def _size(text_col: str) -> Column:
@@ -129,50 +130,52 @@ def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 #: Rounds in which documents small enough fill what the last round left of a pattern.
-ROUNDS = 5
+ROUNDS = 4
 
 
-def _chosen(rows: DataFrame, base: dict[str, int], want: dict[str, int]) -> DataFrame:
-    """Rows with their copies: ``base`` times all, and once more so many that their sizes come near ``want``.
+#: Rows of a plan that is broadcast at most; a larger one is joined by a shuffle.
+SMALL_PLAN = 20_000
+
+
+def _joined(rows: DataFrame, plan: DataFrame, n: int) -> DataFrame:
+    """``rows`` with the plan of their pattern; ``n`` is the number of patterns."""
+    return rows.join(F.broadcast(plan) if n <= SMALL_PLAN else plan, "pattern")
+
+
+def _chosen(rows: DataFrame, all_of: DataFrame, base: dict[str, int], want: dict[str, int]) -> DataFrame:
+    """The rows of ``all_of`` with their copies: ``base`` times all, and once more so many that sizes come near ``want``.
 
     Extra documents are taken in the order of their hash until the first that is
     too large; further rounds go on behind that place with documents of at most
     half, and at last of all, of what is still wanted.
     """
-    spark = rows.sparkSession
     left = {p: w for p, w in want.items() if w > 0}
     most = dict(left)  # the largest size admitted
     behind = {p: -1 for p in left}
-    plans = []
+    steps: dict[str, list] = {p: [] for p in base}
     for k in range(ROUNDS):
         if not left:
             break
         cuts = _cuts(rows, [(p, behind[p], most[p], w) for p, w in left.items()])
-        plans.append([(p, behind[p], most[p], cut, ties) for p, (cut, ties, _) in cuts.items()])
         following = {}
-        for p, (cut, _, filled) in cuts.items():
+        for p, (cut, ties, filled) in cuts.items():
+            steps[p].append((behind[p], most[p], cut, ties))
             if left[p] - filled > 1 and cut < (1 << 60):
                 following[p] = left[p] - filled
-                behind[p], most[p] = max(cut, behind[p]), max(1, (left[p] - filled) // (2 if k < ROUNDS - 3 else 1))
+                behind[p], most[p] = max(cut, behind[p]), max(1, (left[p] - filled) // (2 if k < ROUNDS - 2 else 1))
         left = following
-    # One row for each pattern; Spark broadcasts a plan only where it is small.
-    plan = spark.createDataFrame([(p, n) for p, n in sorted(base.items())] or [("", 0)], "pattern string, _base int")
-    out = rows.join(plan, "pattern", "left").withColumn("copies", F.coalesce("_base", F.lit(0)))
-    for k, part in enumerate(plans):
-        table = spark.createDataFrame(part, f"pattern string, _behind{k} long, _most{k} long, _cut{k} long, _ties{k} long")
-        out = out.join(table, "pattern", "left")
-        inside = (F.col(f"_behind{k}") < F.col("_hash")) & (F.col("size") <= F.col(f"_most{k}"))
-        extra = inside & (F.col("_hash") < F.col(f"_cut{k}"))
-        if any(ties for *_, ties in part):  # of rows that share the hash at the cut, only some are taken
-            at_cut = inside & (F.col("_hash") == F.col(f"_cut{k}")) & (F.col(f"_ties{k}") > 0)
-            cut = out.where(at_cut)
-            rank = F.row_number().over(Window.partitionBy("pattern", "_hash").orderBy("size"))
-            cut = cut.withColumn("copies", F.col("copies") + (rank <= F.col(f"_ties{k}")).cast("int"))
-            out = out.where(~F.coalesce(at_cut, F.lit(False))).withColumn("copies", F.col("copies") + F.coalesce(extra, F.lit(False)).cast("int")).unionAll(cut)
-        else:
-            out = out.withColumn("copies", F.col("copies") + F.coalesce(extra, F.lit(False)).cast("int"))
+    plan = rows.sparkSession.createDataFrame([(p, n, steps[p]) for p, n in sorted(base.items())] or [("", 0, [])], "pattern string, _base int, _steps array<struct<behind:long,most:long,cut:long,ties:long>>")
+    out = _joined(all_of, plan, len(base))
+    inside = lambda s: (s["behind"] < F.col("_hash")) & (F.col("size") <= s["most"])
+    out = out.withColumn("copies", F.col("_base") + F.exists("_steps", lambda s: inside(s) & (F.col("_hash") < s["cut"])).cast("int"))
+    if any(ties for s in steps.values() for *_, ties in s):  # of rows that share the hash at a cut, only some are taken
+        at_cut = F.filter("_steps", lambda s: inside(s) & (F.col("_hash") == s["cut"]) & (s["ties"] > 0))
+        out = out.withColumn("_ties", F.coalesce(F.get(at_cut, F.lit(0))["ties"], F.lit(0)))
+        rank = F.row_number().over(Window.partitionBy("pattern", "_hash").orderBy("size"))
+        tied = out.where("_ties > 0").withColumn("copies", F.col("copies") + (rank <= F.col("_ties")).cast("int"))
+        out = out.where("_ties = 0").unionAll(tied)
     out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("copies")).otherwise(0))
-    return out.select("doc_id", "size", "pattern", "copies", *[c for c in rows.columns if c == "row"])
+    return out.select("doc_id", "size", "pattern", "copies", *[c for c in all_of.columns if c == "row"])
 
 
 def _cuts(rows: DataFrame, wanted: list[tuple[str, int, int, int]]) -> dict[str, tuple[int, int, int]]:
@@ -192,7 +195,7 @@ def _cuts(rows: DataFrame, wanted: list[tuple[str, int, int, int]]) -> dict[str,
             break
         shift = 60 - _BITS * (level + 1)
         here = spark.createDataFrame([(p, x, below, *rule[p]) for p, (x, below) in at.items()], "pattern string, _prefix long, _below long, _behind long, _most long, _want long")
-        inside = rows.join(here, "pattern").where(F.shiftright("_hash", shift + _BITS) == F.col("_prefix")).where("size > 0 and size <= _most and _hash > _behind")
+        inside = _joined(rows, here, len(at)).where(F.shiftright("_hash", shift + _BITS) == F.col("_prefix")).where("size > 0 and size <= _most and _hash > _behind")
         sums = inside.groupBy("pattern", "_below", "_want", F.shiftright("_hash", shift).alias("b")).agg(F.sum("size").alias("n"), F.count("*").alias("k"), F.max("size").alias("each"))
         upto = F.sum("n").over(Window.partitionBy("pattern").orderBy("b")) + F.col("_below")
         over = sums.withColumn("upto", upto).groupBy("pattern").agg(F.min(F.when(F.col("upto") > F.col("_want"), F.struct("b", "upto", "n", "k", "each"))).alias("x"), F.max("upto").alias("all"))
@@ -223,7 +226,7 @@ def source_mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     spark = docs.sparkSession
     rows, sizes, targets = mix(docs.select("doc_id", "text", F.array("source").alias("sources")), seed=seed)
     stats = spark.createDataFrame([(("\x00" if s is None else "+" + s), s, sizes[s], targets[s]) for s in sizes] or [("", None, 0, 0.0)], "pattern string, source string, source_size long, target double")
-    return rows.join(stats, "pattern").select("doc_id", "size", "source", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return _joined(rows, stats, len(sizes)).select("doc_id", "size", "source", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def op4_source_mixing(spark, sf_dir):
