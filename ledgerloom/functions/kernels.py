@@ -14,36 +14,84 @@ def gammaln(x) -> np.ndarray:
     return _lgamma(np.asarray(x, float))
 
 
-def nelder_mead(f, start, xatol=1e-9, fatol=1e-9, maxiter=20_000):
-    """Minimise f by the simplex of Nelder and Mead (1965): (point, value, converged)."""
-    x = np.asarray(start, float)
-    n = len(x)
-    simplex = np.vstack([x, *[x + (0.05 * x[i] if x[i] else 0.00025) * np.eye(n)[i] for i in range(n)]])
-    value = np.array([f(p) for p in simplex])
-    for _ in range(maxiter):
-        order = np.argsort(value, kind="stable")
-        simplex, value = simplex[order], value[order]
-        if np.abs(simplex[1:] - simplex[0]).max() <= xatol and np.abs(value[1:] - value[0]).max() <= fatol:
-            return simplex[0], float(value[0]), True
-        middle = simplex[:-1].mean(0)
-        away = middle - simplex[-1]
-        mirrored = middle + away
-        fm = f(mirrored)
-        if fm < value[0]:
-            far = middle + 2 * away
-            ff = f(far)
-            simplex[-1], value[-1] = (far, ff) if ff < fm else (mirrored, fm)
-        elif fm < value[-2]:
-            simplex[-1], value[-1] = mirrored, fm
+#: Coefficients B_2k / (2k) of the asymptotic series of the digamma function. Fixed values.
+_DIGAMMA = (1 / 12, -1 / 120, 1 / 252, -1 / 240, 1 / 132, -691 / 32760)
+
+
+def digamma(x) -> np.ndarray:
+    """Derivative of log-gamma for positive x: moved up to 10 and beyond by its recurrence, then by its asymptotic series."""
+    x = np.asarray(x, float)
+    small = np.where(x < 10, x, 10.0)
+    step = sum(np.where(x < 10, 1 / (small + k), 0.0) for k in range(10))
+    y = np.where(x < 10, x + 10, x)
+    return np.log(y) - 1 / (2 * y) - sum(c * y ** (-2 * k) for k, c in enumerate(_DIGAMMA, 1)) - step
+
+
+def trigamma(x) -> np.ndarray:
+    """Second derivative of log-gamma for positive x, in the same way."""
+    x = np.asarray(x, float)
+    small = np.where(x < 10, x, 10.0)
+    step = sum(np.where(x < 10, 1 / (small + k) ** 2, 0.0) for k in range(10))
+    y = np.where(x < 10, x + 10, x)
+    return 1 / y + 1 / (2 * y * y) + sum(2 * k * c * y ** (-2 * k - 1) for k, c in enumerate(_DIGAMMA, 1)) + step
+
+
+def log_rise(z, q) -> np.ndarray:
+    """log(gamma(z + q) / gamma(z)) for positive z and q, without the loss of digits that a difference of two large numbers has."""
+    z, q = np.broadcast_arrays(np.asarray(z, float), np.asarray(q, float))
+    far = np.where(z < 1e3, 1e3, z)
+    tail = lambda y: 1 / (12 * y) - 1 / (360 * y**3)
+    series = (far - 0.5) * np.log1p(q / far) + q * np.log(far + q) - q + tail(far + q) - tail(far)
+    return np.where(z < 1e3, gammaln(np.minimum(z, 1e3) + q) - gammaln(np.minimum(z, 1e3)), series)
+
+
+def log_beta(z, q) -> np.ndarray:
+    """Log of the beta function of positive z and q, of any size."""
+    z, q = np.broadcast_arrays(np.asarray(z, float), np.asarray(q, float))
+    less, more = np.minimum(z, q), np.maximum(z, q)
+    return gammaln(less) - log_rise(more, less)
+
+
+def newton(f, start, bound: float, tol: float = 1e-9, most: int = 100):
+    """Minimise ``f`` within ``bound`` of 0 in each coordinate: (point, value, converged, evaluations).
+
+    ``f`` returns value, gradient and Hessian. Steps are Newton's where the
+    Hessian is positive, along its eigenvectors by the size of their curvature
+    where it is not, and no longer than a radius that grows and shrinks with how
+    well the quadratic model predicts. A step ends at the first bound it meets; a
+    coordinate that the gradient holds at its bound is then left out. The search
+    ends where the gradient vanishes or the model promises less than the digits of
+    ``f`` can show. ``converged`` is True only for a point inside all bounds.
+    """
+    x = np.clip(np.asarray(start, float), -bound, bound)
+    value, g, h = f(x)
+    radius, done = 1.0, 1
+    while True:
+        free = np.flatnonzero(~(((x >= bound) & (g < 0)) | ((x <= -bound) & (g > 0))))
+        inside = bool((np.abs(x) < bound).all())
+        if not len(free) or np.abs(g[free]).max() <= tol:
+            return x, value, inside, done
+        w, v = np.linalg.eigh(h[np.ix_(free, free)])
+        w = np.maximum(np.abs(w), 1e-12 * max(1.0, np.abs(w).max()))
+        step = np.zeros_like(x)
+        step[free] = -v @ ((v.T @ g[free]) / w)
+        long = np.abs(step).max()
+        step *= min(1.0, radius / long)
+        room = np.where(step > 0, bound - x, np.where(step < 0, x + bound, np.inf)) / np.where(step == 0, 1.0, np.abs(step))
+        to = x + step * min(1.0, room.min())
+        to = np.where(room <= min(1.0, room.min()), np.sign(step) * bound, to)
+        step = to - x
+        said = -(g @ step + 0.5 * step @ h @ step)
+        if done >= most or 0 <= said < 1e-14 * (1 + abs(value)) or np.abs(step).max() < 1e-12:
+            return x, value, inside and done < most, done
+        at, g2, h2 = f(to)
+        done += 1
+        if np.isfinite(at) and at <= value + 1e-14 * (1 + abs(value)):
+            if value - at > 0.5 * said and np.abs(step).max() > 0.9 * min(radius, long):
+                radius = min(radius * 2, 8.0)
+            x, value, g, h = to, at, g2, h2
         else:
-            near = middle + (0.5 if fm < value[-1] else -0.5) * away
-            fn = f(near)
-            if fn < min(fm, value[-1]):
-                simplex[-1], value[-1] = near, fn
-            else:
-                simplex[1:] = simplex[0] + 0.5 * (simplex[1:] - simplex[0])
-                value[1:] = [f(p) for p in simplex[1:]]
-    return simplex[0], float(value[0]), False
+            radius = 0.25 * np.abs(step).max()
 
 
 def log_hyp2f1(a, b, c, z, terms: int = 20_000) -> np.ndarray:

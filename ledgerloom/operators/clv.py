@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import gammaln, log_hyp2f1, nelder_mead
+from ..functions.kernels import digamma, log_beta, log_hyp2f1, newton, trigamma
 from ..functions.ranks import ranked
 from ..functions.timeutil import last_complete_month, total
 
@@ -39,6 +39,7 @@ class BgNbd:
     b: float
     log_likelihood: float = float("nan")
     converged: bool = True
+    evaluations: int = 0
 
 
 @dataclass(frozen=True)
@@ -49,79 +50,147 @@ class GammaGamma:
     log_likelihood: float = float("nan")
     converged: bool = True
     corr: float = float("nan")
+    evaluations: int = 0
 
     def population_mean(self) -> float:
         return self.v * self.p / (self.q - 1) if self.q > 1 else float("nan")
 
 
-def bgnbd_loss(log_params, x, t_x, T, weight) -> float:
-    r, alpha, a, b = np.exp(log_params)
-    with np.errstate(all="ignore"):
-        head = gammaln(r + x) - gammaln(r) + r * np.log(alpha) + gammaln(a + b) + gammaln(b + x) - gammaln(b) - gammaln(a + b + x)
-        alive = -(r + x) * np.log(alpha + T)
-        gone = np.where(x > 0, np.log(a) - np.log(b + np.maximum(x, 1) - 1) - (r + x) * np.log(alpha + t_x), -np.inf)
-        out = -float((weight * (head + np.logaddexp(alive, gone))).sum())
-    return out if np.isfinite(out) else 1e300
+#: Logs of parameters stay within this: e**12 is 160,000. A likelihood that still grows there has no maximum inside.
+BOUND = 12.0
 
 
-def _least(counted: DataFrame, loss, start: np.ndarray, most: int):
-    """Where the sum of ``loss(p, *columns)`` over the rows is least, by Nelder-Mead.
+def _row(spark, **values: float) -> DataFrame:
+    """One row of numbers. As a table, not as literals, it leaves the compiled code of a step the same."""
+    return spark.sql(f"SELECT * FROM VALUES ({', '.join(f'{float(v)!r}D' for v in values.values())}) AS t({', '.join(values)})")
+
+
+def _logs(theta: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian by the logs of the parameters."""
+    return theta * g, np.outer(theta, theta) * h + np.diag(theta * g)
 
-    Up to ``most`` rows are held on the driver; more stay on the executors, which
-    then sum the loss of their rows at every step.
-    """
-    columns = counted.columns
-    if counted.limit(most + 1).count() <= most:
-        got = counted.orderBy(*columns).toPandas()
-        return nelder_mead(lambda p: loss(p, *(got[c].to_numpy(float) for c in columns)), start)
-    rows = counted.persist()
 
-    def total(p):
-        def run(parts):
-            for pdf in parts:
-                yield pd.DataFrame({"s": [loss(p, *(pdf[c].to_numpy(float) for c in columns))]})
+#: What a row (x, t_x, T, n customers) adds to the log-likelihood beside its gamma functions, and to its derivatives.
+#: u is the log odds that a customer who bought again is gone, s their probability.
+_BGNBD_SUMS = {
+    "v": "-r * ln1 - x * log(alpha + T) + if(x > 0, greatest(u, 0D) + log1p(exp(-abs(u))), 0D)",
+    "g_r": "-ln1 + s * d",
+    "g_alpha": "(r * T / alpha - x) / (alpha + T) + s * (r + x) * e",
+    "g_a": "s / a",
+    "g_b": "-s / m",
+    "h_r_r": "s * (1 - s) * d * d",
+    "h_r_alpha": "T / (alpha * (alpha + T)) + s * e + s * (1 - s) * d * (r + x) * e",
+    "h_r_a": "s * (1 - s) * d / a",
+    "h_r_b": "-s * (1 - s) * d / m",
+    "h_alpha_alpha": "(x - r * T * (2 * alpha + T) / (alpha * alpha)) / ((alpha + T) * (alpha + T)) + s * (r + x) * e2 + s * (1 - s) * (r + x) * (r + x) * e * e",
+    "h_alpha_a": "s * (1 - s) * (r + x) * e / a",
+    "h_alpha_b": "-s * (1 - s) * (r + x) * e / m",
+    "h_a_a": "(s * (1 - s) - s) / (a * a)",
+    "h_a_b": "-s * (1 - s) / (a * m)",
+    "h_b_b": "(s * (1 - s) + s) / (m * m)",
+}
+_NAMES = ("r", "alpha", "a", "b")
 
-        out = rows.mapInPandas(run, "s double").agg(F.sum("s")).first()[0]
-        return out if np.isfinite(out) and out < 1e300 else 1e300
 
+def bgnbd_step(counted: DataFrame, tails: np.ndarray, customers: int, log_params) -> tuple[float, np.ndarray, np.ndarray]:
+    """Negative log-likelihood a customer with its gradient and Hessian by the logs of (r, alpha, a, b), in one aggregation.
+
+    ``counted`` has x, t_x, T and n; ``tails[i]`` is the number of customers with
+    more than i repeat purchases. As x is whole, differences of log-gamma are sums
+    of logs over the tails, so no digits cancel however large a parameter is.
+    """
+    theta = np.exp(np.asarray(log_params, float))
+    r, alpha, a, b = theta
+    rows = counted.crossJoin(F.broadcast(_row(counted.sparkSession, r=r, alpha=alpha, a=a, b=b)))
+    rows = rows.selectExpr("*", "log1p(T / alpha) AS ln1", "log1p((T - t_x) / (alpha + t_x)) AS d", "(t_x - T) / ((alpha + T) * (alpha + t_x)) AS e", "greatest(b + x - 1, b) AS m")
+    rows = rows.selectExpr("*", "log(a) - log(m) + (r + x) * d AS u", "1 / ((alpha + t_x) * (alpha + t_x)) - 1 / ((alpha + T) * (alpha + T)) AS e2")
+    rows = rows.selectExpr("*", "if(x > 0, 1 / (1 + exp(-u)), 0D) AS s")
+    got = rows.agg(*[F.expr(f"sum(n * ({e}))").alias(k) for k, e in _BGNBD_SUMS.items()]).first().asDict()
+    i = np.arange(len(tails))
+    value = got["v"] + (tails * (np.log(r + i) - np.log1p(a / (b + i)))).sum()
+    g = np.array([got[f"g_{p}"] for p in _NAMES])
+    g += [(tails / (r + i)).sum(), 0.0, -(tails / (a + b + i)).sum(), (tails * a / ((b + i) * (a + b + i))).sum()]
+    h = np.array([[got[f"h_{p}_{q}" if f"h_{p}_{q}" in got else f"h_{q}_{p}"] for q in _NAMES] for p in _NAMES])
+    ab = (tails / (a + b + i) ** 2).sum()
+    h[0, 0] -= (tails / (r + i) ** 2).sum()
+    h[2:, 2:] += [[ab, ab], [ab, ab - (tails / (b + i) ** 2).sum()]]
+    g, h = _logs(theta, g, h)
+    return -value / customers, -g / customers, -h / customers
+
+
+def _tails(by_x: list) -> np.ndarray:
+    """From (x, customers), how many have more than 0, 1, 2, ... repeat purchases; as long as the largest x, a number of days."""
+    count = np.zeros(max((x for x, _ in by_x), default=0) + 1)
+    for x, n in by_x:
+        count[x] += n
+    return count[::-1].cumsum()[::-1][1:]
+
+
+def fit_bgnbd(summary: DataFrame, start=(0.0, 0.0, 0.0, 0.0)) -> BgNbd:
+    """Maximum likelihood by Newton steps on the logs of the parameters, each step one aggregation over the customers counted by (x, t_x, T).
+
+    ``converged`` is False where a parameter runs into its bound: the likelihood
+    then grows towards a simpler model (no one leaves, or all buy alike).
+    """
+    counted = summary.groupBy(F.col("frequency").cast("double").alias("x"), F.col("recency").cast("double").alias("t_x"), F.col("T").cast("double").alias("T")).agg(F.count("*").alias("n")).persist()
     try:
-        return nelder_mead(total, start)
+        by_x = [(int(x), n) for x, n in counted.groupBy("x").agg(F.sum("n")).collect()]
+        if not by_x:
+            raise ValueError("no customers to fit")
+        customers, tails = sum(n for _, n in by_x), _tails(by_x)
+        best, loss, ok, steps = newton(lambda p: bgnbd_step(counted, tails, customers, p), np.asarray(start, float), BOUND)
     finally:
-        rows.unpersist()
-
+        counted.unpersist()
+    return BgNbd(*map(float, np.exp(best)), -float(loss) * customers, ok, steps)
 
-#: Distinct rows of a likelihood that the driver holds at most.
-HELD = 500_000
 
+#: What a repeat customer's row (x, z = value over the mean, n customers) adds; w is the share of the own purchases' weight.
+_GAMMA_SUMS = {"A": "log1p(x * z / v)", "B": "x * log1p(v / (x * z))", "W": "w", "WX": "x * (1 - w)", "V": "w * (1 - w)", "VX": "x * w * (1 - w)"}
 
-def fit_bgnbd(summary: DataFrame, held: int = HELD) -> BgNbd:
-    """Maximum likelihood. Customers are counted by (x, t_x, T)."""
-    counted = summary.groupBy("frequency", "recency", "T").agg(F.count("*").alias("n"))
-    if not counted.take(1):
-        raise ValueError("no customers to fit")
-    best, loss, ok = _least(counted, bgnbd_loss, np.zeros(4), held)
-    return BgNbd(*map(float, np.exp(best)), -loss, ok)
 
+def gamma_gamma_step(counted: DataFrame, by_x: np.ndarray, log_z: float, log_params) -> tuple[float, np.ndarray, np.ndarray]:
+    """Negative log-likelihood a customer with its gradient and Hessian by the logs of (p, q, v), in one aggregation.
 
-def fit_gamma_gamma(summary: DataFrame, held: int = HELD) -> GammaGamma:
-    """Maximum likelihood over repeat customers with a positive value, on values scaled to mean 1. (x, value) pairs are counted."""
+    ``by_x`` has x and customers; ``log_z`` is the sum of the logs of the values.
+    Gamma functions depend on x alone and are summed over its few values.
+    """
+    p, q, v = np.exp(np.asarray(log_params, float))
+    rows = counted.crossJoin(F.broadcast(_row(counted.sparkSession, v=v))).selectExpr("*", "x * z / (v + x * z) AS w")
+    s = rows.agg(*[F.expr(f"sum(n * ({e}))").alias(k) for k, e in _GAMMA_SUMS.items()]).first().asDict()
+    x, n = by_x[:, 0], by_x[:, 1]
+    customers = n.sum()
+    d1, d2, own1, own2 = digamma(p * x + q), trigamma(p * x + q), digamma(p * x), trigamma(p * x)
+    value = -(n * log_beta(p * x, q)).sum() - q * s["A"] - p * s["B"] - log_z
+    g = np.array([p * ((n * x * (d1 - own1)).sum() - s["B"]), q * ((n * d1).sum() - customers * digamma(q) - s["A"]), q * s["W"] - p * s["WX"]])
+    pq = p * q * (n * x * d2).sum()
+    h = np.array(
+        [
+            [p * p * (n * x * x * (d2 - own2)).sum() + g[0], pq, -p * s["WX"]],
+            [pq, q * q * ((n * d2).sum() - customers * trigamma(q)) + g[1], q * s["W"]],
+            [-p * s["WX"], q * s["W"], -q * s["V"] - p * s["VX"]],
+        ]
+    )
+    return float(-value / customers), -g / customers, -h / customers
+
+
+def fit_gamma_gamma(summary: DataFrame, start=(0.0, 0.0, 0.0)) -> GammaGamma:
+    """Maximum likelihood over repeat customers with a positive value, on values scaled to mean 1, by Newton steps as ``fit_bgnbd``."""
     own = summary.where("frequency > 0 and monetary_value > 0")
-    counted = own.groupBy("frequency", F.col("monetary_value").alias("m")).agg(F.count("*").alias("n"))
-    customers, scale = counted.agg(F.sum("n"), F.sum((F.col("m") * F.col("n")).cast("decimal(38,10)")).cast("double") / F.sum("n")).first()
+    sums = own.agg(F.count("*"), F.sum(F.col("monetary_value").cast("decimal(38,10)")).cast("double"), (F.covar_pop("frequency", "monetary_value") / F.nullif(F.stddev_pop("frequency") * F.stddev_pop("monetary_value"), F.lit(0.0)))).first()
+    customers, whole, corr = sums
     if not customers:
         raise ValueError("no repeat customers to fit")
-
-    def loss(log_params, x, m, n):
-        z = m / scale
-        p, q, v = np.exp(log_params)
-        with np.errstate(all="ignore"):
-            out = -float((n * (gammaln(p * x + q) - gammaln(p * x) - gammaln(q) + q * np.log(v) + (p * x - 1) * np.log(z) + p * x * np.log(x) - (p * x + q) * np.log(x * z + v))).sum())
-        return out if np.isfinite(out) else 1e300
-
-    best, value, ok = _least(counted, loss, np.zeros(3), held)
+    scale = whole / customers
+    counted = own.groupBy(F.col("frequency").cast("double").alias("x"), (F.col("monetary_value") / scale).alias("z")).agg(F.count("*").alias("n")).persist()
+    try:
+        got = counted.groupBy("x").agg(F.sum("n"), F.sum(F.col("n") * F.log("z"))).collect()
+        by_x = np.array(sorted((x, n) for x, n, _ in got), float)
+        log_z = float(sum(lz for *_, lz in got))
+        best, loss, ok, steps = newton(lambda t: gamma_gamma_step(counted, by_x, log_z, t), np.asarray(start, float), BOUND)
+    finally:
+        counted.unpersist()
     p, q, v = map(float, np.exp(best))
-    corr = own.agg(F.corr("frequency", "monetary_value")).first()[0]
-    return GammaGamma(p, q, v * scale, -value - customers * np.log(scale), ok, 0.0 if corr is None else corr)
+    return GammaGamma(p, q, v * scale, -float(loss) * customers - customers * float(np.log(scale)), ok, 0.0 if corr is None else corr, steps)
 
 
 def expected_purchases(p: BgNbd, t: float, x, t_x, T) -> np.ndarray:
@@ -201,7 +270,42 @@ def validate(sales: DataFrame, calibration_end, holdout_end) -> tuple[BgNbd, Dat
     rows = holdout_actuals(sales, calibration_end, holdout_end)
     p = fit_bgnbd(rows)
     days = (pd.Timestamp(holdout_end) - pd.Timestamp(calibration_end)).days
-    return p, rows.withColumn("predicted", _predict(p, float(days))("frequency", "recency", "T"))
+    return p, predicted(rows, p, days)
+
+
+def predicted(rows: DataFrame, p: BgNbd, days: float) -> DataFrame:
+    """``rows`` with E[purchases in the next ``days``] of each customer as ``predicted``."""
+    return rows.withColumn("predicted", _predict(p, float(days))("frequency", "recency", "T"))
+
+
+def accuracy(rows: DataFrame) -> DataFrame:
+    """One row: customers, predicted and actual total, their ratio, the mean absolute error and the correlation across customers.
+
+    Ratios are null where nothing was bought, the correlation where either side is the same for all.
+    """
+    exact = lambda c: F.sum(c.cast("decimal(28,10)")).cast("double")
+    n, a, b = F.count("*"), exact(F.col("predicted")), F.sum("actual")
+    spread = F.stddev_pop("predicted") * F.stddev_pop("actual")
+    return rows.agg(
+        n.alias("customers"), a.alias("predicted_total"), b.alias("actual_total"), (a / F.nullif(b, F.lit(0))).alias("ratio"),
+        (exact(F.abs(F.col("predicted") - F.col("actual"))) / F.nullif(n, F.lit(0))).alias("mae"),
+        (F.covar_pop("predicted", F.col("actual").cast("double")) / F.nullif(spread, F.lit(0.0))).alias("correlation"),
+    )
+
+
+def headline(table: DataFrame, horizon: int = 180, checked: DataFrame | None = None) -> str:
+    """A sentence on the customers, how much of the predicted value the top tenth hold, and, with ``checked``, how the holdout came out."""
+    n, repeat, total_clv = table.agg(F.count("*"), F.count_if(F.col("frequency") > 0), F.sum("clv")).first()
+    out = f"{n:,} known customers, {repeat:,} of them repeat buyers"
+    if total_clv:
+        top = concentration(table.where("clv is not null"), "clv").first()
+        out += f"; the top tenth ({top['k']:,}) hold {100 * top['top_share']:.1f}% of {total_clv:,.0f} predicted for {horizon} days"
+    row = None if checked is None else accuracy(checked).first()
+    if row is not None and row["actual_total"]:
+        off = 100 * (row["ratio"] - 1)
+        same = "" if row["correlation"] is None else f", correlation {row['correlation']:.2f}"
+        out += f"; in the holdout {row['predicted_total']:,.0f} purchases were predicted and {row['actual_total']:,} made ({abs(off):.1f}% {'over' if off >= 0 else 'under'}){same}"
+    return out + "."
 
 
 def by_frequency(rows: DataFrame, *measures: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,10 +101,20 @@ def _clv_validation(f):
     return clv.by_frequency(rows, "predicted", "actual")
 
 
+def _days(cal, hold) -> int:
+    return (pd.Timestamp(hold) - pd.Timestamp(cal)).days
+
+
+def _clv_accuracy(f):
+    """How the holdout came out under given parameters."""
+    cal, hold = _holdout(f)
+    return clv.accuracy(clv.predicted(clv.holdout_actuals(f.sales, cal, hold), BGNBD, _days(cal, hold)))
+
+
 def _clv_fit(f):
     summary = clv.summarize(f.sales)
     p, g = clv.fit_bgnbd(summary), clv.fit_gamma_gamma(summary)
-    return f.sales.sparkSession.createDataFrame([(p.r, p.alpha, p.a, p.b, g.p, g.q, g.v, g.population_mean())], "r double, alpha double, a double, b double, p double, q double, v double, population_mean double")
+    return f.sales.sparkSession.createDataFrame([(p.r, p.alpha, p.a, p.b, p.log_likelihood, p.converged, g.p, g.q, g.v, g.population_mean(), g.log_likelihood, g.converged)], "r double, alpha double, a double, b double, purchases_ll double, purchases_converged boolean, p double, q double, v double, population_mean double, values_ll double, values_converged boolean")
 
 
 def _weeks(f):
@@ -162,11 +173,13 @@ _MADE = {
     "clv1_summary": lambda f: clv.summarize(f.sales),
     "clv2_log_likelihood": lambda f: _rounded(clv.log_likelihood(clv.summarize(f.sales), BGNBD), 4, "ll"),
     "clv3_fit": _clv_fit,
+    "clv4_expected_purchases": lambda f: clv.predicted(clv.summarize(f.sales), BGNBD, 180).select("CustomerID", F.round("predicted", 6).alias("predicted")),
     "clv6_prob_alive": lambda f: clv.summarize(f.sales).select("CustomerID", F.round(clv.prob_alive(BGNBD, F.col("frequency"), F.col("recency"), F.col("T")), 8).alias("prob_alive")),
     "clv8_expected_value": lambda f: clv.summarize(f.sales).select("CustomerID", F.round(clv.expected_value(GAMMA, F.col("frequency"), F.col("monetary_value")), 6).alias("expected_value")),
     "clv9_table": _clv_table,
     "clv10_holdout_actuals": lambda f: clv.holdout_actuals(f.sales, *_holdout(f)).drop("monetary_value"),
     "clv10_validation": _clv_validation,
+    "clv10_accuracy": lambda f: _rounded(_clv_accuracy(f), 6, "predicted_total", "ratio", "mae", "correlation"),
     "clv11_by_frequency": lambda f: clv.by_frequency(clv.holdout_actuals(f.sales, *_holdout(f)), "actual"),
     "clv12_window": lambda f: _day(clv.window(f.sales), "calibration_end", "holdout_end"),
     "clv13_concentration": lambda f: clv.concentration(rfm.rfm_table(f.sales), "Monetary"),

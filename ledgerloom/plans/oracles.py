@@ -106,6 +106,18 @@ cdays AS (SELECT CustomerID, d, {m("Revenue")} AS rev FROM sales, win WHERE Cust
 csumm AS (SELECT CustomerID, count(*) - 1 AS frequency, date_diff('day', min(d), max(d)) AS recency, date_diff('day', min(d), (SELECT calibration_end FROM win)) AS T FROM cdays GROUP BY 1),
 act AS (SELECT CustomerID, count(DISTINCT d) AS actual FROM sales, win WHERE CustomerID IS NOT NULL AND d > calibration_end AND d <= holdout_end GROUP BY 1),
 hold AS (SELECT c.*, coalesce(actual, 0) AS actual FROM csumm c LEFT JOIN act USING (CustomerID))"""
+
+
+def _expected(rows: str, t: str) -> str:
+    """CTEs up to ``expected`` (CustomerID, x, T, predicted): E[purchases in t days] with r 0.55, alpha 12, a 0.8, b 2.5; Gauss's series summed term by term."""
+    return f"""
+custs AS (SELECT CustomerID, frequency AS x, recency AS t_x, T, CAST({t} AS DOUBLE) AS ahead FROM {rows}),
+steps AS (SELECT x, T, sum(ln((0.55 + x + k) * (2.5 + x + k) / ((2.3 + x + k) * (k + 1)) * ahead / (12.0 + T + ahead))) OVER (PARTITION BY x, T ORDER BY k) AS s FROM (SELECT DISTINCT x, T, ahead FROM custs), range(0, 1500) q(k)),
+gauss AS (SELECT x, T, 1 + sum(exp(s)) AS h FROM steps GROUP BY x, T),
+expected AS (SELECT CustomerID, (2.3 + x) / (0.8 - 1) * (1 - pow((12.0 + T) / (12.0 + T + ahead), 0.55 + x) * h)
+  / (1 + CASE WHEN x > 0 THEN 0.8 / (2.5 + x - 1) * pow((12.0 + T) / (12.0 + t_x), 0.55 + x) ELSE 0 END) AS predicted FROM custs JOIN gauss USING (x, T))"""
+
+
 _WEEKS = f"""
 wk AS (SELECT CAST(date_trunc('week', InvoiceDate) AS DATE) + 6 AS week, {m("Revenue")} AS v FROM sales GROUP BY 1),
 wspan AS (SELECT CAST(unnest(generate_series(CAST(min(week) AS TIMESTAMP) + INTERVAL 7 DAY, CAST(max(week) AS TIMESTAMP) - INTERVAL 7 DAY, INTERVAL 7 DAY)) AS DATE) AS week FROM wk),
@@ -266,9 +278,11 @@ FROM (SELECT step, gone, (SELECT count(*) FROM raw) - coalesce(sum(gone) OVER (O
     "clv2_log_likelihood": q("""SELECT count(*) AS customers, round(sum(lgamma(r + x) - lgamma(r) + r * ln(alpha) + lgamma(a + b) + lgamma(b + x) - lgamma(b) - lgamma(a + b + x)
  + CASE WHEN x > 0 THEN ln(exp(-(r + x) * ln(alpha + T) + (r + x) * ln(alpha + t_x)) + a / (b + x - 1)) - (r + x) * ln(alpha + t_x) ELSE -(r + x) * ln(alpha + T) END), 4) AS ll
  FROM (SELECT frequency AS x, recency AS t_x, T, 0.55 AS r, 12.0 AS alpha, 0.8 AS a, 2.5 AS b FROM summ)""", _CLV),
+    "clv4_expected_purchases": q("SELECT CustomerID, round(predicted, 6) AS predicted FROM expected", _CLV, _expected("summ", "180").strip()),
     "clv6_prob_alive": q("SELECT CustomerID, round(CASE WHEN x > 0 THEN 1 / (1 + 0.8 / (2.5 + x - 1) * pow((12.0 + T) / (12.0 + t_x), 0.55 + x)) ELSE 1.0 END, 8) AS prob_alive FROM (SELECT CustomerID, frequency AS x, recency AS t_x, T FROM summ)", _CLV),
     "clv8_expected_value": q("SELECT CustomerID, round(CASE WHEN x > 0 THEN (1 - 2.2 * x / (2.2 * x + 2.5)) * (440.0 * 2.2 / 2.5) + 2.2 * x / (2.2 * x + 2.5) * mv ELSE 440.0 * 2.2 / 2.5 END, 6) AS expected_value FROM (SELECT CustomerID, frequency AS x, monetary_value AS mv FROM summ)", _CLV),
     "clv10_holdout_actuals": q("SELECT CustomerID, frequency, recency, T, actual FROM hold", _WIN, _HOLD),
+    "clv10_accuracy": q("SELECT count(*) AS customers, round(sum(predicted), 6) AS predicted_total, CAST(sum(actual) AS BIGINT) AS actual_total, round(sum(predicted) / sum(actual), 6) AS ratio, round(sum(abs(predicted - actual)) / count(*), 6) AS mae, round(corr(predicted, actual), 6) AS correlation FROM expected JOIN hold USING (CustomerID)", _WIN, _HOLD, _expected("hold", "date_diff('day', (SELECT calibration_end FROM win), (SELECT holdout_end FROM win))").strip()),
     "clv11_by_frequency": q("SELECT CASE WHEN frequency >= 5 THEN '5+' ELSE CAST(frequency AS VARCHAR) END AS cal_frequency, count(*) AS customers, sum(actual) / count(*) AS actual_mean FROM hold GROUP BY 1", _WIN, _HOLD),
     "clv12_window": q("SELECT strftime(calibration_end, '%Y-%m-%d') AS calibration_end, strftime(holdout_end, '%Y-%m-%d') AS holdout_end FROM win", _WIN),
     "clv13_concentration": q("""SELECT CAST(max(k) AS BIGINT) AS k, CAST(sum(v) FILTER (rn <= k) AS DOUBLE) / CAST(sum(v) AS DOUBLE) AS top_share FROM (SELECT CAST(Monetary AS DECIMAL(18,6)) AS v, row_number() OVER (ORDER BY Monetary DESC, CustomerID) AS rn, greatest(1, CAST(round_even(0.1 * count(*) OVER (), 0) AS BIGINT)) AS k FROM rfm0)""", _RFM),

@@ -50,6 +50,14 @@ def clv_export(f: SimpleNamespace) -> DataFrame:
     return clv.clv_table(summary, clv.fit_bgnbd(summary), clv.fit_gamma_gamma(summary))
 
 
+def clv_headline(f: SimpleNamespace) -> str:
+    """The headline of the fitted models, with the holdout where there is one; what can't be fitted is said."""
+    if not clv.summarize(f.sales).where("monetary_value > 0").take(1):
+        return "no repeat customers to fit."
+    window = clv.window(f.sales).first()
+    return clv.headline(clv_export(f), checked=clv.validate(f.sales, *window)[1] if window else None)
+
+
 def csv_reports(f: SimpleNamespace, config: pricing.PricingConfig = pricing.PricingConfig()) -> dict[str, tuple[DataFrame, list[str]]]:
     """Each report with the columns that order its rows."""
     grid = lifecycle.grid(f.sales)
@@ -100,10 +108,7 @@ def headlines(f: SimpleNamespace, config: pricing.PricingConfig = pricing.Pricin
     lost = forecast.seasonal_losses(forecast.cross_validate(forecast.weekly_revenue(f.sales))).first()
     if lost["folds"]:
         out.append(f"Holt-Winters does worse than last year's weeks in {lost['losses']} of {lost['folds']} folds.")
-    table = rfm.rfm_table(f.sales)
-    top = clv.concentration(table, "Monetary").first()
-    if top["top_share"] is not None:
-        out.append(f"The top tenth of customers ({top['k']:,}) bring {100 * top['top_share']:.1f}% of revenue.")
+    out.append("Predicted value: " + clv_headline(f))
     p = pricing.overview(f.sales, pricing.profile(f.sales, config), pricing.slopes(f.sales, config, permute=False)).first()
     if p["n_qualifying"]:
         out.append(f"{p['n_multi_price_skus']:,} of {p['n_skus']:,} codes sold at several prices; {p['n_qualifying']:,} qualify, with a median spread of {p['median_spread']:.2f}x.")

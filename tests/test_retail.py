@@ -126,19 +126,6 @@ def test_clv(spark):
     assert 0 < float(clv.expected_purchases(p, 180, 300.0, 350.0, 360.0)) < 1e4
 
 
-def test_likelihood_matches_its_sql_form(spark):
-    rows = spark.createDataFrame([(1, 2, 31, 59), (2, 0, 0, 50), (3, 7, 100, 110)], "CustomerID long, frequency long, recency long, T long")
-    p = clv.BgNbd(0.55, 12, 0.8, 2.5)
-    x = np.array([[2, 31, 59], [0, 0, 50], [7, 100, 110]], float).T
-    want = -clv.bgnbd_loss(np.log([p.r, p.alpha, p.a, p.b]), *x, np.ones(3))
-    assert math.isclose(clv.log_likelihood(rows, p).first().ll, want, rel_tol=1e-9)
-
-
-def test_nelder_mead():
-    x, v, ok = K.nelder_mead(lambda p: (p[0] - 1) ** 2 + 10 * (p[1] + 2) ** 2, [0, 0])
-    assert ok and np.allclose(x, [1, -2], atol=1e-6) and v < 1e-12
-
-
 def test_baskets(spark):
     groups = [["tea", "saucer"]] * 3 + [["tea"], ["saucer"]] + [["box"]] * 5
     pairs = spark.createDataFrame([(str(k), i) for k, g in enumerate(groups) for i in g], "Invoice string, Item string")
