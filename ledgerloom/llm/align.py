@@ -19,7 +19,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import KEPT, drop, fresh, read, slices, written
 
 #: Bytes of stretches and what is known of them that a worker remembers, steps it remembers, and bytes of text aligned at once.
-REMEMBERED, STEPS, SLICE = 48 << 20, 200_000, 4 << 20
+REMEMBERED, STEPS, SLICE = 64 << 20, 200_000, 4 << 20
 #: Pairs of ids that are broadcast with their counts at most.
 FREQUENT = 1 << 17
 
@@ -73,6 +72,7 @@ class Byte:
         self.bytes = {i: t.encode() if i in special else byte_level(t) for t, i in self.tokenizer.get_vocab().items()}
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts that begin with a space."""
         out: list[list[int]] = []
         for a in range(0, len(texts), 1024):
             out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[a : a + 1024], add_special_tokens=False)]
@@ -104,55 +104,61 @@ class Transducer:
     def _clear(self) -> None:
         #: States by number: 0 has nothing dangling, odd ones have A ahead, even ones B.
         self.number: dict[tuple[int, bytes], int] = {}
-        self.state: list[tuple[int, bytes]] = [(1, b""), (0, b"")]
-        self.step: dict[tuple[int, int], int] = {}
+        self.state: list[tuple[int, bytes]] = [(1, b"")]
+        self.step: list[dict[int, int]] = [{}]
+        self.learned = 0
 
     def _named(self, ahead: int, rest: bytes) -> int:
         if not rest:
             return 0
         if (ahead, rest) not in self.number:
             n = len(self.state)
-            n += (n & 1) != (ahead == 0)  # odd where A is ahead
-            self.state += [(ahead, rest)] * (n + 1 - len(self.state))
+            n += (n & 1) != (ahead == 0)
+            while len(self.state) <= n:
+                self.state.append((ahead, rest))
+                self.step.append({})
             self.number[ahead, rest] = n
         return self.number[ahead, rest]
 
     def _learn(self, at: int, token: int) -> int:
         """The state after the side behind has given ``token``; -1 where the bytes differ."""
         ahead, rest = self.state[at]
-        more = self.bytes[1 - ahead].get(token, b"")
-        if not more or not (rest.startswith(more) or more.startswith(rest)):
-            return -1
-        return self._named(ahead, rest[len(more) :]) if len(more) <= len(rest) else self._named(1 - ahead, more[len(rest) :])
-
-    def run(self, a: list[int], b: list[int]) -> tuple[str, int, list[tuple[int, int]]] | None:
-        """The groups as text, their number, and the links; None where the two sides' bytes differ."""
-        if len(self.step) > self.most:
+        more, to = self.bytes[1 - ahead].get(token, b""), -1
+        if more and (rest.startswith(more) or more.startswith(rest)):
+            to = self._named(ahead, rest[len(more) :]) if len(more) <= len(rest) else self._named(1 - ahead, more[len(rest) :])
+        self.step[at][token] = to
+        self.learned += 1
+        return to
+
+    def run(self, a: list[int], b: list[int]) -> np.ndarray | None:
+        """The state after each token; None where the two sides' bytes differ."""
+        if self.learned > self.most:
             self._clear()
-        step, at, i, j, ga, gb = self.step, 0, 0, 0, 0, 0
-        groups, links = [], []
-        while i < len(a) or j < len(b) or at:
-            behind_b = at & 1
-            side, k = (b, j) if behind_b else (a, i)
-            if k == len(side):
-                return None
-            token = side[k]
-            if behind_b:
-                j += 1
-            else:
-                i += 1
-            to = step.get((at, token))
-            if to is None:
-                to = step[at, token] = self._learn(at, token)
-            if to < 0:
-                return None
-            if at:
-                links.append((a[i - 1], b[j - 1]))
-                if not to:
-                    groups.append(",".join(map(str, a[ga:i])) + "|" + ",".join(map(str, b[gb:j])))
-                    ga, gb = i, j
-            at = to
-        return ";".join(groups), len(groups), links
+        step, states, at = self.step, [], 0
+        of_a, of_b, took = iter(a).__next__, iter(b).__next__, states.append
+        try:
+            for _ in range(len(a) + len(b)):
+                token = of_b() if at & 1 else of_a()
+                to = step[at].get(token)
+                if to is None:
+                    to = self._learn(at, token)
+                if to < 0:
+                    return None
+                took(to)
+                at = to
+        except StopIteration:  # the side behind has no more
+            return None
+        return None if at else np.array(states, np.int64)
+
+
+def read_out(states: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """From the states after each token: how many tokens of A and of B lie before the end of each group, and of each link its token of A and of B (by place)."""
+    before = np.concatenate((np.zeros(1, np.int64), states[:-1])) if len(states) else states
+    from_b = before & 1
+    n_b = np.cumsum(from_b)
+    n_a = np.arange(1, len(states) + 1) - n_b
+    linked, closed = before != 0, (before != 0) & (states == 0)
+    return n_a[closed], n_b[closed], n_a[linked] - 1, n_b[linked] - 1
 
 
 _PAIR = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("m", pa.int32())])
@@ -165,47 +171,106 @@ class Aligner:
         self.a, self.b = Byte(a), Piece(b)
         self.cuts = self.a.cuts and self.b.cuts
         self.transducer = Transducer(self.a.bytes, self.b.bytes)
+        self.size = [self._table(x.bytes) for x in (self.a, self.b)]
+        # Each id as it is written in a group: of A before another of A or of B, of B before another of B or a group's end.
+        self.said: list[bytes] = [b"%d%c" % (i, c) for x, marks in ((self.a, b",|"), (self.b, b",;")) for c in marks for i in range(max(x.bytes) + 1)]
+        self.said_size = np.array([len(x) for x in self.said])
         self._forget()
 
+    @staticmethod
+    def _table(tokens: dict[int, bytes]) -> np.ndarray:
+        out = np.zeros(max(tokens) + 1, np.int64)
+        out[list(tokens)] = [len(t) for t in tokens.values()]
+        return out
+
     def _forget(self) -> None:
         self.known = pa.array([], pa.large_binary())
-        self.numbers = np.zeros((0, 4), np.int64)  # tokens of A and B, groups, whether the bytes differ
         self.groups = pa.array([], pa.large_binary())
-        self.pair_ends = np.zeros(1, np.int64)
-        self.pairs = np.zeros((0, 2), np.int64)  # a << 32 | b, and how often
+        self.pairs = pa.array([], pa.large_list(pa.int64()))  # a << 32 | b of each link
+        self.numbers = np.zeros((0, 4), np.int32)  # tokens of A and B, groups, whether the bytes differ
+        self.used, self.turn = np.zeros(0, np.int64), 0
+
+    def _encoded(self, side: int, stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all stretches, one after the other, and how many each has."""
+        encode = (self.a, self.b)[side].encode
+        parts: list = [None] * len(stretches)
+        # Stretches that start a word are encoded many in a string, and parted by the bytes that each id stands for.
+        led = [i for i, t in enumerate(stretches) if len(t) > 1 and t[0] == _SPACE and _VISIBLE[t[1]] and t[-1] != _SPACE and t[-3:] != b"\xe2\x96\x81"] if self.cuts else []
+        for s in range(0, len(led), 2048):
+            some = led[s : s + 2048]
+            ids = np.array(encode([b"".join([stretches[i] for i in some]).decode("utf-8", "replace")])[0], np.int64)
+            ends, marks = np.cumsum(self.size[side][ids]), np.cumsum([len(stretches[i]) for i in some])
+            at = np.searchsorted(ends, marks) + 1
+            if len(ids) and at[-1] == len(ids) and (ends[at - 1] == marks).all():
+                for i, x, y in zip(some, [0, *at[:-1].tolist()], at.tolist()):
+                    parts[i] = ids[x:y]
+        rest = [i for i, x in enumerate(parts) if x is None]
+        for i, found in zip(rest, encode([stretches[i].decode("utf-8", "replace") for i in rest])):
+            parts[i] = np.array(found, np.int64)
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64), np.array([len(x) for x in parts], np.int64)
+
+    def _differ(self, stretches: list[bytes], ids: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
+        """Of which stretches either side's bytes are not the text's."""
+        marks = np.cumsum([len(t) for t in stretches])
+        raw = b"".join(stretches)
+        bad = np.zeros(len(stretches), bool)
+        for table, size, own, n in zip((self.a.bytes, self.b.bytes), self.size, ids, counts):
+            whole = b"".join([table[i] for i in own.tolist()])
+            ends = np.cumsum(n)
+            if whole == raw and (np.concatenate(([0], np.cumsum(size[own])))[ends] == marks).all():
+                continue
+            for k, (x, y) in enumerate(zip(ends - n, ends)):
+                bad[k] |= b"".join([table[i] for i in own[x:y].tolist()]) != stretches[k]
+        return bad
 
     def _made(self, stretches: list[bytes]) -> None:
         """Align new stretches and remember them."""
-        texts = [s.decode("utf-8", "replace") for s in stretches]
-        numbers, groups, pairs, sizes = [], [], [], []
-        for raw, a, b in zip(stretches, self.a.encode(texts), self.b.encode(texts)):
-            found = self.transducer.run(a, b) if b"".join([self.a.bytes[x] for x in a]) == raw else None
-            if found is None:
-                numbers.append((0, 0, 0, 1))
-                groups.append(b"")
-                sizes.append(0)
-                continue
-            text, n, links = found
-            numbers.append((len(a), len(b), n, 0))
-            groups.append(text.encode() + b";")
-            own = Counter([x << 32 | y for x, y in links])
-            pairs += own.items()
-            sizes.append(len(own))
+        ids, counts = map(list, zip(*(self._encoded(side, stretches) for side in (0, 1))))
+        bad = self._differ(stretches, ids, counts)
+        if bad.any():
+            ids = [x[np.repeat(~bad, n)] for x, n in zip(ids, counts)]
+            counts = [np.where(bad, 0, n) for n in counts]
+        (a, b), (n_a, n_b) = ids, counts
+        states = self.transducer.run(a.tolist(), b.tolist())
+        if states is None:
+            raise AssertionError("two sides with the same bytes align")
+        group_a, group_b, link_a, link_b = read_out(states, a, b)
+        end_a, end_b = np.cumsum(n_a), np.cumsum(n_b)
+        # Groups and links never go across the end of a stretch.
+        groups_at = np.searchsorted(group_a, end_a, "right")
+        links_at = np.searchsorted(link_a, end_a)
+        of_a, of_b = np.searchsorted(group_a, np.arange(len(a)), "right"), np.searchsorted(group_b, np.arange(len(b)), "right")
+        ends = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        ends[0][group_a - 1], ends[1][group_b - 1] = True, True
+        top_a, top_b = len(self.size[0]), len(self.size[1])
+        code = np.empty(len(a) + len(b), np.int64)
+        code[np.arange(len(a)) + np.concatenate(([0], group_b))[of_a]] = a + top_a * ends[0]
+        code[np.arange(len(b)) + group_a[of_b]] = b + 2 * top_a + top_b * ends[1]
+        text = b"".join([self.said[c] for c in code.tolist()])
+        text_at = np.concatenate(([0], np.cumsum(self.said_size[code])))[np.concatenate(([0], end_a + end_b))]
+        said = pa.Array.from_buffers(pa.large_binary(), len(stretches), [None, pa.py_buffer(text_at.astype(np.int64)), pa.py_buffer(text)])
+        pairs = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], links_at))), pa.array(a[link_a] << 32 | b[link_b]))
+        numbers = np.stack([n_a, n_b, np.diff(groups_at, prepend=0), bad], 1).astype(np.int32)
         self.known = pa.concat_arrays([self.known, pa.array(stretches, pa.large_binary())])
-        self.numbers = np.concatenate((self.numbers, np.array(numbers, np.int64).reshape(-1, 4)))
-        self.groups = pa.concat_arrays([self.groups, pa.array(groups, pa.large_binary())])
-        self.pair_ends = np.concatenate((self.pair_ends, self.pair_ends[-1] + np.cumsum(sizes, dtype=np.int64)))
-        self.pairs = np.concatenate((self.pairs, np.array(pairs, np.int64).reshape(-1, 2)))
+        self.groups = pa.concat_arrays([self.groups, said])
+        self.pairs = pa.concat_arrays([self.pairs, pairs])
+        self.numbers = np.concatenate((self.numbers, numbers))
+        self.used = np.concatenate((self.used, np.zeros(len(stretches), np.int64)))
 
     def _at(self, stretches: pa.Array) -> np.ndarray:
-        """Where distinct stretches are among the known ones; new ones are aligned first."""
-        if self.known.nbytes + self.groups.nbytes + self.pairs.nbytes + self.numbers.nbytes > REMEMBERED:
-            self._forget()
+        """Where distinct stretches are among the known ones; new ones are aligned first. Of too many, the half not used for longest goes."""
+        if self.known.nbytes + self.groups.nbytes + self.pairs.nbytes + self.numbers.nbytes + self.used.nbytes > REMEMBERED:
+            half = np.sort(np.argsort(self.used, kind="stable")[len(self.used) // 2 + 1 :])
+            keep = pa.array(half)
+            self.known, self.groups, self.pairs = (x.take(keep) for x in (self.known, self.groups, self.pairs))
+            self.numbers, self.used = self.numbers[half], self.used[half]
         at = pc.fill_null(pc.index_in(stretches, value_set=self.known), -1).to_numpy().astype(np.int64)
         new = np.flatnonzero(at < 0)
         if len(new):
             at[new] = len(self.known) + np.arange(len(new))
             self._made(stretches.take(pa.array(new)).to_pylist())
+        self.turn += 1
+        self.used[at] = self.turn
         return at
 
     def of(self, texts: pa.Array) -> pa.RecordBatch:
@@ -238,13 +303,10 @@ class Aligner:
 
         # Each document's distinct stretches, then their pairs, then distinct pairs.
         good = ~bad[doc]
-        key, times = np.unique(doc[good] * len(place) + code[good], return_counts=True)
-        owner, unit = key // max(1, len(place)), place[key % max(1, len(place))]
-        size = self.pair_ends[unit + 1] - self.pair_ends[unit]
-        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        row = np.repeat(self.pair_ends[unit], size) + step
-        pair, m = self.pairs[row, 0], self.pairs[row, 1] * np.repeat(times, size)
-        owner = np.repeat(owner, size)
+        key, times = np.unique(doc[good] * max(1, len(place)) + code[good], return_counts=True)
+        lists = self.pairs.take(pa.array(place[key % max(1, len(place))]))
+        size = np.diff(lists.offsets.to_numpy())
+        pair, m, owner = lists.flatten().to_numpy(), np.repeat(times, size), np.repeat(key // max(1, len(place)), size)
         order = np.lexsort((pair, owner))
         pair, m, owner = pair[order], m[order], owner[order]
         new = np.ones(len(pair), bool)

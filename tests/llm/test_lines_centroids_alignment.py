@@ -264,9 +264,12 @@ def test_alignment_of_a_corpus(spark):
 def test_transducer_forgets_and_refuses():
     t = align.Transducer({1: b" ab", 2: b"c"}, {1: b" a", 2: b"bc", 3: b"x"}, most=1)
     for _ in range(3):
-        assert t.run([1, 2], [1, 2]) == ("1,2|1,2", 1, [(1, 1), (1, 2), (2, 2)])
+        states = t.run([1, 2, 1, 2], [1, 2, 1, 2])
+        a, b, x, y = align.read_out(states, np.array([1, 2, 1, 2]), np.array([1, 2, 1, 2]))
+        assert a.tolist() == [2, 4] and b.tolist() == [2, 4]
+        assert list(zip(x.tolist(), y.tolist())) == [(0, 0), (0, 1), (1, 1), (2, 2), (2, 3), (3, 3)]
     assert t.run([1, 2], [1, 3]) is None and t.run([1, 2], [1]) is None and t.run([1], [1, 2]) is None
-    assert t.run([], []) == ("", 0, [])
+    assert t.run([], []).tolist() == []
 
 
 def test_forgetful_aligner(monkeypatch):
