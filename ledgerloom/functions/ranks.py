@@ -1,10 +1,10 @@
-"""Global ranks, running sums and exact percentiles without a task that sees all rows.
+"""Global ranks, exact percentiles and crossings of running sums, each in one range-partitioned pass.
 
-Rows are dealt to ordered buckets at split points from an approximate percentile
-sketch; a value that is itself a split point has a bucket of its own, which is cut
-further by the tie breaker where that is a number. Counts and sums of the buckets,
-a number bounded by the parameters, give each bucket's offset; within a bucket a
-window does the rest. The result is exact whatever the sketch says.
+Rows are dealt by range of (value, key) and sorted inside each partition; a row's
+number there and the counts of the partitions before give its rank. The dealt rows
+are written once, as counts and ranks must see the same partitions. Equal values
+are told apart by the key, so no value, however frequent, makes a partition large.
+What is broadcast has a row for each partition.
 """
 
 from __future__ import annotations
@@ -12,65 +12,87 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS, CUTS = 128, 32
+from ..sources.scratch import hold
 
 
-def _splits(rows: DataFrame, columns: dict[str, int]) -> dict[str, list]:
-    """Split points of each column, by an approximate sketch: a bounded list each."""
-    asked = [F.percentile_approx(c, [i / n for i in range(1, n)], 20 * n).alias(c) for c, n in columns.items()]
-    got = rows.agg(*asked).first()
-    return {c: sorted(set(got[c] or [])) for c in columns}
+def _dealt(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` in global order: ``_part`` is the partition, ``_at`` grows with the order inside it."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    held = hold(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    return held.withColumn("_part", F.shiftright("_at", 33).cast("int"))  # how that function numbers partitions
 
 
-def _below(value: Column, splits: list, least: bool = False) -> Column:
-    """How many split points are below the value (or not above it)."""
-    if not splits:
-        return F.lit(0)
-    points = F.array(*[F.lit(s) for s in splits])
-    return F.size(F.filter(points, (lambda s: s <= value) if least else (lambda s: s < value)))
+def _before(dealt: DataFrame, by: list[str], amount: Column) -> DataFrame:
+    """For each partition (of each group of ``by``): its least ``_at``, the amount before it, its own and that of all."""
+    parts = dealt.groupBy(*by, "_part").agg(F.min("_at").alias("_least"), F.sum(amount).alias("_own"))
+    behind = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select("*", F.coalesce(F.sum("_own").over(behind), F.lit(0)).alias("_before"), F.sum("_own").over(Window.partitionBy(*by)).alias("_all"))
 
 
-def ranked(rows: DataFrame, by: dict[str, str], tie: str | None = None, sums: str | None = None) -> DataFrame:
-    """``rows`` with a rank from 1 for each entry (name of the rank: column, ascending) of ``by``, and the number of rows ``n``.
+def ranked(rows: DataFrame, by: dict[str, str], key: str) -> DataFrame:
+    """``rows`` with a rank from 1 for each entry (name of the rank: column, ascending, nulls first) of ``by``, and the number of rows ``n``.
 
-    Equal values go by ``tie``. With ``sums``, each rank has the running sum
-    ``<name>_sum`` of that column too, and ``all_sum`` is its total.
+    ``key`` is unique and settles ties. Several ranks are made in one pass: each
+    row gives a row for each, compared as doubles, and they meet again by key.
     """
-    number = tie is not None and rows.schema[tie].dataType.typeName() in ("long", "integer", "double", "short")
-    splits = _splits(rows, {**{c: BUCKETS for c in by.values()}, **({tie: CUTS} if number else {})})
-    out = rows
-    for name, c in by.items():
-        points = splits[c]
-        own = F.coalesce(F.array_contains(F.array(*[F.lit(s) for s in points]), F.col(c)), F.lit(False)) if points else F.lit(False)
-        cut = F.when(own, _below(F.col(tie), splits[tie], True)).otherwise(0) if number else F.lit(0)
-        out = out.withColumn("_bucket", (2 * _below(F.col(c), points) + own.cast("int")) * (CUTS + 1) + cut)
-        # At most 2 * BUCKETS * (CUTS + 1) rows.
-        size = out.groupBy("_bucket").agg(F.count("*").alias("_k"), *([F.sum(sums).alias("_s")] if sums else []))
-        behind = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        size = size.select("_bucket", F.coalesce(F.sum("_k").over(behind), F.lit(0)).alias("_first"), F.sum("_k").over(Window.partitionBy()).alias("n"), *([F.coalesce(F.sum("_s").over(behind), F.lit(0)).alias("_sum"), F.sum("_s").over(Window.partitionBy()).alias("all_sum")] if sums else []))
-        inside = Window.partitionBy("_bucket").orderBy(c, *([tie] if tie else []))
-        out = out.drop("n", "all_sum").join(F.broadcast(size), "_bucket").withColumn(name, F.col("_first") + F.row_number().over(inside))
-        if sums:
-            out = out.withColumn(f"{name}_sum", F.col("_sum") + F.sum(sums).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-        out = out.drop("_bucket", "_first", "_sum")
-    return out
-
-
-def percentiles(rows: DataFrame, column: Column, at: list[float]) -> DataFrame:
-    """One row with the exact percentiles (linear between neighbours) of the values as an array ``q``, and their number ``n``.
-
-    Values are counted first, so a repeated value costs one row. ``q`` is null
-    where there are no values.
+    rank = (F.col("_before") + F.col("_at") - F.col("_least") + 1).cast("long")
+    if len(by) == 1:
+        ((name, column),) = by.items()
+        dealt = _dealt(rows, column, key)
+        out = dealt.join(F.broadcast(_before(dealt, [], F.lit(1))), "_part")
+        return out.select(*rows.columns, rank.alias(name), F.col("_all").cast("long").alias("n"))
+    rest = F.struct(*[c for c in rows.columns if c != key])
+    kind = rows.select(rest.alias("r")).schema["r"].dataType.simpleString()
+    array = F.array(*[F.struct(F.lit(i).alias("_no"), F.col(c).cast("double").alias("_v"), (rest if i == 0 else F.lit(None)).cast(kind).alias("_rest")) for i, c in enumerate(by.values())])
+    dealt = _dealt(rows.select(key, F.explode(array).alias("_x")).select(key, "_x.*"), "_no", "_v", key)
+    out = dealt.join(F.broadcast(_before(dealt, ["_no"], F.lit(1))), ["_no", "_part"])
+    ranks = [F.max(F.when(F.col("_no") == i, rank)).alias(name) for i, name in enumerate(by)]
+    out = out.groupBy(key).agg(F.first("_rest", ignorenulls=True).alias("_rest"), *ranks, F.max("_all").cast("long").alias("n"))
+    return out.select(*[F.col(c) if c == key else F.col(f"_rest.{c}").alias(c) for c in rows.columns], *by, "n")
+
+
+def percentiles(rows: DataFrame, columns: list[Column], at: list[float]) -> DataFrame:
+    """One row with the exact percentiles (linear between neighbours) of each column: arrays ``q0``, ``q1``, ... and numbers of values ``n0``, ...
+
+    All columns share one count of their values and one pass; a repeated value is
+    one row. Running counts are made only in the partitions that hold a place
+    asked for. An array is null where there are no values.
     """
-    counts = rows.select(column.cast("double").alias("_v")).where("_v is not null").groupBy("_v").agg(F.count("*").alias("_c"))
-    own = ranked(counts, {"_r": "_v"}, sums="_c")
-    total = F.max("all_sum")
-
-    def value(p: float, up: bool) -> Column:
-        place = p * (F.col("all_sum") - 1)
-        place = F.ceil(place) if up else F.floor(place)
-        return F.min(F.when(F.col("_r_sum") >= place + 1, F.col("_v")))
-
-    ends = own.agg(total.alias("n"), *[e for i, p in enumerate(at) for e in (value(p, False).alias(f"a{i}"), value(p, True).alias(f"b{i}"))])
-    between = [F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (F.lit(p) * (F.col("n") - 1) - F.floor(F.lit(p) * (F.col("n") - 1))) for i, p in enumerate(at)]
-    return ends.select(F.when(F.col("n").isNotNull(), F.array(*between)).alias("q"), F.coalesce("n", F.lit(0)).alias("n"))
+    values = F.array(*[F.struct(F.lit(i).alias("_no"), c.cast("double").alias("_v")) for i, c in enumerate(columns)])
+    counts = rows.select(F.explode(values).alias("_x")).select("_x.*").where("_v is not null").groupBy("_no", "_v").agg(F.count("*").alias("_c"))
+    dealt = _dealt(counts, "_no", "_v")
+    parts = hold(_before(dealt, ["_no"], F.col("_c")), "parts")
+    asked = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(up).alias("_up"), (F.ceil if up else F.floor)(F.lit(p) * (F.col("_all") - 1)).alias("_place")) for i, p in enumerate(at) for up in (False, True)])
+    # Two places for each percentile and column, each in one partition.
+    hit = parts.select("*", F.explode(asked).alias("_y")).select("*", "_y.*").where("_place >= _before AND _place < _before + _own")
+    along = Window.partitionBy("_no", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    near = dealt.join(F.broadcast(hit.select("_no", "_part", "_before").distinct()), ["_no", "_part"]).withColumn("_upto", F.col("_before") + F.sum("_c").over(along))
+    found = near.drop("_before").join(F.broadcast(hit.select("_no", "_part", "_i", "_up", "_place", "_all")), ["_no", "_part"]).where("_place < _upto AND _place >= _upto - _c")
+    p = F.element_at(F.array(*[F.lit(x) for x in at]), F.col("_i") + 1)
+    low, high = F.max(F.when(~F.col("_up"), F.col("_v"))), F.max(F.when(F.col("_up"), F.col("_v")))
+    share = F.max(p * (F.col("_all") - 1) - F.floor(p * (F.col("_all") - 1)))
+    each = found.groupBy("_no", "_i").agg((low + (high - low) * share).alias("_q"), F.max("_all").alias("_all"))
+    return each.agg(*[e for k in range(len(columns)) for e in (_array_of(k, len(at)).alias(f"q{k}"), F.coalesce(F.max(F.when(F.col("_no") == k, F.col("_all"))), F.lit(0)).cast("long").alias(f"n{k}"))])
+
+
+def _array_of(k: int, many: int) -> Column:
+    values = [F.max(F.when((F.col("_no") == k) & (F.col("_i") == i), F.col("_q"))) for i in range(many)]
+    return F.when(values[0].isNotNull(), F.array(*values))
+
+
+def reaching(rows: DataFrame, by: str, key: str, amount: str, share: float) -> DataFrame:
+    """One row: after how many rows, in ascending order of ``by``, the running sum of ``amount`` first makes up ``share`` of all (``reach``), with ``all`` and ``n``.
+
+    ``reach`` is null where the sum of all is not positive. Amounts are decimals
+    and not negative. Running sums are made only in the partition where the share
+    is crossed.
+    """
+    dealt = _dealt(rows.select(by, key, amount), by, key)
+    sums, counts = _before(dealt, [], F.col(amount)), _before(dealt, [], F.lit(1))
+    parts = hold(sums.join(counts.select("_part", F.col("_before").alias("_rows"), F.col("_all").alias("_n")), "_part"), "parts")
+    over = lambda x: x.cast("double") / F.col("_all").cast("double") >= share
+    here = parts.where("_all > 0").where(over(F.col("_before") + F.col("_own"))).agg(F.min("_part").alias("_part"))
+    along = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    near = dealt.join(F.broadcast(here), "_part").withColumn("_sum", F.sum(amount).over(along)).join(F.broadcast(parts), "_part")
+    first = near.where(over(F.col("_before") + F.col("_sum"))).agg(F.min(F.col("_rows") + F.col("_at") - F.col("_least") + 1).cast("long").alias("reach"))
+    return first.crossJoin(F.broadcast(parts.agg(F.max("_all").alias("all"), F.coalesce(F.max("_n"), F.lit(0)).cast("long").alias("n"))))

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import digamma, log_beta, log_hyp2f1, newton, trigamma
@@ -322,12 +322,13 @@ def concentration(rows: DataFrame, value: str, share: float = 0.1) -> DataFrame:
 
 
 def lorenz(rows: DataFrame, value: str, points: int = 20) -> DataFrame:
-    """Cumulative shares of customers and value, ascending, at every 1/points of customers, with (0, 0)."""
+    """Cumulative shares of customers and value, ascending, at every 1/points of customers, with (0, 0).
+
+    Values are summed between the points; running sums are made of those few rows.
+    """
     v = F.col(value).cast("decimal(18,6)")
-    cum = ranked(rows.select(v.alias("v"), F.col(value).alias("by"), "CustomerID"), {"rn": "by"}, "CustomerID", "v").select("rn", "n", F.col("rn_sum").alias("c"), F.col("all_sum").alias("all"))
-    step = F.ceil(F.col("rn") * points / F.col("n")).cast("int")
-    at = cum.groupBy(step.alias("point")).agg(F.max("rn").alias("rn"), F.max("n").alias("n"), F.max("c").alias("c"), F.max("all").alias("all"))
-    out = at.select("point", (F.col("rn") / F.col("n")).alias("customer_share"), (F.col("c").cast("double") / F.col("all").cast("double")).alias("value_share"))
+    own = ranked(rows.select(v.alias("v"), F.col(value).alias("by"), "CustomerID"), {"rn": "by"}, "CustomerID")
+    at = own.groupBy(F.ceil(F.col("rn") * points / F.col("n")).cast("int").alias("point")).agg(F.max("rn").alias("rn"), F.max("n").alias("n"), F.sum("v").alias("v"))
+    upto = Window.orderBy("point").rowsBetween(Window.unboundedPreceding, 0)
+    out = at.select("point", (F.col("rn") / F.col("n")).alias("customer_share"), (F.sum("v").over(upto).cast("double") / F.sum("v").over(Window.partitionBy()).cast("double")).alias("value_share"))
     return out.unionAll(rows.sparkSession.range(1).select(F.lit(0).alias("point"), F.lit(0.0).alias("customer_share"), F.lit(0.0).alias("value_share")))
-
-

@@ -34,7 +34,7 @@ def order_values(sales: DataFrame, bins: int = 59) -> DataFrame:
 
 def order_value_summary(sales: DataFrame) -> DataFrame:
     orders = sales.groupBy("Invoice").agg(total("Revenue").alias("v")).where("v > 0")
-    middle = percentiles(orders, F.col("v"), [0.5]).select(F.get("q", F.lit(0)).alias("median_value"))
+    middle = percentiles(orders, [F.col("v")], [0.5]).select(F.get("q0", F.lit(0)).alias("median_value"))
     return orders.agg(F.count("*").alias("orders"), F.max("v").alias("max_value")).crossJoin(middle).select("orders", "median_value", "max_value")
 
 

@@ -194,15 +194,13 @@ def duplicates(df: DataFrame, columns: list[str]) -> DataFrame:
 def outliers(df: DataFrame, names: list[str]) -> DataFrame:
     """One row: for each column, values beyond three interquartile ranges and values seen; none with fewer than 4 values or no spread."""
     num = {c: _number(_present(df, c).cast("string")) for c in names}
-    both = df
-    for i, c in enumerate(names):  # one row each
-        both = both.crossJoin(F.broadcast(percentiles(df, num[c], [0.25, 0.75]).select(F.col("q").alias(f"q{i}"), F.col("n").alias(f"n{i}"))))
+    both = df.select(*[num[c].alias(f"v{i}") for i, c in enumerate(names)]).crossJoin(F.broadcast(percentiles(df, list(num.values()), [0.25, 0.75])))  # one row
 
-    def far(i, c):
+    def far(i):
         a, b = F.get(f"q{i}", F.lit(0)), F.get(f"q{i}", F.lit(1))
-        return (F.col(f"n{i}") >= 4) & (b > a) & ((num[c] < a - 3 * (b - a)) | (num[c] > b + 3 * (b - a)))
+        return (F.col(f"n{i}") >= 4) & (b > a) & ((F.col(f"v{i}") < a - 3 * (b - a)) | (F.col(f"v{i}") > b + 3 * (b - a)))
 
-    return both.agg(*[e for i, c in enumerate(names) for e in (F.count_if(far(i, c)).alias(f"bad{i}"), F.count(num[c]).alias(f"n{i}"))])
+    return both.agg(*[e for i in range(len(names)) for e in (F.count_if(far(i)).alias(f"bad{i}"), F.count(f"v{i}").alias(f"n{i}"))])
 
 
 def findings(df: DataFrame, config: QualityConfig | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import ranked
+from ..functions.ranks import reaching
 from ..functions.timeutil import floor_days, ratio, total
 
 #: Lag buckets in whole days, both ends included.
@@ -93,11 +93,12 @@ def monthly(sales: DataFrame, returns: DataFrame) -> DataFrame:
 
 
 def concentration(skus: DataFrame, top: int = 10) -> DataFrame:
-    """Share of the leading codes, and how many codes make 80 % of returned value. One row for each code is ranked."""
-    v = F.col("returned_value").cast("decimal(18,6)")
-    rows = ranked(skus.select(v.alias("v"), (-F.col("returned_value")).alias("by"), "StockCode"), {"rn": "by"}, "StockCode", "v")
-    rows = rows.select("v", "rn", F.col("rn_sum").alias("cum"), F.col("all_sum").alias("all"))
-    share = F.sum(F.when(F.col("rn") <= top, F.col("v"))).cast("double") / F.max("all").cast("double")
-    reach = F.min(F.when(F.col("cum").cast("double") / F.col("all").cast("double") >= 0.8, F.col("rn")))
-    some = F.max("all") > 0
-    return rows.agg(F.lit(top).alias("top_n"), F.coalesce(F.when(some, share), F.lit(0.0)).alias("top_n_share"), F.coalesce(F.when(some, reach), F.lit(0)).alias("skus_to_80pct"), F.count("*").alias("n_returned_skus"))
+    """Share of the leading codes, and how many codes make 80 % of returned value."""
+    rows = skus.select(F.col("returned_value").cast("decimal(18,6)").alias("v"), (-F.col("returned_value")).alias("by"), "StockCode")
+    reach = reaching(rows, "by", "StockCode", "v", 0.8)
+    lead = rows.orderBy("by", "StockCode").limit(top).agg(F.sum("v").alias("lead"))
+    some = F.col("all") > 0
+    return reach.crossJoin(F.broadcast(lead)).select(
+        F.lit(top).alias("top_n"), F.coalesce(F.when(some, F.col("lead").cast("double") / F.col("all").cast("double")), F.lit(0.0)).alias("top_n_share"),
+        F.coalesce(F.when(some, F.col("reach")), F.lit(0)).alias("skus_to_80pct"), F.col("n").alias("n_returned_skus"),
+    )

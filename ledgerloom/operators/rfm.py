@@ -27,7 +27,7 @@ def _fifth(rank: str) -> Column:
 
 
 def scores(table: DataFrame) -> DataFrame:
-    """R, F and M from 1 to 5. The ranks run over one row for each customer; equal values keep the order of customers."""
+    """R, F and M from 1 to 5. The ranks run over one row for each customer, all three in one pass; equal values keep the order of customers."""
     out = ranked(table.withColumn("_old", -F.col("RecencyDays")), {"_r": "_old", "_f": "Frequency", "_m": "Monetary"}, "CustomerID")
     return out.select(*table.columns, _fifth("_r").alias("R"), _fifth("_f").alias("F"), _fifth("_m").alias("M"))
 

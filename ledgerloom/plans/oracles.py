@@ -60,10 +60,11 @@ _RFM = f"""
 own AS (SELECT * FROM sales WHERE CustomerID IS NOT NULL),
 rfm0 AS (SELECT CustomerID, date_diff('day', max(InvoiceDate), (SELECT max(InvoiceDate) + INTERVAL 1 DAY FROM own)) AS RecencyDays, count(DISTINCT Invoice) AS Frequency, {m("Revenue")} AS Monetary FROM own GROUP BY 1),
 ranked AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY RecencyDays DESC, CustomerID) AS a, row_number() OVER (ORDER BY Frequency, CustomerID) AS b, row_number() OVER (ORDER BY Monetary, CustomerID) AS c FROM rfm0),
+-- a rank's fifth: how many of the inner quintile edges of 1..n, linear between neighbours, are below it
 rfm1 AS (SELECT CustomerID, RecencyDays, Frequency, Monetary,
-  CAST(CASE WHEN n = 1 THEN 1 ELSE greatest(1, (5 * (a - 1) + n - 2) // greatest(n - 1, 1)) END AS INTEGER) AS R,
-  CAST(CASE WHEN n = 1 THEN 1 ELSE greatest(1, (5 * (b - 1) + n - 2) // greatest(n - 1, 1)) END AS INTEGER) AS F,
-  CAST(CASE WHEN n = 1 THEN 1 ELSE greatest(1, (5 * (c - 1) + n - 2) // greatest(n - 1, 1)) END AS INTEGER) AS M FROM ranked),
+  CAST(len(list_filter([1, 2, 3, 4], lambda k: a > 1 + k * (n - 1) / 5)) + 1 AS INTEGER) AS R,
+  CAST(len(list_filter([1, 2, 3, 4], lambda k: b > 1 + k * (n - 1) / 5)) + 1 AS INTEGER) AS F,
+  CAST(len(list_filter([1, 2, 3, 4], lambda k: c > 1 + k * (n - 1) / 5)) + 1 AS INTEGER) AS M FROM ranked),
 rfm2 AS (SELECT *, CASE WHEN R >= 4 AND F >= 4 THEN 'Champions' WHEN R = 3 AND F >= 4 THEN 'Loyal Customers' WHEN R >= 4 AND F >= 2 THEN 'Potential Loyalist'
   WHEN R >= 4 THEN 'New Customers' WHEN R = 3 AND F >= 2 THEN 'Need Attention' WHEN R = 3 THEN 'About to Sleep' WHEN R = 1 AND F = 5 THEN 'Can''t Lose Them'
   WHEN F >= 4 THEN 'At Risk' WHEN F >= 2 THEN 'Hibernating' ELSE 'Lost' END AS Segment FROM rfm1)"""

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ledgerloom.__main__ import main
 from ledgerloom.operators import clv
 from ledgerloom.plans import reports
-from ledgerloom.functions.ranks import percentiles, ranked
 from ledgerloom.sources.adapter import raw_lines
 from ledgerloom.sources.lines import sample_lines
 
@@ -40,21 +39,6 @@ def test_absent_lines_without_a_sample_raise(spark, tmp_path):
         reports.load_or_sample(spark, str(tmp_path / "absent.parquet"))
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 7, 500])
-def test_ranks_and_percentiles(spark, n):
-    rows = [(i, float((i * 37) % 11 if i % 3 else 5), i % 7) for i in range(n)]
-    df = spark.createDataFrame(rows, "id long, x double, v long")
-    want = sorted(rows, key=lambda r: (r[1], r[0]))
-    got = {r["id"]: (r["rn"], r["rn_sum"], r["n"]) for r in ranked(df, {"rn": "x"}, "id", "v").collect()}
-    run = 0
-    for k, (i, _, v) in enumerate(want, 1):
-        run += v
-        assert got[i] == (k, run, n)
-    q = percentiles(df, F.col("x"), [0.1, 0.25, 0.5, 0.9]).first()
-    exact = df.agg(F.percentile("x", F.array(*[F.lit(p) for p in (0.1, 0.25, 0.5, 0.9)])).alias("q")).first()["q"]
-    assert q["n"] == n and (q["q"] is None if n == 0 else q["q"] == pytest.approx(exact))
-
-
 def test_a_sample_keeps_every_stratum(spark):
     df = spark.createDataFrame([(i, "common") for i in range(2000)] + [(1, "rare"), (2, "none"), (3, None)], "id long, kind string")
     got = sample_lines(df, 0.1, 42, "kind").groupBy("kind").count().collect()
