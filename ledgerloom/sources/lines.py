@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .workbook import read_workbook
+
 COLUMNS = ["Invoice", "StockCode", "Description", "Quantity", "InvoiceDate", "Price", "CustomerID", "Country", "SourceSheet"]
 TEXT = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS])
 
@@ -37,15 +39,18 @@ def typed(df: DataFrame) -> DataFrame:
 
 
 def load_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """Lines of Parquet or CSV files (``.csv``, ``.csv.gz``), joined by column name.
+    """Lines of Parquet files, CSV files (``.csv``, ``.csv.gz``) or workbooks (``.xlsx``), joined by column name.
 
-    Each file's name is its SourceSheet where it has none. Files that do not
+    A workbook's sheets name their lines' SourceSheet; of other files, each file's
+    name is its SourceSheet where it has none. Files that do not
     exist raise Spark's own error with the path.
     """
     out = None
     for path in paths:
         if path.rstrip("/").endswith((".csv", ".csv.gz")):
             part = spark.read.option("header", True).csv(path)
+        elif path.endswith(".xlsx"):
+            part = read_workbook(spark, path)
         else:
             part = spark.read.parquet(path)
         if "SourceSheet" not in part.columns:
@@ -57,10 +62,6 @@ def load_lines(spark: SparkSession, *paths: str) -> DataFrame:
     return out
 
 
-def write_cache(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
-
-
 def write_report(df: DataFrame, path: str, *order: str) -> None:
     """A small result as one CSV file with a header, rows in a fixed order."""
     df.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
