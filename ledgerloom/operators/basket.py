@@ -6,10 +6,14 @@ import math
 from dataclasses import dataclass
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import ranked
 from ..functions.timeutil import ratio, total
+from ..sources.scratch import hold
 
 
 @dataclass(frozen=True)
@@ -73,30 +77,73 @@ def survivors(sales: DataFrame, items: DataFrame, least: int = 2) -> DataFrame:
     return sales.agg(F.count_distinct("Invoice").alias("invoices_total")).crossJoin(kept).crossJoin(items.agg(F.count("*").alias("stock_codes_tracked"), F.count_distinct("Item").alias("items_after_description_merge"))).withColumn("mean_basket_size", F.coalesce("m", F.lit(0.0))).drop("m")
 
 
+#: Baskets in a block of the vertical form; Spark's bitmaps have as many bits.
+BLOCK = 32_768
+
+
+def vertical(pairs: DataFrame) -> DataFrame:
+    """(block, Item, bits): in which baskets of each block of 32,768 an item is, as a bitmap of 4 KB.
+
+    Baskets are numbered by the rank of their invoice.
+    """
+    numbered = ranked(pairs.select("Invoice").distinct(), {"basket": "Invoice"}, "Invoice").select("Invoice", "basket")
+    rows = pairs.join(numbered, "Invoice")
+    return rows.groupBy(F.expr("bitmap_bucket_number(basket)").alias("block"), "Item").agg(F.expr("bitmap_construct_agg(bitmap_bit_position(basket))").alias("bits"))
+
+
+def _supports(blocks: DataFrame, candidates: list[tuple[str, ...]]) -> DataFrame:
+    """(items, count) of the candidates, sets of items in order: bitmaps of a block are intersected and counted in its task, counts are summed over blocks.
+
+    The candidates are sets of tracked items; their number is bounded by those, not by baskets.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = {item: np.frombuffer(b, np.uint64) for item, b in zip(pdf["Item"], pdf["bits"])}
+        lead: dict[tuple[str, ...], np.ndarray | None] = {(): None}
+
+        def common(items: tuple[str, ...]) -> np.ndarray | None:
+            """The baskets of all items; those of all but the last are kept, as candidates come in order."""
+            if len(items) == 1:
+                return bits.get(items[0])
+            if items[:-1] not in lead:
+                lead.clear()
+                lead[items[:-1]] = common(items[:-1])
+            a, b = lead[items[:-1]], bits.get(items[-1])
+            return None if a is None or b is None else a & b
+
+        found = [(list(c), int(np.bitwise_count(x).sum())) for c in candidates if (x := common(c)) is not None]
+        return pd.DataFrame([f for f in found if f[1]], columns=["items", "count"])
+
+    each = blocks.groupBy("block").applyInPandas(run, "items array<string>, count long")
+    return each.groupBy("items").agg(F.sum("count").alias("count"))
+
+
 def itemsets(pairs: DataFrame, config: BasketConfig = BasketConfig()) -> tuple[DataFrame, int]:
     """(size, a, b, c, count, support) of all frequent itemsets, and the number of baskets.
 
-    Each level joins only what the level before found frequent: items, then
-    ordered pairs, then triples of which all pairs are frequent. Baskets have at
-    most the tracked items, which bounds the self-join.
+    Level by level on vertical bitmaps: a set's baskets are the intersection of its
+    items' bitmaps. No basket is joined with itself, so the work grows with
+    candidates and blocks of baskets, not with the square of a basket. A level's
+    candidates are those whose subsets are all frequent; they and the frequent sets
+    are bounded by the tracked items and held on the driver.
     """
-    pairs = pairs.persist()  # read once for each level; spills to disk
-    n = pairs.select("Invoice").distinct().count()
+    spark = pairs.sparkSession
+    blocks = hold(vertical(pairs), "baskets")
+    n = pairs.select(F.count_distinct("Invoice")).first()[0]
     least = min_count(config.min_support, n)
-    none = F.lit(None).cast("string")
-    one = pairs.groupBy(F.col("Item").alias("a")).agg(F.count("*").alias("count")).where(F.col("count") >= least)
-    live = pairs.join(one.select(F.col("a").alias("Item")), "Item", "left_semi")
-    x, y = live.select("Invoice", F.col("Item").alias("a")), live.select("Invoice", F.col("Item").alias("b"))
-    couples = x.join(y, "Invoice").where("a < b")
-    two = couples.groupBy("a", "b").agg(F.count("*").alias("count")).where(F.col("count") >= least).persist()
-    out = one.select(F.lit(1).alias("size"), "a", none.alias("b"), none.alias("c"), "count").unionAll(two.select(F.lit(2).alias("size"), "a", "b", none.alias("c"), "count"))
-    if config.max_len >= 3:
-        frequent = couples.join(two.select("a", "b"), ["a", "b"], "left_semi")
-        third = frequent.select("Invoice", "a", F.col("b").alias("c"))
-        triples = frequent.join(third, ["Invoice", "a"]).where("b < c").join(two.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"], "left_semi")
-        three = triples.groupBy("a", "b", "c").agg(F.count("*").alias("count")).where(F.col("count") >= least)
-        out = out.unionAll(three.select(F.lit(3).alias("size"), "a", "b", "c", "count"))
-    return out.withColumn("support", F.col("count") / F.lit(float(max(n, 1)))).persist(), n
+    one = blocks.groupBy("Item").agg(F.sum(F.expr("bitmap_count(bits)")).alias("count")).where(F.col("count") >= least).collect()
+    found: dict[tuple[str, ...], int] = {(r["Item"],): r["count"] for r in one}
+    level = sorted(found)
+    for size in range(2, config.max_len + 1):
+        joined = [(*x, y[-1]) for i, x in enumerate(level) for y in level[i + 1 :] if x[:-1] == y[:-1]]
+        candidates = [c for c in joined if all(s in found for s in combinations(c, size - 1))]
+        if not candidates:
+            break
+        got = _supports(blocks, candidates).where(F.col("count") >= least).collect()
+        found |= {tuple(r["items"]): r["count"] for r in got}
+        level = sorted(tuple(r["items"]) for r in got)
+    rows = [(len(s), *s, *[None] * (3 - len(s)), c, c / max(n, 1)) for s, c in sorted(found.items())]
+    return spark.createDataFrame(rows, "size int, a string, b string, c string, count long, support double"), n
 
 
 def rules(sets: DataFrame, n: int, config: BasketConfig = BasketConfig()) -> DataFrame:

@@ -7,11 +7,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..functions.series import register_forecasts
 from ..functions.timeutil import total, week_ending
 from .returning import descriptions
 
 MODELS = {"seasonal_naive": K.seasonal_naive, "holt_winters": K.holt_winters_tuned, "lag_linear": K.lag_linear}
 BASELINES = ("naive", "seasonal_naive", "ma4")
+#: What SQL can call by name; models of one's own can be registered beside them.
+ALL_MODELS = MODELS | {"naive": K.naive, "ma4": K.moving_average}
 
 
 def weekly_totals(lines: DataFrame, value: Column, ts: str = "InvoiceDate") -> DataFrame:
@@ -135,3 +138,14 @@ def seasonal_losses(cv: DataFrame) -> DataFrame:
     return wide.agg(F.count("*").alias("folds"), F.count_if(F.col("holt_winters") > F.col("seasonal_naive")).alias("losses"))
 
 
+def code_forecasts(sales: DataFrame, models: list[str], n: int = 10, horizon: int = 12) -> DataFrame:
+    """(series, model, step, forecast) of the weekly units of the leading codes, in SQL through the registered table function."""
+    spark = sales.sparkSession
+    register_forecasts(spark, ALL_MODELS)
+    view = "ledgerloom_code_weeks"
+    code_weeks(sales, n).select(F.col("StockCode").alias("series"), "t", F.col("units").cast("double").alias("value")).createOrReplaceTempView(view)
+    each = [spark.sql(f"SELECT * FROM forecast_series(TABLE(SELECT series, t, value FROM {view}) PARTITION BY (series) ORDER BY (t), '{m}', {int(horizon)})") for m in models]
+    out = each[0]
+    for df in each[1:]:
+        out = out.unionAll(df)
+    return out

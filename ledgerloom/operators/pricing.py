@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import ranked
 from ..functions.timeutil import close, total
 from .returning import descriptions
 
@@ -109,8 +110,8 @@ def slopes(sales: DataFrame, config: PricingConfig = PricingConfig(), permute: b
     out = fit.join(within_week_slopes(sales, config), "StockCode", "left").select("StockCode", "weeks", "week_prices", "slope_within_week", "slope_between_week", "slope_market_adj")
     if not permute:
         return out
-    # A code's draws are seeded by its hash, which needs no rank over all codes.
-    named = fit.select("StockCode", F.xxhash64("StockCode").bitwiseAND(F.lit((1 << 62) - 1)).alias("i"))
+    # A code's draws are seeded by its place among the fitted codes, so they do not depend on partitions.
+    named = ranked(fit.select("StockCode"), {"i": "StockCode"}, "StockCode").select("StockCode", (F.col("i") - 1).alias("i"))
     draws, seed = config.permutations, config.seed
 
     def test(pdf):

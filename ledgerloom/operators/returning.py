@@ -41,20 +41,29 @@ def by_sku(sales: DataFrame, returns: DataFrame) -> DataFrame:
     )
 
 
-def match_to_sales(sales: DataFrame, returns: DataFrame) -> DataFrame:
+def match_to_sales(sales: DataFrame, returns: DataFrame, slice_of: str = "MONTH") -> DataFrame:
     """Each identified return line with its customer's last earlier or simultaneous sale of the code, or null.
 
-    Sales are reduced to distinct (customer, code, time) first; then one window
-    over sales and returns together, sales first at equal times, carries the last
-    sale forward. One shuffle, and no pair of rows is ever formed.
+    Sales are reduced to distinct (customer, code, time) first. Time is cut into
+    slices, so that one customer and code with very many lines are many tasks: a
+    window inside each slice, over sales and returns together with sales first at
+    equal times, carries the last sale forward, and a return without one in its
+    slice takes the last sale of the slices before, one row for each slice. No pair
+    of rows is ever formed.
     """
     key = ["CustomerID", "StockCode"]
     known = F.col("CustomerID").isNotNull()
     past = sales.where(known).select(*key, F.col("InvoiceDate").alias("at")).distinct().select(*key, "at", F.col("at").alias("sold"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("Invoice"), F.lit(None).cast("double").alias("returned_value"))
     back = returns.where(known).select(*key, F.col("InvoiceDate").alias("at"), F.lit(None).cast("timestamp").alias("sold"), F.lit(1).alias("kind"), "Invoice", (-F.col("Revenue")).alias("returned_value"))
-    w = Window.partitionBy(*key).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = past.unionAll(back).withColumn("SaleDate", F.last("sold", ignorenulls=True).over(w)).where("kind = 1")
-    return both.select("Invoice", *key, F.col("at").alias("InvoiceDate"), "returned_value", "SaleDate", floor_days(F.col("at"), F.col("SaleDate")).alias("days_to_return"))
+    both = past.unionAll(back).withColumn("slice", F.date_trunc(slice_of, "at"))
+    inside = Window.partitionBy(*key, "slice").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    here = both.withColumn("own", F.last("sold", ignorenulls=True).over(inside)).where("kind = 1")
+    before = Window.partitionBy(*key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = both.groupBy(*key, "slice").agg(F.max("sold").alias("latest"), F.max("kind").alias("returned"))
+    carried = slices.withColumn("carried", F.max("latest").over(before)).where("returned = 1").select(*[F.col(c).alias(f"_{c}") for c in (*key, "slice")], "carried")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*key, "slice")]
+    out = here.join(carried, same[0] & same[1] & same[2], "left").withColumn("SaleDate", F.coalesce("own", "carried"))
+    return out.select("Invoice", *key, F.col("at").alias("InvoiceDate"), "returned_value", "SaleDate", floor_days(F.col("at"), F.col("SaleDate")).alias("days_to_return"))
 
 
 def match_stats(returns: DataFrame, matched: DataFrame) -> DataFrame:

@@ -192,7 +192,8 @@ _MADE = {
     "fc8_cv_summary": lambda f: forecast.summarize(forecast.cross_validate(_weeks(f))),
     "fc9_final_fold": lambda f: forecast.final_fold(_weeks(f)),
     "fc10_code_weeks": lambda f: forecast.code_weeks(f.sales).drop("first"),
-    "fc10_top_code_forecasts": lambda f: forecast.top_code_forecasts(f.sales),
+    "fc10_top_code_forecasts": lambda f: _rounded(forecast.top_code_forecasts(f.sales), 6, "ZeroWeekShare", "mase_naive", "mase_seasonal_naive", "mase_ma4"),
+    "fc10_series_forecasts": lambda f: _rounded(forecast.code_forecasts(f.sales, ["naive", "seasonal_naive", "ma4"]), 6, "forecast"),
     "bsk2_catalog": lambda f: basket.catalog(f.sales, BASKET.top_items),
     "bsk3_survivors": lambda f: basket.survivors(f.sales, basket.catalog(f.sales, BASKET.top_items)),
     "bsk5_itemsets": lambda f: _sets(f)[0],

@@ -135,6 +135,22 @@ preds AS (
   UNION ALL SELECT fold, 'ma4', i, CAST(any_value(tests.y) AS DOUBLE), CAST(sum(p.y) AS DOUBLE) / 4 FROM tests JOIN y p ON p.t >= origin - 4 AND p.t < origin GROUP BY fold, i),
 scale AS (SELECT fold, CAST(sum(abs(a.y - b.y)) AS DOUBLE) / count(*) AS scale FROM folds JOIN y a ON a.t < origin JOIN y b ON b.t = a.t - CASE WHEN origin > 52 THEN 52 ELSE 1 END GROUP BY fold),
 berr AS (SELECT fold, model, mae, CASE WHEN scale > 0 THEN mae / scale END AS mase FROM (SELECT fold, model, CAST(sum(CAST(abs(y - f) AS DECIMAL(28,6))) AS DOUBLE) / count(*) AS mae FROM preds GROUP BY 1, 2) JOIN scale USING (fold))"""
+_CODE_WEEKS = (
+    _WEEKS,
+    "topc AS (SELECT StockCode, sum(Quantity) AS n FROM sales GROUP BY 1 ORDER BY n DESC, StockCode LIMIT 10)",
+    """cweeks AS (SELECT StockCode, CAST(t AS INTEGER) AS t, units FROM (SELECT StockCode, t, units, coalesce(min(CASE WHEN units <> 0 THEN t END) OVER (PARTITION BY StockCode), min(t) OVER (PARTITION BY StockCode)) AS f FROM (
+ SELECT topc.StockCode, weeks.t, coalesce(u.units, 0) AS units FROM topc, weeks LEFT JOIN (SELECT StockCode, CAST(date_trunc('week', InvoiceDate) AS DATE) + 6 AS week, CAST(sum(Quantity) AS BIGINT) AS units FROM sales GROUP BY 1, 2) u ON u.StockCode = topc.StockCode AND u.week = weeks.week)) WHERE t >= f)""",
+)
+_CODE_ROWS = "cy AS (SELECT StockCode, units, row_number() OVER (PARTITION BY StockCode ORDER BY t) - 1 AS k, count(*) OVER (PARTITION BY StockCode) AS len FROM cweeks)"
+# The last 12 weeks of each code are held back; errors are scaled by the mean step of the weeks before.
+_CODE_ERRORS = f"""
+{_CODE_ROWS},
+cut AS (SELECT *, len - 12 AS c FROM cy WHERE len > 16),
+cerr AS (SELECT a.StockCode, max(a.len) AS len, count(*) FILTER (a.units = 0) AS zeros,
+  avg(abs(a.units - b.last)) FILTER (a.k >= a.c) AS e1, avg(abs(a.units - CASE WHEN a.c >= 52 THEN p.units ELSE b.last END)) FILTER (a.k >= a.c) AS e2, avg(abs(a.units - b.mean)) FILTER (a.k >= a.c) AS e3, any_value(b.walk) AS walk
+  FROM cut a JOIN (SELECT StockCode, any_value(units) FILTER (k = c - 1) AS last, avg(units) FILTER (k >= c - 4 AND k < c) AS mean, avg(abs(units - prev)) FILTER (k < c) AS walk
+    FROM (SELECT *, lag(units) OVER (PARTITION BY StockCode ORDER BY k) AS prev FROM cut) GROUP BY 1) b USING (StockCode)
+  LEFT JOIN cut p ON p.StockCode = a.StockCode AND p.k = a.c - 52 + (a.k - a.c) % 52 GROUP BY 1)"""
 _ITEMS = f"""
 norm AS (SELECT Invoice, StockCode, Revenue, regexp_replace(trim(upper(Description)), '\\s+', ' ', 'g') AS Item FROM sales WHERE length(trim(Description)) > 0),
 bestc AS (SELECT StockCode FROM norm GROUP BY 1 ORDER BY {m("Revenue")} DESC, StockCode LIMIT 25),
@@ -293,8 +309,15 @@ FROM (SELECT step, gone, (SELECT count(*) FROM raw) - coalesce(sum(gone) OVER (O
     "fc6_baseline_errors": q("SELECT CAST(fold AS INTEGER) AS fold, model, round(mae, 2) AS mae, round(mase, 6) AS mase FROM berr", _WEEKS, _FOLDS, _BERR),
     "fc8_baseline_summary": q("""SELECT s.*, coalesce(w.fold_wins, 0) AS fold_wins FROM (SELECT model, count(DISTINCT fold) AS folds, round(avg(mase), 6) AS mean_mase, round(max(mase), 6) AS worst_mase, round(avg(mae), 2) AS mean_mae FROM berr GROUP BY 1) s
  LEFT JOIN (SELECT model, count(*) AS fold_wins FROM (SELECT fold, model FROM berr QUALIFY row_number() OVER (PARTITION BY fold ORDER BY mase, model) = 1) GROUP BY 1) w USING (model)""", _WEEKS, _FOLDS, _BERR),
-    "fc10_code_weeks": q("""SELECT StockCode, CAST(t AS INTEGER) AS t, units FROM (SELECT StockCode, t, units, coalesce(min(CASE WHEN units <> 0 THEN t END) OVER (PARTITION BY StockCode), min(t) OVER (PARTITION BY StockCode)) AS f FROM (
- SELECT topc.StockCode, weeks.t, coalesce(u.units, 0) AS units FROM topc, weeks LEFT JOIN (SELECT StockCode, CAST(date_trunc('week', InvoiceDate) AS DATE) + 6 AS week, CAST(sum(Quantity) AS BIGINT) AS units FROM sales GROUP BY 1, 2) u ON u.StockCode = topc.StockCode AND u.week = weeks.week)) WHERE t >= f""", _WEEKS, "topc AS (SELECT StockCode, sum(Quantity) AS n FROM sales GROUP BY 1 ORDER BY n DESC, StockCode LIMIT 10)"),
+    "fc10_code_weeks": q("SELECT * FROM cweeks", *_CODE_WEEKS),
+    "fc10_top_code_forecasts": q("""SELECT StockCode, coalesce(Description, '') AS Description, CAST(n AS BIGINT) AS TotalUnits, CAST(len AS INTEGER) AS WeeksActive, round(zeros / len, 6) AS ZeroWeekShare,
+      round(e1 / nullif(walk, 0), 6) AS mase_naive, round(e2 / nullif(walk, 0), 6) AS mase_seasonal_naive, round(e3 / nullif(walk, 0), 6) AS mase_ma4,
+      CASE WHEN coalesce(walk, 0) = 0 THEN 'n/a (single-spike demand)' WHEN e1 <= e2 AND e1 <= e3 THEN 'naive' WHEN e2 <= e3 THEN 'seasonal_naive' ELSE 'ma4' END AS best_model
+      FROM cerr JOIN topc USING (StockCode) LEFT JOIN sdescs USING (StockCode)""", *_CODE_WEEKS, _SDESC.strip(), _CODE_ERRORS.strip()),
+    "fc10_series_forecasts": q("""SELECT StockCode AS series, model, CAST(step AS INTEGER) AS step, round(forecast, 6) AS forecast FROM (
+      SELECT StockCode, 'naive' AS model, i AS step, CAST(units AS DOUBLE) AS forecast FROM cy, range(1, 13) s(i) WHERE k = len - 1
+      UNION ALL SELECT StockCode, 'seasonal_naive', i, CAST(units AS DOUBLE) FROM cy, range(1, 13) s(i) WHERE k = CASE WHEN len >= 52 THEN len - 52 + (i - 1) % 52 ELSE len - 1 END
+      UNION ALL SELECT StockCode, 'ma4', any_value(i), avg(units) FROM cy, range(1, 13) s(i) WHERE k >= len - 4 GROUP BY StockCode, i)""", *_CODE_WEEKS, _CODE_ROWS),
     "bsk2_catalog": q("SELECT * FROM cat", _ITEMS),
     "bsk3_survivors": q("""SELECT (SELECT count(DISTINCT Invoice) FROM sales) AS invoices_total, count(*) AS invoices_with_tracked_item, count(*) FILTER (n >= 2) AS baskets_mined, (SELECT count(*) FROM cat) AS stock_codes_tracked, (SELECT count(DISTINCT Item) FROM cat) AS items_after_description_merge,
  coalesce(sum(n) FILTER (n >= 2) / count(*) FILTER (n >= 2), 0.0) AS mean_basket_size FROM (SELECT Invoice, count(*) AS n FROM items GROUP BY 1)""", _ITEMS),

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import basket, cleaning, clv, cohort, explore, forecast, lifecycle, pricing, quality, returning, rfm
-from ..sources.lines import load_lines, write_report, write_workbook
+from ..sources import scratch, store
+from ..sources.csvfile import write_csv
+from ..sources.lines import load_lines, write_workbook
 
 
 def frames_of(raw: DataFrame) -> SimpleNamespace:
@@ -29,6 +31,24 @@ def load_or_sample(spark: SparkSession, path: str, sample: str | None = None) ->
         return load_lines(spark, sample), f"{path} does not exist: the sample {sample} is used, and its figures stand for nothing else"
 
 
+def stored_frames(spark: SparkSession, path: str, cache: str, sample: str | None = None, force: bool = False) -> tuple[SimpleNamespace, str]:
+    """The frames of the store at ``cache`` where it fits the lines at ``path``, else of those lines, which are then stored; at last of ``sample``, which is not stored."""
+    try:
+        return store.stored(spark, cache, [path], lambda: load_lines(spark, path), force=force)
+    except Exception as e:
+        if sample is None or "FileNotFoundException" not in str(e):
+            raise
+    raw, note = load_or_sample(spark, path, sample)
+    return frames_of(raw), note
+
+
+#: Analyses that can be asked for by name, with the reports each writes.
+ANALYSES = {
+    "cohort": ["cohort_triangle"], "lifecycle": ["lifecycle_monthly", "lifecycle_flows"], "value": ["customer_value"],
+    "returns": ["returns_by_sku"], "pricing": ["price_profile"], "workbook": ["workbook"], "card": ["report_card"], "headlines": ["headlines"],
+}
+
+
 def _percent(df: DataFrame, digits: int, *names: str) -> DataFrame:
     return df.withColumns({n: F.bround(100 * F.col(n), digits) for n in names})
 
@@ -58,16 +78,16 @@ def clv_headline(f: SimpleNamespace) -> str:
     return clv.headline(clv_export(f), checked=clv.validate(f.sales, *window)[1] if window else None)
 
 
-def csv_reports(f: SimpleNamespace, config: pricing.PricingConfig = pricing.PricingConfig()) -> dict[str, tuple[DataFrame, list[str]]]:
-    """Each report with the columns that order its rows."""
+def csv_reports(f: SimpleNamespace, config: pricing.PricingConfig = pricing.PricingConfig()) -> dict:
+    """What makes each report, and the columns that order its rows."""
     grid = lifecycle.grid(f.sales)
     return {
-        "cohort_triangle": (cohort.triangle(f.sales), ["cohort", "k"]),
-        "lifecycle_monthly": (lifecycle.monthly(grid), ["month"]),
-        "lifecycle_flows": (lifecycle.flows(grid), []),
-        "customer_value": (clv_export(f), ["CustomerID"]),
-        "returns_by_sku": (sku_export(f), ["StockCode"]),
-        "price_profile": (price_export(f, config), ["StockCode"]),
+        "cohort_triangle": (lambda: cohort.triangle(f.sales), ["cohort", "k"]),
+        "lifecycle_monthly": (lambda: lifecycle.monthly(grid), ["month"]),
+        "lifecycle_flows": (lambda: lifecycle.flows(grid), lifecycle.flows(grid).columns[:2]),
+        "customer_value": (lambda: clv_export(f), ["CustomerID"]),
+        "returns_by_sku": (lambda: sku_export(f), ["StockCode"]),
+        "price_profile": (lambda: price_export(f, config), ["StockCode"]),
     }
 
 
@@ -124,15 +144,24 @@ def report_card(f: SimpleNamespace) -> str:
     return "\n".join([*lines, *(f"| {d} | {show(a)} | {show(b)} |" for d, a, b in quality.compare(before, after))]) + "\n"
 
 
-def export(f: SimpleNamespace, path: str, config: pricing.PricingConfig = pricing.PricingConfig(), mined: basket.BasketConfig = basket.BasketConfig()) -> list[str]:
-    """Write all reports under ``path`` and return their names. Small results only: each is one file."""
+def export(f: SimpleNamespace, path: str, config: pricing.PricingConfig = pricing.PricingConfig(), mined: basket.BasketConfig = basket.BasketConfig(), only: list[str] | None = None) -> list[str]:
+    """Write the reports under ``path``, all or those of the analyses named by ``only``, and return their names.
+
+    Reports are single CSV files, put in place when they are whole; equal input
+    gives equal bytes.
+    """
+    wanted = {r for a in only or ANALYSES for r in ANALYSES[a]}
     made = []
-    for name, (df, order) in csv_reports(f, config).items():
-        write_report(df, f"{path}/{name}", *(order or df.columns[:2]))
-        made.append(name)
-    made += write_workbook(workbook(f, config, mined), f"{path}/workbook")
+    for name, (df, order) in csv_reports(f, config).items() if wanted - {"workbook", "report_card", "headlines"} else ():
+        if name in wanted:
+            write_csv(df(), f"{path}/{name}.csv", *order)
+            made.append(name)
+    if "workbook" in wanted:
+        made += write_workbook(workbook(f, config, mined), f"{path}/workbook")
     spark = f.raw.sparkSession
-    for name, text in (("report_card", report_card(f)), ("headlines", "\n".join(headlines(f, config)))):
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
-        made.append(name)
+    for name, text in (("report_card", lambda: report_card(f)), ("headlines", lambda: "\n".join(headlines(f, config)))):
+        if name in wanted:
+            spark.createDataFrame([(text(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
+            made.append(name)
+    scratch.clear()
     return made

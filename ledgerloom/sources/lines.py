@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,11 +62,6 @@ def load_lines(spark: SparkSession, *paths: str) -> DataFrame:
     return out
 
 
-def write_report(df: DataFrame, path: str, *order: str) -> None:
-    """A small result as one CSV file with a header, rows in a fixed order."""
-    df.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
-
-
 def write_workbook(tables: dict[str, DataFrame], path: str) -> list[str]:
     """Named result tables as folders of Parquet files; empty ones are left out."""
     made = []
@@ -95,3 +90,45 @@ def sample_lines(df: DataFrame, share: float, seed: int = 42, *strata: str) -> D
     for c in same[1:]:
         on = on & c
     return rows.join(least, on).where(below | (F.col("_u") == F.col("_least"))).select(*df.columns)
+
+
+def sample_strata(df: DataFrame, strata: dict[str, tuple[Column, int]], copies: tuple[list[str], int] | None = None, seed: int = 42) -> DataFrame:
+    """A repeatable sample with exact sizes: of each stratum (condition, k) the k rows of least hash, or all where there are fewer.
+
+    A bottom-k is mergeable: every task keeps k rows, and so does their merge. With
+    ``copies`` (columns, k), all rows of k groups that are equal in these columns
+    and have at least two rows are added, the groups of least hash. A row that is
+    in several strata comes once for each, as drawn; nothing depends on the order
+    or partitions of the input.
+    """
+    spread = lambda names: F.xxhash64(F.lit(seed), *[F.col(c).cast("string") for c in names])
+    out = None
+    for name, (condition, k) in strata.items():
+        order = F.xxhash64(F.lit(name), spread(df.columns))  # each stratum draws for itself
+        part = df.where(condition).withColumn("_u", order).orderBy("_u", *[F.col(c).cast("string") for c in df.columns]).limit(k).drop("_u")
+        out = part if out is None else out.unionAll(part)
+    if copies is not None:
+        names, k = copies
+        groups = df.groupBy(*names).agg(F.count("*").alias("_n")).where("_n > 1").withColumn("_u", spread(names)).orderBy("_u", *[F.col(c).cast("string") for c in names]).limit(k)
+        keys = groups.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(names)])  # k rows
+        same = F.lit(True)
+        for i, c in enumerate(names):
+            same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+        part = df.join(F.broadcast(keys), same, "left_semi")
+        out = part if out is None else out.unionAll(part)
+    return df.limit(0) if out is None else out
+
+
+def fixture(df: DataFrame, share: float = 1.0, seed: int = 42) -> DataFrame:
+    """A small table with every mess that cleaning removes: random lines, cancellations, codes that are no products, prices of zero or less, and whole groups of copies.
+
+    The sizes are those of a 2,000-row fixture times ``share``.
+    """
+    from ..operators import cleaning
+
+    size = lambda n: max(1, round(n * share))
+    strata = {
+        "random": (F.lit(True), size(1600)), "cancellations": (cleaning.is_cancellation(F.col("Invoice")), size(150)),
+        "non_product": (cleaning.is_non_product(F.col("StockCode")), size(100)), "zero_price": (F.col("Price") <= 0, size(60)),
+    }
+    return sample_strata(df.select(*cleaning.KEY), strata, (list(cleaning.KEY), size(20)), seed)

@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.__main__ import main
-from ledgerloom.operators import clv
 from ledgerloom.plans import reports
 from ledgerloom.sources.adapter import raw_lines
 from ledgerloom.sources.lines import sample_lines
@@ -25,12 +24,12 @@ def test_all_reports_are_written(spark, lines, tmp_path, capsys):
     said = capsys.readouterr().out
     assert "does not exist" in said
     made = {os.path.basename(p) for p in glob.glob(str(tmp_path / "out" / "*"))}
-    assert made == {"cohort_triangle", "lifecycle_monthly", "lifecycle_flows", "customer_value", "returns_by_sku", "price_profile", "workbook", "report_card", "headlines"}
+    assert made == {"cohort_triangle.csv", "lifecycle_monthly.csv", "lifecycle_flows.csv", "customer_value.csv", "returns_by_sku.csv", "price_profile.csv", "workbook", "report_card", "headlines"}
     card = "\n".join(r[0] for r in spark.read.text(str(tmp_path / "out" / "report_card")).collect())
     assert "# Data quality" in card and "| overall |" in card
     assert len(spark.read.text(str(tmp_path / "out" / "headlines")).collect()) >= 3
     assert {os.path.basename(p) for p in glob.glob(str(tmp_path / "out" / "workbook" / "*"))} >= {"CleaningReport", "RFM", "Cohort", "CLV", "DataQuality", "WeeklyRevenue"}
-    first = spark.read.option("header", True).csv(str(tmp_path / "out" / "returns_by_sku"))
+    first = spark.read.option("header", True).csv(str(tmp_path / "out" / "returns_by_sku.csv"))
     assert first.count() == reports.sku_export(reports.frames_of(spark.read.parquet(lines))).count()
 
 
@@ -47,8 +46,15 @@ def test_a_sample_keeps_every_stratum(spark):
     assert sample_lines(df, 0.1, 42, "kind").count() == sum(count.values())
 
 
-def test_likelihoods_on_the_executors_are_the_same(spark):
-    rows = [(i % 5, float(3 * (i % 5) + i % 3), 60.0 + i % 9, 20.0 + (i * 7) % 50) for i in range(300)]
-    summary = spark.createDataFrame(rows, "frequency long, recency double, T double, monetary_value double").where("recency <= T")
-    here, there = clv.fit_gamma_gamma(summary), clv.fit_gamma_gamma(summary, held=0)
-    assert (there.p, there.q, there.v) == pytest.approx((here.p, here.q, here.v), rel=1e-3)
+def test_a_cached_run_of_one_analysis(spark, lines, tmp_path, capsys):
+    """The second run reads the store and writes the same bytes."""
+    said, bytes_ = [], []
+    for out in ("a", "b"):
+        assert main([lines, str(tmp_path / out), "--cache", str(tmp_path / "cache"), "--only", "returns", "cohort"]) == 0
+        said.append(capsys.readouterr().out)
+        assert sorted(os.listdir(tmp_path / out)) == ["cohort_triangle.csv", "returns_by_sku.csv"]
+        bytes_.append([(tmp_path / out / n).read_bytes() for n in sorted(os.listdir(tmp_path / out))])
+    assert "stored at" in said[0] and said[1].startswith("the store at") and bytes_[0] == bytes_[1]
+    assert bytes_[0][1].startswith(b"StockCode,Description,sold_units,sold_value,returned_units,returned_value")
+    assert main([str(tmp_path / "none.parquet"), str(tmp_path / "c"), "--cache", str(tmp_path / "other"), "--sample", lines, "--only", "cohort"]) == 0
+    assert "does not exist" in capsys.readouterr().out and not os.path.exists(tmp_path / "other")
