@@ -60,14 +60,25 @@ def sku_export(f: SimpleNamespace) -> DataFrame:
 
 
 def price_export(f: SimpleNamespace, config: pricing.PricingConfig = pricing.PricingConfig()) -> DataFrame:
-    """Profile of each qualifying code with its slopes, rounded; slopes are null where none was fitted."""
-    out = pricing.profile(f.sales, config).join(pricing.slopes(f.sales, config, permute=False), "StockCode", "left")
-    return out.withColumns({c: F.bround(c, 4) for c, kind in out.dtypes if kind == "double"})
+    """Each qualifying code's rungs, prices, shares in percent, and slopes with their permutation test, rounded; slopes are null where none was fitted."""
+    out = _percent(pricing.profile(f.sales, config), 2, "realization", "unit_share_below", "unit_share_at", "unit_share_above")
+    out = out.withColumnsRenamed({c: f"{c}_pct" for c in ("realization", "unit_share_below", "unit_share_at", "unit_share_above")})
+    fitted = pricing.slopes(f.sales, config).select("StockCode", "weeks", "slope_within_week", "slope_between_week", "slope_market_adj", "perm_p")
+    digits = {"revenue": 2, "spread": 3} | dict.fromkeys(("posted_price", "realized_price", "price_p10", "price_p90", "slope_within_week", "slope_between_week", "slope_market_adj", "perm_p"), 4)
+    columns = ["StockCode", "Description", "rungs", "lines", "units", "revenue", "posted_price", "realized_price", "realization_pct", "price_p10", "price_p90", "spread", "unit_share_below_pct", "unit_share_at_pct", "unit_share_above_pct", "weeks", "slope_within_week", "slope_between_week", "slope_market_adj", "perm_p"]
+    return out.join(fitted, "StockCode", "left").withColumns({c: F.bround(c, d) for c, d in digits.items()}).select(columns)
+
+
+def _fits(f: SimpleNamespace) -> tuple:
+    """The summary of customers and both fitted models, fitted once for all reports."""
+    if not hasattr(f, "fits"):
+        summary = clv.summarize(f.sales)
+        f.fits = (summary, clv.fit_bgnbd(summary), clv.fit_gamma_gamma(summary))
+    return f.fits
 
 
 def clv_export(f: SimpleNamespace) -> DataFrame:
-    summary = clv.summarize(f.sales)
-    return clv.clv_table(summary, clv.fit_bgnbd(summary), clv.fit_gamma_gamma(summary))
+    return clv.clv_table(*_fits(f))
 
 
 def clv_headline(f: SimpleNamespace) -> str:
@@ -105,7 +116,8 @@ def workbook(f: SimpleNamespace, config: pricing.PricingConfig = pricing.Pricing
         "Lifecycle": lifecycle.monthly(grid),
         "CLV": clv_export(f).orderBy(F.desc("clv"), "CustomerID").limit(50),
         "Returns": returning.overview(f.sales, f.returns),
-        "PriceLadder": pricing.ladder(f.sales, config),
+        "PriceLadder": price_export(f, config),
+        "PriceRungs": pricing.ladder(f.sales, config),
         "ForecastCV": forecast.summarize(forecast.cross_validate(weeks)),
         "TopSKUs": explore.top_products(f.sales),
         "Rules": basket.first_by_itemset(basket.rules(sets, n, mined)),

@@ -30,6 +30,8 @@ def test_all_reports_are_written(spark, lines, tmp_path, capsys):
     assert len(spark.read.text(str(tmp_path / "out" / "headlines")).collect()) >= 3
     assert {os.path.basename(p) for p in glob.glob(str(tmp_path / "out" / "workbook" / "*"))} >= {"CleaningReport", "RFM", "Cohort", "CLV", "DataQuality", "WeeklyRevenue"}
     first = spark.read.option("header", True).csv(str(tmp_path / "out" / "returns_by_sku.csv"))
+    prices = spark.read.option("header", True).csv(str(tmp_path / "out" / "price_profile.csv"))
+    assert prices.columns[:6] == ["StockCode", "Description", "rungs", "lines", "units", "revenue"] and prices.columns[-1] == "perm_p" and "realization_pct" in prices.columns
     assert first.count() == reports.sku_export(reports.frames_of(spark.read.parquet(lines))).count()
 
 
