@@ -68,4 +68,5 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op2_exact_dedup(spark, sf_dir):
+    """All documents; null ids and texts and repeated rows as in ``exact_dedup``."""
     return exact_dedup(read(spark, sf_dir, "documents"))

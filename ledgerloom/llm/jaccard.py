@@ -352,4 +352,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op5_ngram_jaccard_join(spark, sf_dir):
+    """All documents; those without words link with nothing, null ids and repeated rows as in ``jaccard_groups``."""
     return jaccard_groups(read(spark, sf_dir, "documents")).drop("mark")

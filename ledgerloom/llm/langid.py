@@ -208,6 +208,7 @@ def fold(col: Column | str, parts: int) -> Column:
 
 
 def op8_language_id(spark, sf_dir):
+    """All documents, by a model of the rows outside the held-out quarter; texts that are null or have no letter are ``und``."""
     docs = read(spark, sf_dir, "documents")
     model = fit(docs.where(fold("doc_id", 4) != 2))
     return identify(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")

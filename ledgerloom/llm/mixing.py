@@ -230,4 +230,5 @@ def source_mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def op4_source_mixing(spark, sf_dir):
+    """All documents under the weights 5, 2, 1; null texts have size 0 and null sources come last, as in ``source_mix``."""
     return source_mix(read(spark, sf_dir, "documents"))

@@ -288,4 +288,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
 
 
 def op10_packing(spark, sf_dir):
+    """All documents; null and empty texts are a closing id alone, null ids and repeated rows as in ``pack``."""
     return pack(read(spark, sf_dir, "documents"))

@@ -12,6 +12,8 @@ moving them costs 1. The flow is then realised with whole blocks.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,33 +148,62 @@ def reshard(
     )
 
 
+def _files(spark, path: str):
+    """Hadoop's file system of a path, and what makes its paths."""
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), of
+
+
+def finish(spark, path: str) -> None:
+    """Put new shards that a rewrite had written whole in their place; drop what one that broke off had written.
+
+    Renames and deletions alone, each of which can be done again.
+    """
+    fs, of = _files(spark, path)
+    for found in fs.listStatus(of(path)):
+        at = found.getPath().toString()
+        if "/_reshard-" not in at:
+            continue
+        if fs.exists(of(f"{at}/ready")):
+            for new in fs.listStatus(of(f"{at}/new")):
+                name = new.getPath().getName()
+                if name.startswith("shard="):
+                    fs.delete(of(f"{path}/{name}"), True)
+                    if not fs.rename(new.getPath(), of(f"{path}/{name}")):
+                        raise OSError(f"{name} can't be put in its place")
+            for gone in fs.listStatus(of(f"{at}/emptied")):
+                fs.delete(of(f"{path}/{gone.getPath().getName()}"), True)
+        fs.delete(of(at), True)
+
+
 def rewrite(docs: DataFrame, plan: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write only the shards whose rows change, as ``path/shard=K``.
+    """Write only the shards whose rows change, as ``path/shard=K``, each in as many files as its rows need.
 
     ``docs`` is the table stored under ``path`` partitioned by shard, with unique
     non-null ids; ``plan`` comes from ``reshard(docs, old_shard="shard", ...)``.
-    Shards that neither lose nor gain a row keep their files.
+    Shards that neither lose nor gain a row keep their files. New shards are
+    written whole beside the old ones first; a run that fails until then leaves the
+    table as it was, and one that fails while they are put in place is completed by
+    ``finish``, which must come before another rewrite.
     """
     spark = docs.sparkSession
+    fs, of = _files(spark, path)
+    if any(fs.exists(of(f"{f.getPath().toString()}/ready")) for f in fs.listStatus(of(path))):
+        raise RuntimeError(f"a rewrite of {path} broke off; finish(spark, path) completes it, and then the table must be read again")
     moved = plan.where("moved")
     touched = moved.select("shard").union(moved.select("old_shard")).distinct()
     new = plan.join(F.broadcast(touched), "shard", "left_semi").select(F.col("doc_id").alias(id_col), "shard", "slot")
-    out = docs.drop("shard", "slot").join(new, id_col)
-    fresh = written(out, "reshard-files")
     emptied = touched.join(new.select("shard").distinct(), "shard", "left_anti").collect()
-    (
-        fresh.repartition("shard")
-        .sortWithinPartitions("shard", "slot")
-        .write.option("partitionOverwriteMode", "dynamic")
-        .mode("overwrite")
-        .partitionBy("shard")
-        .parquet(path)
-    )
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    at = f"{path}/_reshard-{uuid.uuid4().hex}"
+    out = docs.drop("shard", "slot").join(new, id_col)
+    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(f"{at}/new")
+    fs.mkdirs(of(f"{at}/emptied"))
     for row in emptied:
-        gone = fs_path(f"{path}/shard={row[0]}")
-        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+        fs.mkdirs(of(f"{at}/emptied/shard={row[0]}"))
+    fs.create(of(f"{at}/ready"), True).close()
+    finish(spark, path)
 
 
 def op7_resharding(spark, sf_dir):
+    """All documents by the law of equal bytes; null ids and texts and equal texts as in ``reshard``."""
     return reshard(read(spark, sf_dir, "documents"))

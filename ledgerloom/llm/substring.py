@@ -359,4 +359,5 @@ def substring_dedup(docs: DataFrame, span: int = SPAN, k: int = K, keep_text: bo
 
 
 def op1_substring_dedup(spark, sf_dir):
+    """All documents, judged against all; null ids and texts and repeated rows as in ``substring_dedup``."""
     return substring_dedup(read(spark, sf_dir, "documents"))

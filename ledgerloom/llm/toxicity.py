@@ -25,10 +25,8 @@ from pyspark.sql import functions as F
 from .common import byte_batches, doc_hash, read
 from .langid import fold as split_fold
 
-#: Labelled rows used to fit, about.
+#: Labelled rows used to fit, about. What they hold bounds the lexicon, the exceptions and all that comes to the driver.
 SAMPLE = 8000
-#: Entries of the lexicon at most.
-ENTRIES = 2000
 #: Least share of toxic training rows that hold an entry, and least share of the rows that hold it that are toxic.
 SUPPORT, PRECISION = 0.02, 0.9
 SHORTEST, LONGEST = 3, 10
@@ -151,7 +149,7 @@ def _entries(found: dict[str, tuple[int, int]], n_good: int, n_bad: int) -> dict
         full.add(t)
     kept: dict[str, float] = {}
     for t in sorted(full, key=lambda t: (len(t), t)):
-        if not any(t[:k] in kept for k in range(SHORTEST, len(t))) and len(kept) < ENTRIES:
+        if not any(t[:k] in kept for k in range(SHORTEST, len(t))):
             good, bad = some[t]
             kept[t] = math.log((bad + 0.5) / (n_bad + 1)) - math.log((good + 0.5) / (n_good + 1))
     return kept
@@ -168,8 +166,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, exceptions: tuple[str, ...] =
     rows = _sample(labelled, sample)
     counts = _counted(rows, _beginnings)
     none, likely = F.col("term") == "", (F.col("bad") >= 3) & (F.col("bad") >= PRECISION * (F.col("good") + F.col("bad")))
-    # No more than the ENTRIES / SUPPORT best supported: a fixed bound on what is collected.
-    found = {r["term"]: (r["good"], r["bad"]) for r in counts.where(none | likely).orderBy(F.desc(none), F.desc("bad"), "term").limit(int(ENTRIES / SUPPORT)).collect()}
+    found = {r["term"]: (r["good"], r["bad"]) for r in counts.where(none | likely).collect()}
     n_good, n_bad = found.pop("", (0, 0))
     lexicon = Lexicon(_entries(found, n_good, n_bad), tuple(exceptions))
     if lexicon.weights:
@@ -186,8 +183,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, exceptions: tuple[str, ...] =
                 out |= {x for x in (f"{before} {here}" if before else "", f"{here} {after}" if after else "") if x}
             return out
 
-        spared = _counted(rows, phrases).where((F.col("term") != "") & (F.col("bad") == 0) & (F.col("good") >= HARMLESS)).orderBy(F.desc("good"), "term").limit(ENTRIES)
-        lexicon.exceptions += tuple(r["term"] for r in spared.collect())
+        spared = _counted(rows, phrases).where((F.col("term") != "") & (F.col("bad") == 0) & (F.col("good") >= HARMLESS)).select("term")
+        lexicon.exceptions += tuple(sorted(r["term"] for r in spared.collect()))
 
     def weighed(batches):
         made = lexicon.automaton()
@@ -236,6 +233,7 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
 
 
 def op9_toxicity(spark, sf_dir):
+    """All documents, scored by a lexicon of the labelled rows outside the held-out fifth; null ids and texts as in ``score``."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     labelled = docs.select("doc_id", "text").join(labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where("label is not null"), "doc_id").where(split_fold("doc_id", 5) != 0)
     lexicon = fit(labelled)

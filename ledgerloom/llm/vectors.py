@@ -473,5 +473,6 @@ def _exact_links(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
 
 
 def op6_embedding_near_dedup(spark, sf_dir):
+    """All vectors; unusable ones link with nothing, null ids and repeated rows as in ``link_vectors``."""
     out, recall = link_vectors(read(spark, sf_dir, "embeddings"))
     return out.withColumn("audited_recall", F.lit(recall))
