@@ -1,7 +1,12 @@
 """The pipeline's stages, each on what the one before kept."""
 
+import glob
+from collections import Counter
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from ledgerloom.llm import registry
+from ledgerloom.llm import common, registry
 
 
 def test_stages(spark, rows, docs, none, tmp_path):
@@ -33,5 +38,23 @@ def test_empty(spark, none, tmp_path):
 
 def test_registry():
     names = set(registry.queries())
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
+    assert all(f.__doc__ for n, f in registry.queries().items())
     assert set(registry.oracle_sql()) <= names
+
+
+def test_run(spark, docs, tmp_path):
+    """The whole pipeline over a folder: null ids, repeated rows and columns with clashing names; it gives what its stages give, and leaves no stage's table but the last."""
+    some = docs.where("doc_id < 200")
+    odd = some.unionAll(some.where("doc_id < 40")).unionAll(some.where("doc_id < 20").withColumn("doc_id", F.lit(None).cast("long")))
+    odd.coalesce(3).write.parquet(str(tmp_path / "documents.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, str(tmp_path))
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    before = set(glob.glob(common.shared_dir(spark).removeprefix("file://") + "/stage-*"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    left = set(glob.glob(common.shared_dir(spark).removeprefix("file://") + "/stage-*")) - before
+    assert [x.split("/")[-1].rsplit("-", 1)[0] for x in left] == ["stage-source_mixing"]
+    got = Counter(tuple(r) for r in out.select(*columns).collect())
+    assert got == Counter(tuple(r) for r in now.select(*columns).collect()) and got
