@@ -51,19 +51,21 @@ def match_to_sales(sales: DataFrame, returns: DataFrame, slice_of: str = "MONTH"
     slice takes the last sale of the slices before, one row for each slice. No pair
     of rows is ever formed.
     """
-    key = ["CustomerID", "StockCode"]
+    # A missing code is a code of its own; without nulls, the window's partitions serve the join too.
+    key, code = ["CustomerID", "code"], F.coalesce("StockCode", F.lit("\0")).alias("code")
     known = F.col("CustomerID").isNotNull()
-    past = sales.where(known).select(*key, F.col("InvoiceDate").alias("at")).distinct().select(*key, "at", F.col("at").alias("sold"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("Invoice"), F.lit(None).cast("double").alias("returned_value"))
-    back = returns.where(known).select(*key, F.col("InvoiceDate").alias("at"), F.lit(None).cast("timestamp").alias("sold"), F.lit(1).alias("kind"), "Invoice", (-F.col("Revenue")).alias("returned_value"))
+    past = sales.where(known).select("CustomerID", code, F.col("InvoiceDate").alias("at")).distinct().select(*key, "at", F.col("at").alias("sold"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("Invoice"), F.lit(None).cast("double").alias("returned_value"))
+    back = returns.where(known).select("CustomerID", code, F.col("InvoiceDate").alias("at"), F.lit(None).cast("timestamp").alias("sold"), F.lit(1).alias("kind"), "Invoice", (-F.col("Revenue")).alias("returned_value"))
     both = past.unionAll(back).withColumn("slice", F.date_trunc(slice_of, "at"))
     inside = Window.partitionBy(*key, "slice").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     here = both.withColumn("own", F.last("sold", ignorenulls=True).over(inside)).where("kind = 1")
+    # The last sale of each slice needs no distinct sales.
+    ends = [df.where(known).select("CustomerID", code, F.date_trunc(slice_of, "InvoiceDate").alias("slice"), sold.alias("sold"), F.lit(kind).alias("kind")) for df, sold, kind in ((sales, F.col("InvoiceDate"), 0), (returns, F.lit(None).cast("timestamp"), 1))]
     before = Window.partitionBy(*key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = both.groupBy(*key, "slice").agg(F.max("sold").alias("latest"), F.max("kind").alias("returned"))
-    carried = slices.withColumn("carried", F.max("latest").over(before)).where("returned = 1").select(*[F.col(c).alias(f"_{c}") for c in (*key, "slice")], "carried")
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*key, "slice")]
-    out = here.join(carried, same[0] & same[1] & same[2], "left").withColumn("SaleDate", F.coalesce("own", "carried"))
-    return out.select("Invoice", *key, F.col("at").alias("InvoiceDate"), "returned_value", "SaleDate", floor_days(F.col("at"), F.col("SaleDate")).alias("days_to_return"))
+    slices = ends[0].unionAll(ends[1]).groupBy(*key, "slice").agg(F.max("sold").alias("latest"), F.max("kind").alias("returned"))
+    carried = slices.withColumn("carried", F.max("latest").over(before)).where("returned = 1 AND carried IS NOT NULL").select(*key, "slice", "carried")
+    out = here.join(carried, [*key, "slice"], "left").withColumn("SaleDate", F.coalesce("own", "carried"))
+    return out.select("Invoice", "CustomerID", F.nullif("code", F.lit("\0")).alias("StockCode"), F.col("at").alias("InvoiceDate"), "returned_value", "SaleDate", floor_days(F.col("at"), F.col("SaleDate")).alias("days_to_return"))
 
 
 def match_stats(returns: DataFrame, matched: DataFrame) -> DataFrame:

@@ -111,6 +111,8 @@ def test_one_pair_is_many_tasks(spark):
     plan = returning.match_to_sales(c.sales, c.returns)._jdf.queryExecution().executedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [last(" in line]
     assert windows and all("slice#" in w.split("], [")[1] for w in windows)
+    # The join takes the windows' partitions as they are: of its sides, only the slices move again.
+    assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning(CustomerID#") <= 5
 
 
 # ---- baskets ---------------------------------------------------------------------
