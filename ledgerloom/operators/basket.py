@@ -128,6 +128,7 @@ def itemsets(pairs: DataFrame, config: BasketConfig = BasketConfig()) -> tuple[D
     are bounded by the tracked items and held on the driver.
     """
     spark = pairs.sparkSession
+    pairs = hold(pairs, "pairs")  # read for the numbers of baskets, the bitmaps and the count
     blocks = hold(vertical(pairs), "baskets")
     n = pairs.select(F.count_distinct("Invoice")).first()[0]
     least = min_count(config.min_support, n)
