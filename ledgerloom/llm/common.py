@@ -121,6 +121,14 @@ def doc_hash(*cols, seed: int):
     return F.xxhash64(F.lit(seed), *cols)
 
 
+def place_of_null(id_col: str):
+    """A row's place where its id is null, else null; hashed beside the id, it spreads rows that have none.
+
+    To be written with the table: a place read twice from a plan need not be the same.
+    """
+    return F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
+
+
 # ---- vectorised hashing --------------------------------------------------
 
 _U = np.uint64

@@ -171,13 +171,31 @@ def _chosen(rows: DataFrame, all_of: DataFrame, base: dict[str, int], want: dict
     if any(ties for s in steps.values() for *_, ties in s):  # of rows that share the hash at a cut, only some are taken
         at_cut = F.filter("_steps", lambda s: inside(s) & (F.col("_hash") == s["cut"]) & (s["ties"] > 0))
         out = out.withColumn("_ties", F.coalesce(F.get(at_cut, F.lit(0))["ties"], F.lit(0)))
-        rank = F.row_number().over(Window.partitionBy("pattern", "_hash").orderBy("size"))
-        tied = out.where("_ties > 0").withColumn("copies", F.col("copies") + (rank <= F.col("_ties")).cast("int"))
-        out = out.where("_ties = 0").unionAll(tied)
+        tied = _tied(out.where("_ties > 0"))
+        out = out.where("_ties = 0").unionAll(tied.select(*out.columns))
     out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("copies")).otherwise(0))
     return out.select("doc_id", "size", "pattern", "copies", *[c for c in all_of.columns if c == "row"])
 
 
+#: Parts in which rows that share a hash are numbered.
+TIE_PARTS = 1024
+
+
+def _tied(rows: DataFrame) -> DataFrame:
+    """Rows that share the hash of a cut, with one more copy of the first ``_ties`` of each.
+
+    They may be any number (null ids with one text): numbered in parts by place,
+    and the counts of the parts before are added.
+    """
+    rows = written(rows.withColumn("_place", F.monotonically_increasing_id()), "mix-ties")
+    rows = rows.withColumn("_part", F.pmod(doc_hash("_place", seed=SEED), F.lit(TIE_PARTS)))
+    part, tie = ["pattern", "_hash", "_part"], Window.partitionBy("pattern", "_hash").orderBy("_part")
+    upto = F.sum("n").over(tie.rowsBetween(Window.unboundedPreceding, -1))
+    before = rows.groupBy(*part).agg(F.count("*").alias("n")).select(*part, F.coalesce(upto, F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy(*part).orderBy("_place")) + F.col("_before")
+    return rows.join(before, part).withColumn("copies", F.col("copies") + (rank <= F.col("_ties")).cast("int"))
+
+
 def _cuts(rows: DataFrame, wanted: list[tuple[str, int, int, int]]) -> dict[str, tuple[int, int, int]]:
     """For (pattern, behind, most, want): (cut, rows to take at the cut, sizes taken).
 

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import KEPT, doc_hash, read, slices, written
+from .common import KEPT, doc_hash, place_of_null, read, slices, written
 
 WINDOW = 2048
 END = 1
@@ -236,12 +236,13 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
 
     Each id of each document, and the closing id ``end``, lies in exactly one
     piece. A null or empty text is the closing id alone. Repeated rows are packed
-    as often as they come; null ids are kept. An empty table gives no pieces. The
+    as often as they come; null ids are kept, spread by their place in the table. An empty table gives no pieces. The
     vocabulary file named by ``tokenizer`` must be readable on every machine.
     """
     path = tokenizer or default_tokenizer()
     spark = docs.sparkSession
-    rows = written(tokenized(docs, path, window, end, keep_ids, id_col, text_col), "tokens")
+    rows = tokenized(docs, path, window, end, keep_ids, id_col, text_col)
+    rows = written(rows.withColumn("place", place_of_null("doc_id")), "tokens")
     rows = rows.withColumn("tail", (F.col("doc_tokens") % window).cast("int")).withColumn("full", F.floor(F.col("doc_tokens") / window).cast("int"))
     counts = {r[0]: r[1] for r in rows.where("tail > 0").groupBy("tail").agg(F.count("*")).collect()}
     patterns = fill(counts, window)
@@ -251,7 +252,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     dealt = spark.createDataFrame([(n, -(-c * groups // total)) for n, c in counts.items()] or [(0, 1)], "tail int, parts int")
     spots = spark.createDataFrame(places(patterns) or [(0, 0, 0, 0, 1, 0)], "spot int, a long, b long, first_window long, uses int, base int")
     order = ["doc_id", "doc_tokens", "crcs"]
-    tails = rows.where("tail > 0").join(F.broadcast(dealt), "tail").withColumn("part", F.pmod(doc_hash("doc_id", seed=SEED), F.col("parts")).cast("int"))
+    tails = rows.where("tail > 0").join(F.broadcast(dealt), "tail").withColumn("part", F.pmod(doc_hash("doc_id", "place", seed=SEED), F.col("parts")).cast("int"))
     upto = Window.partitionBy("tail").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = tails.groupBy("tail", "part").agg(F.count("*").alias("n")).select("tail", "part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
     tails = tails.withColumn("k", F.row_number().over(Window.partitionBy("tail", "part").orderBy(*order))).join(F.broadcast(first), ["tail", "part"])
@@ -269,7 +270,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
         (F.col("base") + (r % F.col("uses")) * F.col("tail")).cast("long").alias("offset"),
         *([F.expr(f"substring(ids, full * {4 * window} + 1, tail * 4)").alias("ids")] * keep_ids),
     )
-    whole = rows.where("full > 0").withColumn("part", F.pmod(doc_hash("doc_id", seed=SEED + 1), F.lit(groups)).cast("int"))
+    whole = rows.where("full > 0").withColumn("part", F.pmod(doc_hash("doc_id", "place", seed=SEED + 1), F.lit(groups)).cast("int"))
     behind = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = whole.groupBy("part").agg(F.sum("full").alias("n")).select("part", F.coalesce(F.sum("n").over(behind), F.lit(0)).alias("before"))
     own = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

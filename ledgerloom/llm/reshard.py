@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_hash, read, written
+from .common import doc_hash, place_of_null, read, written
 from .flow import MinCostFlow
 
 SEED = 0x5EED
@@ -93,8 +93,9 @@ def reshard(
     that of its bytes (null: of none, 0). ``old_shard`` names a column with the
     present shard; without one, the old layout is the text's hash modulo
     ``n_old``. Slots are gapless from 0 in each shard, in an order fixed by the
-    id. Null ids are rows like others; repeated rows each get a slot. Null and
-    empty texts are one group. An empty table gives an empty result. The law
+    id. Null ids are rows like others, spread by their place in the table, which
+    also decides their slots; repeated rows each get a slot. Null and empty texts
+    are one group. An empty table gives an empty result. The law
     kept is ``bytes``: shards differ by about a block, unless one group makes
     that impossible. ``grown_shard`` belongs to another law and is null.
     """
@@ -105,6 +106,7 @@ def reshard(
     if old_shard is not None:
         picked.append(F.col(old_shard).alias("present"))
     rows = docs.select(*picked).withColumn("size", F.col("bytes") + 1).withColumn("old_shard", old).drop("present", "bytes")
+    rows = rows.withColumn("place", place_of_null("doc_id"))
     rows = written(rows, "reshard-rows")
     total = rows.agg(F.sum("size")).first()[0]
     spark = docs.sparkSession
@@ -118,7 +120,7 @@ def reshard(
     heavy = heavy.withColumn("pieces", F.when(F.col("group_bytes") > capacity, F.ceil(8 * F.col("group_bytes") / F.lit(capacity))).otherwise(1).cast("int"))
     heavy = written(heavy, "reshard-heavy")
     rows = rows.join(F.broadcast(heavy), ["group", "old_shard"], "left")
-    piece = F.pmod(doc_hash("doc_id", seed=SEED), F.col("pieces"))
+    piece = F.pmod(doc_hash("doc_id", "place", seed=SEED), F.col("pieces"))
     block = F.when(F.col("pieces").isNull(), F.pmod(F.shiftright("group", 8), F.lit(blocks)).cast("string")).otherwise(F.concat_ws(":", F.col("group").cast("string"), piece.cast("string")))
     rows = rows.withColumn("block", block)
     sums = [(r[0], r[1], r[2]) for r in rows.groupBy("old_shard", "block").agg(F.sum("size")).collect()]
@@ -128,7 +130,7 @@ def reshard(
     moves = plan_moves(sizes, sums, n_new)
     table = spark.createDataFrame([(o, b, k) for (o, b), k in sorted(moves.items())], "old_shard int, block string, shard int")
     rows = rows.join(F.broadcast(table), ["old_shard", "block"])
-    rows = rows.withColumn("chunk", F.pmod(doc_hash("doc_id", "group", seed=SEED + 1), F.lit(chunks)).cast("int"))
+    rows = rows.withColumn("chunk", F.pmod(doc_hash("doc_id", "group", "place", seed=SEED + 1), F.lit(chunks)).cast("int"))
     # n_new * chunks rows at most: cumulative counts turn a rank in a chunk into a slot.
     counts = rows.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
