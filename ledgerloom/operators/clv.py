@@ -204,11 +204,12 @@ def expected_purchases(p: BgNbd, t: float, x, t_x, T) -> np.ndarray:
     return lead * -np.expm1(log_tail) / (1 + odds)
 
 
-def expected_purchases_of_new(p: BgNbd, t: float) -> float:
-    """E[X(t)] of a customer just acquired."""
+def expected_purchases_of_new(p: BgNbd, t):
+    """E[X(t)] of a customer just acquired, for one number of days or many."""
+    t = np.asarray(t, float)
     z = t / (p.alpha + t)
     log_tail = p.r * (np.log(p.alpha) - np.log(p.alpha + t)) + log_hyp2f1(p.r, p.b, p.a + p.b - 1, z)
-    return float((p.a + p.b - 1) / (p.a - 1) * -np.expm1(log_tail))
+    return (p.a + p.b - 1) / (p.a - 1) * -np.expm1(log_tail)
 
 
 def prob_alive(p: BgNbd, x: Column, t_x: Column, T: Column) -> Column:
@@ -228,6 +229,38 @@ def log_likelihood(summary: DataFrame, p: BgNbd) -> DataFrame:
     return summary.agg(F.count("*").alias("customers"), F.sum(ll.cast("decimal(28,10)")).cast("double").alias("ll"))
 
 
+def value_log_likelihood(summary: DataFrame, g: GammaGamma) -> DataFrame:
+    """One row on repeat customers with a positive value: log-likelihood of fixed parameters, correlation of frequency and value, population mean.
+
+    Gamma functions depend on the frequency alone and are worked out once for each.
+    """
+    x, m = F.col("frequency").cast("double"), F.col("monetary_value")
+    exact = lambda c: F.sum(c.cast("decimal(38,10)"))
+    own = summary.where("frequency > 0 and monetary_value > 0")
+
+    @F.pandas_udf("double")
+    def beta(x: pd.Series) -> pd.Series:
+        return pd.Series(log_beta(g.p * x.to_numpy(float), g.q))
+
+    part = F.lit(g.q * float(np.log(g.v))) + (g.p * x - 1) * F.ln(m) + g.p * x * F.ln(x) - (g.p * x + g.q) * F.ln(g.v + x * m)
+    by_x = own.groupBy(x.alias("x")).agg(F.count("*").alias("n"), exact(part).alias("s"))
+    ll = by_x.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("customers"), (F.sum("s").cast("double") - exact(F.col("n") * beta("x")).cast("double")).alias("ll"))
+    same = own.agg((F.covar_pop(x, m) / F.nullif(F.stddev_pop(x) * F.stddev_pop(m), F.lit(0.0))).alias("correlation"))
+    return ll.crossJoin(same).withColumn("population_mean", F.lit(g.population_mean()))
+
+
+def tracking(summary: DataFrame, p: BgNbd, days: int = 90) -> DataFrame:
+    """(age, customers, expected, actual) by age in spans of ``days``: repeat purchases that new customers would have made by now, and those made."""
+
+    @F.pandas_udf("double")
+    def since_first(T: pd.Series) -> pd.Series:
+        return pd.Series(expected_purchases_of_new(p, T.to_numpy(float)))
+
+    ages = summary.groupBy("T").agg(F.count("*").alias("n"), F.sum("frequency").alias("x"))  # one row a day at most
+    rows = ages.withColumn("e", F.col("n") * since_first("T"))
+    return rows.groupBy(F.floor(F.col("T") / days).cast("int").alias("age")).agg(F.sum("n").alias("customers"), F.sum(F.col("e").cast("decimal(28,10)")).cast("double").alias("expected"), F.sum("x").alias("actual"))
+
+
 def expected_value(g: GammaGamma, x: Column, m: Column) -> Column:
     """Own mean drawn towards the population's; the more repeat purchases, the less."""
     weight = F.lit(g.p) * x / (F.lit(g.p) * x + F.lit(g.q - 1))

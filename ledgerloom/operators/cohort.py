@@ -53,11 +53,16 @@ def wide(cells: DataFrame, offsets: int) -> DataFrame:
     return cells.groupBy("cohort", "label", "size").pivot("k", list(range(offsets + 1))).agg(F.first("retention") * 100).select("cohort", "label", "size", *[F.col(str(k)).alias(f"m{k}") for k in range(offsets + 1)])
 
 
+def movement(cells: DataFrame) -> DataFrame:
+    """One row: retention in months 1 and 6, points moved, and the verb for it; null where a month is not complete."""
+    at = lambda k: F.max(F.when(F.col("k") == k, F.col("retention")))
+    out = curve(cells).agg(at(1).alias("month_1"), at(6).alias("month_6")).withColumn("points", 100 * (F.col("month_6") - F.col("month_1")))
+    return out.withColumn("verb", F.when(F.abs("points") < 2, "holds").when(F.col("points") > 0, "rises").when(F.col("points") < 0, "falls"))
+
+
 def headline(cells: DataFrame) -> str:
     """Months 1 and 6 in a sentence."""
-    got = {r["k"]: r["retention"] for r in curve(cells).where("k in (1, 6)").collect()}
-    if 1 not in got or 6 not in got:
+    row = movement(cells).first()
+    if row["points"] is None:
         return "Too few complete months for a retention headline."
-    moved = 100 * (got[6] - got[1])
-    verb = "holds" if abs(moved) < 2 else "rises" if moved > 0 else "falls"
-    return f"Retention {verb} from {100 * got[1]:.1f}% in month 1 to {100 * got[6]:.1f}% in month 6."
+    return f"Retention {row['verb']} from {100 * row['month_1']:.1f}% in month 1 to {100 * row['month_6']:.1f}% in month 6."

@@ -14,7 +14,7 @@ from .returning import descriptions
 MODELS = {"seasonal_naive": K.seasonal_naive, "holt_winters": K.holt_winters_tuned, "lag_linear": K.lag_linear}
 BASELINES = ("naive", "seasonal_naive", "ma4")
 #: What SQL can call by name; models of one's own can be registered beside them.
-ALL_MODELS = MODELS | {"naive": K.naive, "ma4": K.moving_average}
+ALL_MODELS = MODELS | {"holt_winters_fixed": K.holt_winters, "naive": K.naive, "ma4": K.moving_average}
 
 
 def weekly_totals(lines: DataFrame, value: Column, ts: str = "InvoiceDate") -> DataFrame:

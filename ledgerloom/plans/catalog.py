@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..operators import basket, cleaning, clv, cohort, explore, forecast, lifecycle, pricing, quality, returning, rfm
 from ..sources.adapter import raw_lines
-from .oracles import ORACLES
+from ..sources.lines import typed
+from . import reports
+from .oracles import EUROPE, ORACLES
 
 _HELD: dict[tuple[str, str], SimpleNamespace] = {}
 BASKET = basket.BasketConfig(top_items=25, min_support=0.005, min_confidence=0.03, min_lift=1.0)
@@ -85,6 +87,38 @@ def _quality(f):
     return quality.findings(f.raw.drop("SourceSheet"), config), config
 
 
+def _inferred(f):
+    """Findings of the lines under a config inferred from their types."""
+    return quality.findings(f.raw.select(*cleaning.KEY))
+
+
+def _domain(f):
+    """Lines whose country is not among those of Europe."""
+    return quality.findings(f.raw.select("Country"), quality.QualityConfig(columns={"Country": quality.ColumnRule(allowed=EUROPE)}, dedup_columns=()))
+
+
+def _compared(f):
+    """Scores of the raw lines and of the cleaned sales by dimension, the total first."""
+    cards = [quality.assess(x.select(*cleaning.KEY), quality.retail_config()) for x in (f.raw, f.sales)]
+    return f.raw.sparkSession.createDataFrame(quality.compare(*cards), "dimension string, before double, after double")
+
+
+def _loaded(f):
+    """The raw lines as text, as a CSV file has them, typed again and summed by sheet."""
+    text = f.raw.select("Invoice", "StockCode", "Description", F.concat(F.col("Quantity").cast("string"), F.lit(".0")).alias("Quantity"), F.date_format("InvoiceDate", "yyyy-MM-dd HH:mm:ss").alias("InvoiceDate"), F.col("Price").cast("string").alias("Price"), F.concat(F.col("CustomerID").cast("string"), F.lit(".0")).alias("Customer ID"), "Country", "SourceSheet")
+    out = typed(text).groupBy("SourceSheet").agg(
+        F.count("*").alias("lines"), F.count("Description").alias("described"), F.sum("Quantity").alias("units"), F.sum(F.col("Price").cast("decimal(18,6)")).cast("double").alias("prices"),
+        F.count("CustomerID").alias("known"), F.sum("CustomerID").alias("customers"), F.min("InvoiceDate").alias("first"), F.max("InvoiceDate").alias("last"),
+    )
+    return _day(out, "first", "last")
+
+
+def _fp_growth(f):
+    """Itemsets mined by MLlib's FP-growth from all baskets."""
+    _, n, pairs = _sets(f)
+    return basket.fp_growth(pairs, n, BASKET)
+
+
 def _assessed(f, frame="raw"):
     card = quality.assess(getattr(f, frame).select(*cleaning.KEY), quality.retail_config())
     return f.raw.sparkSession.createDataFrame([(d, s, st, card.score, card.grade) for d, (s, st) in card.dimensions.items()], "dimension string, score double, status string, total double, grade string")
@@ -130,6 +164,7 @@ def _errors(f):
 
 
 _MADE = {
+    "src3_typed_lines": _loaded,
     "ing1_raw_quality_report": lambda f: cleaning.raw_report(f.raw),
     "cln1_dedup": lambda f: _day(f.raw.select(*cleaning.KEY).dropDuplicates(), "InvoiceDate"),
     "cln2_cancellations": _cln2,
@@ -154,6 +189,7 @@ _MADE = {
     "ret6_by_country": lambda f: returning.by_country(f.sales, f.returns),
     "ret7_monthly": lambda f: returning.monthly(f.sales, f.returns),
     "ret8_concentration": lambda f: returning.concentration(returning.by_sku(f.sales, f.returns)),
+    "ret9_sku_export": lambda f: reports.sku_export(f),
     "rfm1_table": lambda f: rfm.rfm_table(f.sales),
     "rfm2_scores": lambda f: rfm.scores(rfm.rfm_table(f.sales)),
     "rfm3_segments": lambda f: rfm.segments(rfm.rfm_table(f.sales)).select("CustomerID", "R", "F", "Segment"),
@@ -164,6 +200,7 @@ _MADE = {
     "coh4_triangle": lambda f: cohort.triangle(f.sales),
     "coh5_curve": lambda f: cohort.curve(cohort.triangle(f.sales)),
     "coh6_wide": lambda f: cohort.wide(cohort.triangle(f.sales), 12),
+    "coh7_movement": lambda f: _rounded(cohort.movement(cohort.triangle(f.sales)), 10, "month_1", "month_6", "points"),
     "lif1_coverage": lambda f: lifecycle.coverage(f.sales),
     "lif4_stages": lambda f: lifecycle.grid(f.sales).drop("revenue"),
     "lif5_monthly": lambda f: lifecycle.monthly(lifecycle.grid(f.sales)),
@@ -174,7 +211,9 @@ _MADE = {
     "clv2_log_likelihood": lambda f: _rounded(clv.log_likelihood(clv.summarize(f.sales), BGNBD), 4, "ll"),
     "clv3_fit": _clv_fit,
     "clv4_expected_purchases": lambda f: clv.predicted(clv.summarize(f.sales), BGNBD, 180).select("CustomerID", F.round("predicted", 6).alias("predicted")),
+    "clv5_tracking": lambda f: _rounded(clv.tracking(clv.summarize(f.sales), BGNBD), 5, "expected"),
     "clv6_prob_alive": lambda f: clv.summarize(f.sales).select("CustomerID", F.round(clv.prob_alive(BGNBD, F.col("frequency"), F.col("recency"), F.col("T")), 8).alias("prob_alive")),
+    "clv7_value_log_likelihood": lambda f: _rounded(clv.value_log_likelihood(clv.summarize(f.sales), GAMMA), 4, "ll", "correlation", "population_mean"),
     "clv8_expected_value": lambda f: clv.summarize(f.sales).select("CustomerID", F.round(clv.expected_value(GAMMA, F.col("frequency"), F.col("monetary_value")), 6).alias("expected_value")),
     "clv9_table": _clv_table,
     "clv10_holdout_actuals": lambda f: clv.holdout_actuals(f.sales, *_holdout(f)).drop("monetary_value"),
@@ -185,6 +224,8 @@ _MADE = {
     "clv13_concentration": lambda f: clv.concentration(rfm.rfm_table(f.sales), "Monetary"),
     "clv14_lorenz": lambda f: clv.lorenz(rfm.rfm_table(f.sales), "Monetary"),
     "fc1_weekly_revenue": lambda f: _day(forecast.weekly_revenue(f.sales), "week"),
+    "fc3_holt_winters": lambda f: _rounded(forecast.code_forecasts(f.sales, ["holt_winters_fixed"]), 6, "forecast"),
+    "fc4_tuned_holt_winters": lambda f: _rounded(forecast.code_forecasts(f.sales, ["holt_winters"]), 6, "forecast"),
     "fc6_baseline_errors": lambda f: _rounded(_rounded(_errors(f), 2, "mae"), 6, "mase"),
     "fc7_folds": lambda f: forecast.fold_origins(_weeks(f)),
     "fc8_baseline_summary": lambda f: _rounded(_rounded(forecast.summarize(_errors(f)), 6, "mean_mase", "worst_mase"), 2, "mean_mae"),
@@ -198,6 +239,7 @@ _MADE = {
     "bsk3_survivors": lambda f: basket.survivors(f.sales, basket.catalog(f.sales, BASKET.top_items)),
     "bsk5_itemsets": lambda f: _sets(f)[0],
     "bsk6_cross_check": _cross_check,
+    "bsk9_fp_growth": _fp_growth,
     "bsk7_rules": lambda f: _rounded(_rules(f), 8, "support", "confidence", "lift", "leverage", "conviction"),
     "bsk8_best_rules": lambda f: _rounded(basket.first_by_itemset(_rules(f)).select("antecedent", "consequent", "itemset", "lift"), 8, "lift"),
     "prc4_qualifying": lambda f: pricing.qualifying(f.sales, PRICING),
@@ -208,6 +250,10 @@ _MADE = {
     "prc9_permutation_test": lambda f: pricing.slopes(f.sales, PRICING),
     "prc10_slopes": lambda f: _rounded(pricing.slopes(f.sales, PRICING, permute=False), 6, "slope_within_week", "slope_between_week", "slope_market_adj"),
     "prc11_overview": lambda f: _rounded(_rounded(_rounded(pricing.overview(f.sales, pricing.profile(f.sales, PRICING), pricing.slopes(f.sales, PRICING, permute=False)), 8, "median_spread", "unit_share_below", "unit_share_at", "unit_share_above", "realization"), 6, "median_slope_within_week", "median_slope_between_week", "median_slope_market_adj", "slope_agreement_corr"), 4, "revenue_at_posted"),
+    "prc12_export": lambda f: reports.price_export(f, PRICING, permute=False),
+    "qlt5_domain": _domain,
+    "qlt7_inferred_findings": _inferred,
+    "qlt14_compared": _compared,
     "qlt_findings": lambda f: _quality(f)[0],
     "qlt_scores": lambda f: quality.scored(*_quality(f)).select("dimension", "check", "score", "status"),
     "qlt13_dimensions": lambda f: quality.by_dimension(quality.scored(*_quality(f))),

@@ -151,6 +151,23 @@ cerr AS (SELECT a.StockCode, max(a.len) AS len, count(*) FILTER (a.units = 0) AS
   FROM cut a JOIN (SELECT StockCode, any_value(units) FILTER (k = c - 1) AS last, avg(units) FILTER (k >= c - 4 AND k < c) AS mean, avg(abs(units - prev)) FILTER (k < c) AS walk
     FROM (SELECT *, lag(units) OVER (PARTITION BY StockCode ORDER BY k) AS prev FROM cut) GROUP BY 1) b USING (StockCode)
   LEFT JOIN cut p ON p.StockCode = a.StockCode AND p.k = a.c - 52 + (a.k - a.c) % 52 GROUP BY 1)"""
+_GRID = "(VALUES " + ", ".join(f"({n}, {x})" for n, x in enumerate(["0.1, 0.01, 0.05", "0.1, 0.01, 0.2", "0.1, 0.1, 0.05", "0.1, 0.1, 0.2", "0.3, 0.01, 0.05", "0.3, 0.01, 0.2", "0.3, 0.1, 0.05", "0.3, 0.1, 0.2", "0.5, 0.01, 0.05", "0.5, 0.01, 0.2", "0.5, 0.1, 0.05", "0.5, 0.1, 0.2"], 1)) + ", (0, 0.3, 0.05, 0.1)) AS grid(n, al, be, ga)"
+_SERIES = "ys AS (SELECT StockCode, list(CAST(units AS DOUBLE) ORDER BY k) AS y FROM cy GROUP BY 1)"
+# Smoothing week by week over jobs(job, y, al, be, ga): level, slope and the 52 offsets to come.
+_SMOOTH = """
+hws AS (SELECT *, list_avg(y[1:52]) AS base, CASE WHEN len(y) >= 104 THEN (list_avg(y[53:104]) - list_avg(y[1:52])) / 52 ELSE list_sum([(i - 25.5) * y[i + 1] FOR i IN range(0, 52)]) / 11713 END AS drift
+  FROM (SELECT job, y, CAST(al AS DOUBLE) AS al, CAST(be AS DOUBLE) AS be, CAST(ga AS DOUBLE) AS ga FROM jobs)),
+hw AS (SELECT job, 0 AS k, base AS level, drift AS slope, [v - base FOR v IN y[1:52]] AS ring FROM hws WHERE len(y) >= 56
+  UNION ALL SELECT job, k + 1, level + slope + al * e, slope + al * be * e, list_append(ring[2:52], ring[1] + ga * (1 - al) * e)
+  FROM (SELECT hw.*, al, be, ga, y[k + 1] - level - slope - ring[1] AS e FROM hw JOIN hws USING (job) WHERE k < len(y))),
+ahead AS (SELECT job, i AS step, level + i * slope + ring[(i - 1) % 52 + 1] AS forecast FROM hw JOIN hws USING (job), range(1, 13) s(i) WHERE k = len(y)
+  UNION ALL SELECT job, i, y[len(y)] FROM hws, range(1, 13) s(i) WHERE len(y) < 56)"""
+_TUNED = f"""
+tried AS (SELECT StockCode, n, whole, StockCode || '/' || n || '/' || whole AS job, y AS known, CASE WHEN whole THEN y ELSE y[1:len(y) - 8] END AS y, al, be, ga FROM ys, {_GRID}, (VALUES (true), (false)) w(whole)),
+jobs AS (SELECT job, y, al, be, ga FROM tried WHERE whole OR len(y) >= 56)"""
+_BEST = """
+losses AS (SELECT StockCode, n, avg(abs(known[len(known) - 8 + step] - forecast)) AS loss FROM tried JOIN ahead USING (job) WHERE NOT whole AND n > 0 AND step <= 8 GROUP BY 1, 2),
+best AS (SELECT StockCode, arg_min(n, (loss, n)) AS n FROM losses GROUP BY 1)"""
 _ITEMS = f"""
 norm AS (SELECT Invoice, StockCode, Revenue, regexp_replace(trim(upper(Description)), '\\s+', ' ', 'g') AS Item FROM sales WHERE length(trim(Description)) > 0),
 bestc AS (SELECT StockCode FROM norm GROUP BY 1 ORDER BY {m("Revenue")} DESC, StockCode LIMIT 25),
@@ -219,6 +236,24 @@ sc AS (SELECT *, CASE WHEN evaluated > 0 THEN round_even(100.0 * (1.0 - violatio
 st AS (SELECT *, CASE WHEN score < 97 THEN CASE WHEN dimension = 'Plausibility' THEN 'warn' ELSE 'fail' END WHEN score < 99.5 THEN 'warn' ELSE 'pass' END AS status FROM sc)"""
 
 
+#: The countries of Europe in the test tables.
+EUROPE = ("FRANCE", "GERMANY", "ROMANIA", "RUSSIA", "UNITED KINGDOM")
+
+
+def _inferred_findings() -> str:
+    """Findings under a config inferred from types: every column required, numbers finite and plausible."""
+    kinds = {"Invoice": "string", "StockCode": "string", "Description": "string", "Quantity": "integer", "InvoiceDate": "datetime", "Price": "numeric", "CustomerID": "integer", "Country": "string"}
+    rows = [("Completeness", "all required cells", " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in kinds), f"{len(kinds)} * count(*)")]
+    for c, kind in kinds.items():
+        rows += [("Completeness", f"required: {c}", f"count(*) FILTER ({c} IS NULL)", "count(*)"), ("Validity", f"type={kind}: {c}", "0", f"count({c})")]
+    rows.append(("Uniqueness", "duplicate rows", "count(*) - (SELECT count(*) FROM base)", "count(*)"))
+    for c in ("Quantity", "Price", "CustomerID"):
+        edges = f"(SELECT quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3 FROM raw)"
+        far = f"(SELECT count(*) FILTER (q3 > q1 AND ({c} < q1 - 3 * (q3 - q1) OR {c} > q3 + 3 * (q3 - q1))) FROM raw, {edges})"
+        rows += [("Consistency", f"{c} is finite", "0", f"count({c})"), ("Plausibility", f"3xIQR: {c}", far, f"count({c})")]
+    return " UNION ALL ".join(f"""SELECT '{d}' AS dimension, '{name}' AS "check", CAST({bad} AS BIGINT) AS violations, CAST({seen} AS BIGINT) AS evaluated FROM raw""" for d, name, bad, seen in rows)
+
+
 def _card(rows: str) -> str:
     """The findings of another table, its dimensions with weights, and the total; dates within the default window."""
     found = _FIND.replace("qrows AS (SELECT * FROM raw)", f"qrows AS (SELECT Invoice, StockCode, Description, Quantity, InvoiceDate, Price, CustomerID, Country FROM {rows})")
@@ -233,6 +268,8 @@ _GRADED = """SELECT dimension, score, CASE level WHEN 3 THEN 'fail' WHEN 2 THEN
 greatest(CASE WHEN total >= 95 THEN 'A' WHEN total >= 90 THEN 'B' WHEN total >= 80 THEN 'C' WHEN total >= 70 THEN 'D' ELSE 'F' END, CASE worst WHEN 3 THEN 'C' WHEN 2 THEN 'B' ELSE 'A' END) AS grade FROM weighed, tot"""
 
 ORACLES = {
+    "src3_typed_lines": q("""SELECT SourceSheet, count(*) AS lines, count(Description) AS described, CAST(sum(Quantity) AS BIGINT) AS units, CAST(sum(CAST(Price AS DECIMAL(18,6))) AS DOUBLE) AS prices, count(CustomerID) AS known, CAST(sum(CustomerID) AS BIGINT) AS customers, strftime(min(InvoiceDate), '%Y-%m-%d') AS first, strftime(max(InvoiceDate), '%Y-%m-%d') AS last
+ FROM (SELECT *, 'first' AS SourceSheet FROM lines UNION ALL SELECT *, 'again' FROM lines WHERE k % 97 = 0) GROUP BY 1"""),
     "ing1_raw_quality_report": q(f"""
 SELECT CAST((SELECT count(*) FROM raw) AS BIGINT) AS rows, count(DISTINCT Invoice) AS invoices, count(DISTINCT StockCode) AS stock_codes, strftime(min(InvoiceDate), '%Y-%m-%d') AS date_min, strftime(max(InvoiceDate), '%Y-%m-%d') AS date_max,
  (SELECT count(*) FROM raw) - (SELECT count(*) FROM base) AS exact_duplicate_rows, count(*) FILTER (CustomerID IS NULL) AS missing_customer_id, count(*) FILTER (CustomerID IS NULL) / count(*) AS missing_customer_id_pct,
@@ -273,6 +310,7 @@ FROM (SELECT step, gone, (SELECT count(*) FROM raw) - coalesce(sum(gone) OVER (O
     "ret7_monthly": q("SELECT YearMonth, gross, coalesce(r, 0.0) AS returned, gross - coalesce(r, 0.0) AS net, coalesce(r, 0.0) / gross AS value_return_rate FROM (SELECT YearMonth, " + m("Revenue") + " AS gross FROM sales GROUP BY 1) LEFT JOIN (SELECT YearMonth, -" + m("Revenue") + " AS r FROM rets GROUP BY 1) USING (YearMonth)"),
     "ret8_concentration": q("""SELECT 10 AS top_n, CAST(sum(v) FILTER (rn <= 10) AS DOUBLE) / CAST(any_value(tot) AS DOUBLE) AS top_n_share, min(rn) FILTER (CAST(cum AS DOUBLE) / CAST(tot AS DOUBLE) >= 0.8) AS skus_to_80pct, count(*) AS n_returned_skus FROM
  (SELECT CAST(returned_value AS DECIMAL(18,6)) AS v, row_number() OVER w AS rn, sum(CAST(returned_value AS DECIMAL(18,6))) OVER (w ROWS UNBOUNDED PRECEDING) AS cum, sum(CAST(returned_value AS DECIMAL(18,6))) OVER () AS tot FROM skus WINDOW w AS (ORDER BY returned_value DESC, StockCode))""", _DESC, _SKU),
+    "ret9_sku_export": q("SELECT StockCode, Description, sold_units, round_even(sold_value, 2) AS sold_value, returned_units, round_even(returned_value, 2) AS returned_value, round_even(100 * unit_return_rate, 2) AS unit_return_rate, round_even(100 * value_return_rate, 2) AS value_return_rate FROM skus", _DESC, _SKU),
     "rfm1_table": q("SELECT * FROM rfm0", _RFM),
     "rfm2_scores": q("SELECT * FROM rfm1", _RFM),
     "rfm3_segments": q("SELECT CustomerID, R, F, Segment FROM rfm2", _RFM),
@@ -284,6 +322,8 @@ FROM (SELECT step, gone, (SELECT count(*) FROM raw) - coalesce(sum(gone) OVER (O
     "coh4_triangle": q("SELECT CAST(cohort AS INTEGER) AS cohort, label, CAST(k AS INTEGER) AS k, size, active, retention FROM tri", _COH),
     "coh5_curve": q("SELECT CAST(k AS INTEGER) AS k, count(*) AS cohorts, CAST(sum(size) AS BIGINT) AS customers, sum(CASE WHEN k = 0 THEN size ELSE active END) / sum(size) AS retention FROM tri WHERE retention IS NOT NULL GROUP BY 1", _COH),
     "coh6_wide": q("SELECT CAST(cohort AS INTEGER) AS cohort, label, any_value(size) AS size, " + ", ".join(f"max(CASE WHEN k = {k} THEN retention * 100 END) AS m{k}" for k in range(13)) + " FROM tri GROUP BY 1, 2", _COH),
+    "coh7_movement": q("""SELECT round(month_1, 10) AS month_1, round(month_6, 10) AS month_6, round(100 * (month_6 - month_1), 10) AS points, CASE WHEN abs(100 * (month_6 - month_1)) < 2 THEN 'holds' WHEN month_6 > month_1 THEN 'rises' WHEN month_6 < month_1 THEN 'falls' END AS verb
+ FROM (SELECT sum(active) FILTER (k = 1) / sum(size) FILTER (k = 1) AS month_1, sum(active) FILTER (k = 6) / sum(size) FILTER (k = 6) AS month_6 FROM tri WHERE retention IS NOT NULL)""", _COH),
     "lif1_coverage": q("SELECT count(*) FILTER (f <= last) AS scored, count(*) FILTER (f > last) AS excluded FROM (SELECT CustomerID, min(ym) AS f FROM la GROUP BY 1), llast", _LIF),
     "lif4_stages": q("SELECT CustomerID, CAST(ym AS INTEGER) AS ym, stage, CAST(gap AS INTEGER) AS gap FROM cells", _LIF),
     "lif5_monthly": q("SELECT * FROM lmon3", _LIF),
@@ -296,7 +336,13 @@ FROM (SELECT step, gone, (SELECT count(*) FROM raw) - coalesce(sum(gone) OVER (O
  + CASE WHEN x > 0 THEN ln(exp(-(r + x) * ln(alpha + T) + (r + x) * ln(alpha + t_x)) + a / (b + x - 1)) - (r + x) * ln(alpha + t_x) ELSE -(r + x) * ln(alpha + T) END), 4) AS ll
  FROM (SELECT frequency AS x, recency AS t_x, T, 0.55 AS r, 12.0 AS alpha, 0.8 AS a, 2.5 AS b FROM summ)""", _CLV),
     "clv4_expected_purchases": q("SELECT CustomerID, round(predicted, 6) AS predicted FROM expected", _CLV, _expected("summ", "180").strip()),
+    "clv5_tracking": q("""SELECT CAST(T // 90 AS INTEGER) AS age, CAST(sum(n) AS BIGINT) AS customers, round(sum(n * 2.3 / (0.8 - 1) * (1 - pow(12.0 / (12.0 + T), 0.55) * h)), 5) AS expected, CAST(sum(x) AS BIGINT) AS actual FROM ages JOIN gauss USING (T) GROUP BY 1""", _CLV,
+      "ages AS (SELECT T, count(*) AS n, sum(frequency) AS x FROM summ GROUP BY 1)",
+      "steps AS (SELECT T, CASE WHEN T > 0 THEN sum(ln((0.55 + k) * (2.5 + k) / ((2.3 + k) * (k + 1)) * T / (12.0 + T))) OVER (PARTITION BY T ORDER BY k) END AS s FROM ages, range(0, 9000) q(k) WHERE T > 0 OR k = 0)",
+      "gauss AS (SELECT T, 1 + coalesce(sum(exp(s)), 0) AS h FROM steps GROUP BY T)"),
     "clv6_prob_alive": q("SELECT CustomerID, round(CASE WHEN x > 0 THEN 1 / (1 + 0.8 / (2.5 + x - 1) * pow((12.0 + T) / (12.0 + t_x), 0.55 + x)) ELSE 1.0 END, 8) AS prob_alive FROM (SELECT CustomerID, frequency AS x, recency AS t_x, T FROM summ)", _CLV),
+    "clv7_value_log_likelihood": q("""SELECT count(*) AS customers, round(sum(lgamma(p * x + q) - lgamma(p * x) - lgamma(q) + q * ln(v) + (p * x - 1) * ln(z) + p * x * ln(x) - (p * x + q) * ln(v + x * z)), 4) AS ll, round(corr(x, z), 4) AS correlation, round(440.0 * 2.2 / 2.5, 4) AS population_mean
+ FROM (SELECT frequency AS x, monetary_value AS z, 2.2 AS p, 3.5 AS q, 440.0 AS v FROM summ WHERE frequency > 0 AND monetary_value > 0)""", _CLV),
     "clv8_expected_value": q("SELECT CustomerID, round(CASE WHEN x > 0 THEN (1 - 2.2 * x / (2.2 * x + 2.5)) * (440.0 * 2.2 / 2.5) + 2.2 * x / (2.2 * x + 2.5) * mv ELSE 440.0 * 2.2 / 2.5 END, 6) AS expected_value FROM (SELECT CustomerID, frequency AS x, monetary_value AS mv FROM summ)", _CLV),
     "clv10_holdout_actuals": q("SELECT CustomerID, frequency, recency, T, actual FROM hold", _WIN, _HOLD),
     "clv10_accuracy": q("SELECT count(*) AS customers, round(sum(predicted), 6) AS predicted_total, CAST(sum(actual) AS BIGINT) AS actual_total, round(sum(predicted) / sum(actual), 6) AS ratio, round(sum(abs(predicted - actual)) / count(*), 6) AS mae, round(corr(predicted, actual), 6) AS correlation FROM expected JOIN hold USING (CustomerID)", _WIN, _HOLD, _expected("hold", "date_diff('day', (SELECT calibration_end FROM win), (SELECT holdout_end FROM win))").strip()),
@@ -306,6 +352,8 @@ FROM (SELECT step, gone, (SELECT count(*) FROM raw) - coalesce(sum(gone) OVER (O
     "clv14_lorenz": q("""SELECT CAST(point AS INTEGER) AS point, max(rn) / max(n) AS customer_share, CAST(max(c) AS DOUBLE) / CAST(max(tot) AS DOUBLE) AS value_share FROM (SELECT CAST(ceil(rn * 20 / n) AS INTEGER) AS point, rn, n, c, tot FROM (SELECT row_number() OVER w AS rn, count(*) OVER () AS n, sum(CAST(Monetary AS DECIMAL(18,6))) OVER (w ROWS UNBOUNDED PRECEDING) AS c, sum(CAST(Monetary AS DECIMAL(18,6))) OVER () AS tot FROM rfm0 WINDOW w AS (ORDER BY Monetary, CustomerID))) GROUP BY 1 UNION ALL SELECT 0, 0.0, 0.0""", _RFM),
     "fc1_weekly_revenue": q("SELECT strftime(week, '%Y-%m-%d') AS week, value, CAST(t AS INTEGER) AS t FROM weeks", _WEEKS),
     "fc7_folds": q("SELECT CAST(fold AS INTEGER) AS fold, CAST(origin AS INTEGER) AS origin FROM folds", _WEEKS, _FOLDS),
+    "fc3_holt_winters": q("SELECT job AS series, 'holt_winters_fixed' AS model, CAST(step AS INTEGER) AS step, round(forecast, 6) AS forecast FROM ahead", *_CODE_WEEKS, _CODE_ROWS, _SERIES, f"jobs AS (SELECT StockCode AS job, y, al, be, ga FROM ys, {_GRID} WHERE n = 0)", _SMOOTH.strip()).replace("WITH", "WITH RECURSIVE", 1),
+    "fc4_tuned_holt_winters": q("SELECT StockCode AS series, 'holt_winters' AS model, CAST(step AS INTEGER) AS step, round(forecast, 6) AS forecast FROM tried LEFT JOIN best USING (StockCode) JOIN ahead USING (job) WHERE whole AND tried.n = coalesce(best.n, 0)", *_CODE_WEEKS, _CODE_ROWS, _SERIES, _TUNED.strip(), _SMOOTH.strip(), _BEST.strip()).replace("WITH", "WITH RECURSIVE", 1),
     "fc6_baseline_errors": q("SELECT CAST(fold AS INTEGER) AS fold, model, round(mae, 2) AS mae, round(mase, 6) AS mase FROM berr", _WEEKS, _FOLDS, _BERR),
     "fc8_baseline_summary": q("""SELECT s.*, coalesce(w.fold_wins, 0) AS fold_wins FROM (SELECT model, count(DISTINCT fold) AS folds, round(avg(mase), 6) AS mean_mase, round(max(mase), 6) AS worst_mase, round(avg(mae), 2) AS mean_mae FROM berr GROUP BY 1) s
  LEFT JOIN (SELECT model, count(*) AS fold_wins FROM (SELECT fold, model FROM berr QUALIFY row_number() OVER (PARTITION BY fold ORDER BY mase, model) = 1) GROUP BY 1) w USING (model)""", _WEEKS, _FOLDS, _BERR),
@@ -322,6 +370,7 @@ FROM (SELECT step, gone, (SELECT count(*) FROM raw) - coalesce(sum(gone) OVER (O
     "bsk3_survivors": q("""SELECT (SELECT count(DISTINCT Invoice) FROM sales) AS invoices_total, count(*) AS invoices_with_tracked_item, count(*) FILTER (n >= 2) AS baskets_mined, (SELECT count(*) FROM cat) AS stock_codes_tracked, (SELECT count(DISTINCT Item) FROM cat) AS items_after_description_merge,
  coalesce(sum(n) FILTER (n >= 2) / count(*) FILTER (n >= 2), 0.0) AS mean_basket_size FROM (SELECT Invoice, count(*) AS n FROM items GROUP BY 1)""", _ITEMS),
     "bsk5_itemsets": q("SELECT size, a, b, c, count, count / (SELECT n FROM nb)::DOUBLE AS support FROM sets", _ITEMS),
+    "bsk9_fp_growth": q("SELECT size, a, b, c, count FROM sets", _ITEMS),
     "bsk7_rules": q("SELECT antecedent, consequent, itemset, round(support, 8) AS support, round(confidence, 8) AS confidence, round(lift, 8) AS lift, round(leverage, 8) AS leverage, round(conviction, 8) AS conviction, support_count, thin_support FROM rules", _ITEMS, _RULES),
     "bsk8_best_rules": q("SELECT antecedent, consequent, itemset, round(lift, 8) AS lift FROM rules QUALIFY row_number() OVER (PARTITION BY itemset ORDER BY lift DESC, confidence DESC, antecedent, consequent) = 1", _ITEMS, _RULES),
     "prc4_qualifying": q("SELECT * FROM qual", _SDESC, _PR),
@@ -335,9 +384,16 @@ FROM (SELECT step, gone, (SELECT count(*) FROM raw) - coalesce(sum(gone) OVER (O
  FROM (SELECT count(*) AS n_skus, count(*) FILTER (p > 1) AS n_multi_price_skus FROM (SELECT StockCode, count(DISTINCT Price) AS p FROM sales GROUP BY 1)), (SELECT """ + m("Revenue") + """ AS all_revenue FROM sales),
  (SELECT count(*) AS n_qualifying, """ + m("revenue") + """ AS qualifying_revenue, median(rungs)::DOUBLE AS median_rungs, median(spread) AS median_spread, sum(unit_share_below * units) / sum(units) AS b, sum(unit_share_at * units) / sum(units) AS a, sum(unit_share_above * units) / sum(units) AS o, sum(posted_price * units) AS revenue_at_posted FROM prof),
  (SELECT count(*) AS n_fitted, median(slope_within_week) AS ms, median(slope_between_week) AS mb, median(slope_market_adj) AS ma, count(*) FILTER (slope_market_adj < 0) / count(*) AS share_slope_negative, corr(slope_within_week, slope_market_adj) AS cor FROM sl WHERE slope_within_week IS NOT NULL AND slope_market_adj IS NOT NULL)""", _SDESC, _PR, _PANEL),
+    "prc12_export": q("""SELECT StockCode, Description, rungs, lines, units, round_even(revenue, 2) AS revenue, round_even(posted_price, 4) AS posted_price, round_even(realized_price, 4) AS realized_price, round_even(100 * realization, 2) AS realization_pct, round_even(price_p10, 4) AS price_p10, round_even(price_p90, 4) AS price_p90, round_even(spread, 3) AS spread,
+ round_even(100 * unit_share_below, 2) AS unit_share_below_pct, round_even(100 * unit_share_at, 2) AS unit_share_at_pct, round_even(100 * unit_share_above, 2) AS unit_share_above_pct, weeks, round_even(slope_within_week, 4) AS slope_within_week, round_even(slope_between_week, 4) AS slope_between_week, round_even(slope_market_adj, 4) AS slope_market_adj FROM prof LEFT JOIN sl USING (StockCode)""", _SDESC, _PR, _PANEL),
+    "qlt5_domain": q(f"""SELECT 'Validity' AS dimension, 'domain: Country' AS "check", count(*) FILTER (Country NOT IN {EUROPE}) AS violations, count(Country) AS evaluated FROM raw"""),
+    "qlt7_inferred_findings": q(_inferred_findings()),
     "qlt_findings": q('SELECT dimension, "check", violations, evaluated FROM found', _FIND),
     "qlt_scores": q('SELECT dimension, "check", CAST(score AS DOUBLE) AS score, status FROM st', _FIND),
     "qlt13_dimensions": q("SELECT dimension, count(*) AS checks, CAST(sum(CAST(score AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS score, CASE max(CASE status WHEN 'fail' THEN 3 WHEN 'warn' THEN 2 ELSE 1 END) WHEN 3 THEN 'fail' WHEN 2 THEN 'warn' ELSE 'pass' END AS status FROM st GROUP BY 1", _FIND),
     "qlt13_raw_scorecard": q(_GRADED, _card("raw")),
     "qlt13_sales_scorecard": q(_GRADED, _card("sales")),
 }
+ORACLES["qlt14_compared"] = f"""SELECT coalesce(a.dimension, b.dimension) AS dimension, a.score AS before, b.score AS after FROM
+ (SELECT dimension, score FROM ({ORACLES["qlt13_raw_scorecard"]}) UNION ALL SELECT 'overall', any_value(total) FROM ({ORACLES["qlt13_raw_scorecard"]})) a FULL JOIN
+ (SELECT dimension, score FROM ({ORACLES["qlt13_sales_scorecard"]}) UNION ALL SELECT 'overall', any_value(total) FROM ({ORACLES["qlt13_sales_scorecard"]})) b ON a.dimension = b.dimension"""

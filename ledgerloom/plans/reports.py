@@ -59,13 +59,14 @@ def sku_export(f: SimpleNamespace) -> DataFrame:
     return out.withColumns({c: F.bround(c, 2) for c in ("sold_value", "returned_value")})
 
 
-def price_export(f: SimpleNamespace, config: pricing.PricingConfig = pricing.PricingConfig()) -> DataFrame:
-    """Each qualifying code's rungs, prices, shares in percent, and slopes with their permutation test, rounded; slopes are null where none was fitted."""
+def price_export(f: SimpleNamespace, config: pricing.PricingConfig = pricing.PricingConfig(), permute: bool = True) -> DataFrame:
+    """Each qualifying code's rungs, prices, shares in percent, and slopes, rounded, with ``permute`` their permutation test too; slopes are null where none was fitted."""
     out = _percent(pricing.profile(f.sales, config), 2, "realization", "unit_share_below", "unit_share_at", "unit_share_above")
     out = out.withColumnsRenamed({c: f"{c}_pct" for c in ("realization", "unit_share_below", "unit_share_at", "unit_share_above")})
-    fitted = pricing.slopes(f.sales, config).select("StockCode", "weeks", "slope_within_week", "slope_between_week", "slope_market_adj", "perm_p")
-    digits = {"revenue": 2, "spread": 3} | dict.fromkeys(("posted_price", "realized_price", "price_p10", "price_p90", "slope_within_week", "slope_between_week", "slope_market_adj", "perm_p"), 4)
-    columns = ["StockCode", "Description", "rungs", "lines", "units", "revenue", "posted_price", "realized_price", "realization_pct", "price_p10", "price_p90", "spread", "unit_share_below_pct", "unit_share_at_pct", "unit_share_above_pct", "weeks", "slope_within_week", "slope_between_week", "slope_market_adj", "perm_p"]
+    fits = ["weeks", "slope_within_week", "slope_between_week", "slope_market_adj"] + ["perm_p"] * permute
+    fitted = pricing.slopes(f.sales, config, permute).select("StockCode", *fits)
+    digits = {"revenue": 2, "spread": 3} | dict.fromkeys(("posted_price", "realized_price", "price_p10", "price_p90", *fits[1:]), 4)
+    columns = ["StockCode", "Description", "rungs", "lines", "units", "revenue", "posted_price", "realized_price", "realization_pct", "price_p10", "price_p90", "spread", "unit_share_below_pct", "unit_share_at_pct", "unit_share_above_pct", *fits]
     return out.join(fitted, "StockCode", "left").withColumns({c: F.bround(c, d) for c, d in digits.items()}).select(columns)
 
 

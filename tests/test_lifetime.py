@@ -126,6 +126,24 @@ def test_holdout_accuracy_and_headline(spark, summary):
     assert "3,000 known customers" in said and "the top tenth (300)" in said and "6 purchases were predicted and 6 made (0.0% over), correlation 0.50" in said
 
 
+def test_tracking_and_value_likelihood(spark, summary, people):
+    p, g = clv.BgNbd(0.7, 60, 0.5, 2.5), clv.GammaGamma(2.2, 3.5, 440.0)
+    got = {r.age: r for r in clv.tracking(summary, p).collect()}
+    for age, r in got.items():
+        own = [x for x in people if x[3] // 90 == age]
+        assert r.customers == len(own) and r.actual == sum(x[1] for x in own)
+        assert math.isclose(r.expected, sum(float(clv.expected_purchases_of_new(p, x[3])) for x in own), rel_tol=1e-9)
+    # The customers were drawn with these parameters.
+    assert math.isclose(sum(r.expected for r in got.values()), sum(r.actual for r in got.values()), rel_tol=0.1)
+    assert clv.tracking(summary.limit(0), p).count() == 0
+    row, n = clv.value_log_likelihood(summary, g).first(), sum(1 for x in people if x[1] and x[4] > 0)
+    assert row.customers == n and math.isclose(row.ll, -n * value_loss(people, np.log([2.2, 3.5, 440.0]), 1.0), rel_tol=1e-9)
+    some = np.array([(x[1], x[4]) for x in people if x[1] and x[4] > 0])
+    assert math.isclose(row.correlation, np.corrcoef(some.T)[0, 1], rel_tol=1e-6) and row.population_mean == g.population_mean()
+    none = clv.value_log_likelihood(summary.limit(0), g).first()
+    assert none.customers == 0 and none.ll is None and none.correlation is None
+
+
 def test_kernels():
     z = np.array([1e-3, 0.3, 1.0, 2.5, 9.99, 10.0, 57.0, 1e6])
     assert np.allclose(K.digamma(z), [(math.lgamma(x * (1 + 1e-6)) - math.lgamma(x * (1 - 1e-6))) / (2e-6 * x) for x in z], rtol=1e-4)

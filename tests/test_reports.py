@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.__main__ import main
+from ledgerloom.operators import cohort, pricing
 from ledgerloom.plans import reports
 from ledgerloom.sources.adapter import raw_lines
 from ledgerloom.sources.lines import sample_lines
@@ -60,3 +61,20 @@ def test_a_cached_run_of_one_analysis(spark, lines, tmp_path, capsys):
     assert bytes_[0][1].startswith(b"StockCode,Description,sold_units,sold_value,returned_units,returned_value")
     assert main([str(tmp_path / "none.parquet"), str(tmp_path / "c"), "--cache", str(tmp_path / "other"), "--sample", lines, "--only", "cohort"]) == 0
     assert "does not exist" in capsys.readouterr().out and not os.path.exists(tmp_path / "other")
+
+
+def test_movement_of_retention(spark):
+    cells = lambda *rows: cohort.movement(spark.createDataFrame([(24000, k, 100, a, a / 100) for k, a in rows], "cohort int, k int, size long, active long, retention double"))
+    assert cells((1, 40), (6, 30)).first().verb == "falls" and cells((1, 30), (6, 40)).first().verb == "rises"
+    held = cells((1, 40), (6, 41)).first()
+    assert held.verb == "holds" and abs(held.points - 1) < 1e-9
+    none = cells((1, 40)).first()
+    assert none.points is None and none.verb is None and none.month_1 == 0.4
+
+
+def test_price_export_without_its_permutation_test(spark, lines):
+    f = reports.frames_of(spark.read.parquet(lines))
+    config = pricing.PricingConfig(min_lines=100)
+    with_p, without_p = reports.price_export(f, config), reports.price_export(f, config, permute=False)
+    assert with_p.columns == [*without_p.columns, "perm_p"]
+    assert sorted(map(tuple, with_p.drop("perm_p").collect()), key=str) == sorted(map(tuple, without_p.collect()), key=str)
