@@ -6,7 +6,8 @@ attributes, inline styles and simple rules of the page's own style sheets;
 ``visibility`` is inherited, ``display`` takes the subtree. A renderer then walks
 the tree and writes all visible text: blocks stand on lines of their own, with a
 blank line where browsers have a margin; list items are marked and indented; the
-cells of a table stand in a grid, spans included, and are aligned in columns.
+cells of a table stand in a grid, spans included, and are aligned in columns; a
+row that is longer than a line goes on in further lines, aligned as well.
 Tables are rendered from the innermost out, so nothing recurses, and the time
 grows with the length of the page.
 """
@@ -340,8 +341,8 @@ def _cells(table: Node, shown: bool, sheet: Sheet) -> tuple[list[str], list[list
     return captions, rows
 
 
-#: Columns of text up to which a table's cells are aligned; those of wider ones stand two spaces apart, or padding would grow with the square of a page.
-ALIGNED = 1000
+#: Columns of text in a line of a table, the two after each cell included. A row goes on in further lines; in endless ones, padding would grow with the square of a page.
+LINE = 1000
 
 
 class _Taken:
@@ -378,8 +379,27 @@ class _Taken:
                 heappush(self.until, (last, c))
 
 
+def _beside(cells: list[tuple[int, list[str]]]) -> list[str]:
+    """Lines of cells side by side, each at its stop or two spaces after what reaches beyond."""
+    made: list[list[str]] = [[] for _ in range(max(len(lines) for _, lines in cells))]
+    ends = [0] * len(made)
+    for stop, lines in cells:
+        for j, text in enumerate(lines):
+            if text:
+                gap = max(stop - ends[j], 2 if made[j] else 0)
+                made[j].append(" " * gap + text)
+                ends[j] += gap + wide(text)
+    return ["".join(texts).rstrip() for texts in made]
+
+
 def _table(table: Node, shown: bool, sheet: Sheet) -> list[str]:
-    """Lines of a table: cells in a grid, each column as wide as what stands in it."""
+    """Lines of a table: cells in a grid, each column as wide as what stands in it.
+
+    Every column has its stop in every row, in the first line or, where the
+    columns before it fill that, in a further one. A line that a row has no
+    text for is blank, after its last text none follow. A cell that is longer
+    than a line begins one and widens no column.
+    """
     captions, rows = _cells(table, shown, sheet)
     taken = _Taken()
     grid: list[list[tuple[int, list[str], int]]] = []
@@ -396,27 +416,33 @@ def _table(table: Node, shown: bool, sheet: Sheet) -> list[str]:
         grid.append(line)
     starts = sorted({k for line in grid for k, *_ in line})  # columns in which no cell begins have no width
     place = {k: i for i, k in enumerate(starts)}
-    placed = [[(place[k], lines, bisect_left(starts, k + across) - place[k]) for k, lines, across in line] for line in grid]
+    placed = [[(place[k], lines, bisect_left(starts, k + across) - place[k], max(map(wide, lines))) for k, lines, across in line] for line in grid]
     width = [0] * len(starts)
-    for i, lines, across in sorted((c for line in placed for c in line), key=lambda c: c[2]):
-        lack = max(map(wide, lines)) - sum(width[i : i + across]) - 2 * (across - 1)
-        if lack > 0:
+    for i, _, across, size in sorted((c for line in placed for c in line), key=lambda c: c[2]):
+        lack = size - sum(width[i : i + across]) - 2 * (across - 1)
+        if lack > 0 and size + 2 <= LINE:
             width[i + across - 1] += lack
-    left = [0]
+    stops: list[tuple[int, int]] = []  # of each column: the line of a row, and the place in it
+    fold = at = 0
     for w in width:
-        left.append(left[-1] + w + 2)
+        if at + w + 2 > LINE:
+            fold, at = fold + 1, 0
+        stops.append((fold, at))
+        at += w + 2
     out = [line for c in captions for line in c.split("\n")]
-    aligned = left[-1] <= ALIGNED
     for line in placed:
-        for j in range(max(len(lines) for _, lines, _ in line)):
-            now, at = [], 0
-            for i, lines, _ in line:
-                if j < len(lines) and lines[j] and not aligned:
-                    now.append(("  " if now else "") + lines[j])
-                elif j < len(lines) and lines[j]:
-                    now.append(" " * (left[i] - at) + lines[j])
-                    at = left[i] + wide(lines[j])
-            out.append("".join(now).rstrip())
+        parts: list[list[tuple[int, list[str]]]] = [[]]
+        last = 0
+        for i, lines, _, size in line:
+            if any(lines):
+                fold, at = stops[i]
+                parts += [[] for _ in range(fold - last)]
+                if at and size + 2 > LINE:
+                    parts.append([])
+                    at = 0
+                parts[-1].append((at, lines))
+                last = fold
+        out += [text for cells in parts for text in (_beside(cells) if cells else [""])]
     return out
 
 
